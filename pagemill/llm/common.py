@@ -62,6 +62,13 @@ class Work:
             _remove(self.spark, t._work_path)
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public vocabulary file on the driver; executors get its contents by broadcast."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def squeezed(text: Column | str) -> Column:
     """Text (null: empty) with every run of white space replaced by one space."""
     return F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), SPACE + "+", " ")

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat_format, exact_dedup
+from pagemill.llm import chat_format, exact_dedup, languages, mixing, sharding
+from pagemill.llm.common import crc_mod, tokenizer_file
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = languages.fit(docs.where(~held_out), tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+    return languages.predict(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_format.turns(_read(spark, sf_dir, "conversations"), "conv_id")
     said = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(chat_format.HOSTILE).alias("content")) for r in ("user", "assistant")])
@@ -23,5 +31,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op5_exact_dedup)}
-ORACLE_SQL = {"op2_chat_format": chat_format.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = {"domain": mixing.domain(), "lang": F.col("lang"), "source": F.col("source")}
+    taken = mixing.select(_read(spark, sf_dir, "documents"), levels, F.floor(F.col("total") * mixing.SHARE), mixing.WEIGHTS, mixing.EPOCHS)
+    return taken.select("row.doc_id", "epoch", "domain", "lang", "source", "n_tokens", "leaf_budget")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(_read(spark, sf_dir, "documents"), F.col("doc_id"), sharding.SHARDS).select("row.doc_id", "slot", "shard")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_mixing, op4_sharding, op5_exact_dedup)}
+ORACLE_SQL = {"op2_chat_format": chat_format.ORACLE, "op3_mixing": mixing.ORACLE, "op4_sharding": sharding.oracle(), "op5_exact_dedup": exact_dedup.ORACLE}
