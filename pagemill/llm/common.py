@@ -62,6 +62,11 @@ class Work:
             _remove(self.spark, t._work_path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of fewer rows than Spark's default, as texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def tokenizer_file(name: str) -> str:
     """The place of a public vocabulary file on the driver; executors get its contents by broadcast."""
     import public_tokenizers
