@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat_format, exact_dedup, languages, mixing, sharding
+from pagemill.llm import bpe, chat_format, exact_dedup, languages, mixing, quality, sharding
 from pagemill.llm.common import crc_mod, tokenizer_file
 
 
@@ -41,6 +41,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_read(spark, sf_dir, "documents"), F.col("doc_id"), sharding.SHARDS).select("row.doc_id", "slot", "shard")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _read(spark, sf_dir, "documents"), crc_mod("doc_id", 3) == 1
+    forest = quality.fit(docs, _read(spark, sf_dir, "labels").where(~held_out))
+    return quality.predict(docs, forest, [F.col("doc_id"), held_out.alias("held_out")])
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = bpe.encode(_read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), [F.col("doc_id")], decoded=True)
     return got.select(
@@ -49,5 +55,5 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_mixing, op4_sharding, op5_exact_dedup, op7_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_mixing, op4_sharding, op5_exact_dedup, op6_quality, op7_bpe)}
 ORACLE_SQL = {"op2_chat_format": chat_format.ORACLE, "op3_mixing": mixing.ORACLE, "op4_sharding": sharding.oracle(), "op5_exact_dedup": exact_dedup.ORACLE}
