@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat_format, exact_dedup, languages, mixing, near_dedup, nearest, quality, sharding
+from pagemill.llm import bpe, chat_format, exact_dedup, languages, mixing, near_dedup, nearest, personal, quality, sharding
 from pagemill.llm.common import crc_mod, tokenizer_file
 
 
@@ -59,9 +59,13 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents")).drop("node")
 
 
+def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digests(personal.find(_read(spark, sf_dir, "documents"), [F.col("doc_id")]))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(_read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_mixing, op4_sharding, op5_exact_dedup, op6_quality, op7_bpe, op8_near_dedup, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_mixing, op4_sharding, op5_exact_dedup, op6_quality, op7_bpe, op8_near_dedup, op9_personal, op10_nearest)}
 ORACLE_SQL = {"op2_chat_format": chat_format.ORACLE, "op3_mixing": mixing.ORACLE, "op4_sharding": sharding.oracle(), "op5_exact_dedup": exact_dedup.ORACLE}
