@@ -128,6 +128,11 @@ def _renamed(role: Column, roles: dict) -> Column:
     return out
 
 
+def _listed(m: Mapping):
+    """What makes the element x at place i of a mapping's list a turn."""
+    return lambda x, i: _turn(_renamed(x[m.role], m.roles), x[m.text], i)
+
+
 def turns(df: DataFrame, id_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """(conv_id, turn, role, text), one row per turn, by the mapping that the schema's fingerprint selects."""
     print_of = fingerprint(df.schema, (id_col,))
@@ -142,7 +147,7 @@ def turns(df: DataFrame, id_col: str, mappings: tuple[Mapping, ...] = MAPPINGS)
     if m.kind == "rows":
         return df.select(key, F.col(m.turn).cast("long").alias("turn"), F.coalesce(_renamed(F.col(m.role), m.roles), F.lit("")).alias("role"), F.coalesce(F.col(m.text), F.lit("")).alias("text"))
     if m.kind == "list":
-        each = F.transform(F.col(m.turns), lambda x, i: _turn(_renamed(x[m.role], m.roles), x[m.text], i))
+        each = F.transform(F.col(m.turns), _listed(m))
     else:
         each = F.filter(F.array(*[F.when(F.col(p).isNotNull(), _turn(F.lit(r), F.col(p), F.lit(i))) for i, (r, p) in enumerate(m.fields)]), lambda x: x.isNotNull())
     return df.select(key, F.explode(each).alias("t")).select("conv_id", "t.*")
@@ -155,7 +160,7 @@ def _from_json(json: Column, mappings: tuple[Mapping, ...]) -> Column:
     for m in (m for m in mappings if m.kind != "rows"):
         if m.kind == "list":
             items = F.try_variant_get(v, f"$.{m.turns}", f"array<struct<{m.role}: string, {m.text}: string>>")
-            each = F.transform(items, lambda x, i, m=m: _turn(_renamed(x[m.role], m.roles), x[m.text], i))
+            each = F.transform(items, _listed(m))
         else:
             got = [(r, F.try_variant_get(v, f"$.{p}", "string")) for r, p in m.fields]
             each = F.filter(F.array(*[F.when(c.isNotNull(), _turn(F.lit(r), c, F.lit(i))) for i, (r, c) in enumerate(got)]), lambda x: x.isNotNull())
