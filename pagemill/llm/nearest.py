@@ -193,6 +193,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
 
     def routed(batches):
         router, x, ids = sent.value
+        at = router.probabilities(x).argmax(1)
         in_part = np.array([held.get(i, 0) for i in range(parts)])
         for b in batches:
             q = np.array(b["v"].tolist(), dtype=float).reshape(len(b), dim)
@@ -201,8 +202,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
             before = np.take_along_axis(p, order, 1).cumsum(1) - np.take_along_axis(p, order, 1)
             have = in_part[order].cumsum(1) - in_part[order]
             take = (before < router.threshold) | (have < 2 * k + 1)
-            score = q @ x.T
-            score[b["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+            score = q @ x.T  # only vectors of parts that are searched bound the result
+            chosen = np.zeros((len(q), parts), bool)
+            np.put_along_axis(chosen, order, take, 1)
+            score[(b["id"].to_numpy()[:, None] == ids[None, :]) | ~chosen[:, at]] = -np.inf
             floor = -np.partition(-score, k - 1, 1)[:, k - 1] if len(x) > k else np.full(len(q), -np.inf)
             yield b[["id", "v"]].assign(floor=floor, parts=[list(map(int, o[t])) for o, t in zip(order, take)])
 
