@@ -55,7 +55,7 @@ def golden(spark: SparkSession, path: str) -> DataFrame:
 
 
 def saved_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows rebuilt from saved HTML files: the title is the file's name, the levels are its folders."""
+    """Rows rebuilt from saved HTML files: the title is the file's name, the levels are its folders; empty files give no row."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(folder)
     path = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     below = F.regexp_replace(F.regexp_replace(path, "^[a-z]+:/*", ""), "^/*", "")
