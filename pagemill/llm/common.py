@@ -93,7 +93,8 @@ def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_column: Column, m
 
     A bitmap of 16 positions per key is built and broadcast, never over ``most_bits / 8`` bytes
     (16 MB as given). It only spares a later exact step the rows that cannot match, so a crowded
-    bitmap costs time, never results. Null keys match none. ``keys`` should be a written table.
+    bitmap costs time, never results. Null keys match none. ``keys`` should be a written table. Follow with an inner join on
+    distinct keys: a semi join would be moved below this filter.
     """
     bits = min(most_bits, max(1 << 20, 1 << (16 * keys.count()).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))

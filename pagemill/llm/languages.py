@@ -19,14 +19,14 @@ with equal sums the first in order is taken. Repeated rows are scored each.
 from __future__ import annotations
 
 import base64
-import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import Work
+from pagemill.llm.common import Work, bounded_batches
 
 #: Labelled rows a language that a model is fitted on.
 SAMPLE = 4000
@@ -38,8 +38,8 @@ SMOOTH = 0.05
 #: Words kept per task before its table of scores is emptied.
 CACHED = 400_000
 UNKNOWN = "und"
+UNIFORM = float(np.log(1 / 256))
 
-_LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _BITS = 20
@@ -60,12 +60,6 @@ def _wordlike(piece: bytes) -> bool:
     return bool(s) and s == s.lower() and all(c.isalpha() for c in s)
 
 
-def _finish(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * _MIX[0]
-    h = (h ^ (h >> np.uint64(33))) * _MIX[1]
-    return h ^ (h >> np.uint64(33))
-
-
 class Pieces:
     """Finds pieces by hash: two tables of 2^20 places, the second for what collides in the first."""
 
@@ -80,10 +74,10 @@ class Pieces:
                 raw[i] = h
         if len(np.unique(raw)) != self.n:
             raise ValueError("two pieces share a hash")
-        self.keys, at = raw, _finish(raw)
+        self.keys = raw
         self.first = np.full(1 << _BITS, -1, np.int32)
         self.second = np.full(1 << _BITS, -1, np.int32)
-        one, two = (at >> np.uint64(64 - _BITS)).astype(np.int64), (at & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+        one, two = _places(raw, 0), _places(raw, 1)
         for i in range(self.n):
             if self.first[one[i]] < 0:
                 self.first[one[i]] = i
@@ -94,11 +88,18 @@ class Pieces:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The index of the piece with each hash; ``n`` if there is none."""
-        at = _finish(h)
-        a = self.first[(at >> np.uint64(64 - _BITS)).astype(np.int64)]
-        b = self.second[(at & np.uint64((1 << _BITS) - 1)).astype(np.int64)]
-        out = np.where((a >= 0) & (self.keys[a] == h), a, self.n)
-        return np.where((b >= 0) & (self.keys[b] == h), b, out)
+        a = self.first[_places(h, 0)]
+        hit = (self.keys[a] == h) & (a >= 0)
+        out = np.where(hit, a, self.n)
+        rest = np.flatnonzero((a >= 0) & ~hit)  # a piece is in the second table only if its first place was taken
+        b = self.second[_places(h[rest], 1)]
+        out[rest] = np.where((b >= 0) & (self.keys[b] == h[rest]), b, self.n)
+        return out
+
+
+def _places(h: np.ndarray, table: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (h * _MIX[table] >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
 def _blocks(words: list[bytes]):
@@ -134,7 +135,11 @@ def word_scores(pieces: Pieces, probs: np.ndarray, words: list[bytes]) -> np.nda
         alpha = np.zeros((n + 1, len(m), probs.shape[1]))
         alpha[0] = 1
         for (s, e), found in sorted(_piece_grid(pieces, m).items()):
-            alpha[e] += alpha[s] * probs[found]
+            rows = np.flatnonzero(found < pieces.n)
+            if len(rows) > len(found) // 2:
+                alpha[e] += alpha[s] * probs[found]
+            else:
+                alpha[e][rows] += alpha[s][rows] * probs[found[rows]]
         out[[short[i] for i in part]] = np.log(np.maximum(alpha[n], 1e-300))
     for i in set(range(len(words))) - set(short):
         out[i] = _long_score(pieces, probs, words[i])
@@ -198,6 +203,11 @@ def _with_none(p: np.ndarray) -> np.ndarray:
     return np.vstack([p, np.zeros((1, p.shape[1]))])
 
 
+def letters(text: Column) -> Column:
+    """The runs of letters in lower case, one space between; null texts have none."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " "))
+
+
 def fit(docs: DataFrame, vocabulary_path: str, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
     """A model of the languages in ``docs``, whose rows are all free to learn from."""
     spark, work = docs.sparkSession, Work(docs.sparkSession, "languages")
@@ -220,11 +230,11 @@ def fit(docs: DataFrame, vocabulary_path: str, lang_col: str = "lang", id_col: s
             count: dict = {}
             for lang, text in zip(b["lang"], b["text"]):
                 at = count.setdefault(number[lang], {})
-                for w in _LETTERS.findall(text.lower()):
+                for w in text.split():
                     at[w] = at.get(w, 0) + 1
             yield pd.DataFrame([(k, w, n) for k, at in count.items() for w, n in at.items()], columns=["lang", "word", "n"])
 
-    table = work.table(picked.select("lang", "text").mapInPandas(words, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    table = work.table(picked.select("lang", letters(F.col("text")).alias("text")).mapInPandas(words, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     table = table.repartition(max(8, min(512, table.count() // 50_000 + 1)), "word")
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((model.pieces, model.probs))
@@ -248,43 +258,52 @@ def fit(docs: DataFrame, vocabulary_path: str, lang_col: str = "lang", id_col: s
 
 
 def predict(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "text") -> DataFrame:
-    """``keep`` with lang_pred and score, a row per row of ``docs``; only ``keep`` and the text are read."""
-    kept = docs.select(*keep, F.col(text_col).alias("__text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
-    fields = kept.drop("__text", "__letter").schema
+    """``keep`` with lang_pred, score and fit, a row per row of ``docs``; only ``keep`` and the text are read.
+
+    ``fit`` is the best language's log probability per byte of the letters; under ``UNIFORM`` a
+    text is told worse than by random bytes, so it is in none of the languages.
+    """
+    bounded_batches(docs.sparkSession)
+    kept = docs.select(*keep, letters(F.col(text_col)).alias("__text"))
+    fields = kept.drop("__text").schema
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.probs))
 
     def score(batches):
         languages, pieces, probs = sent.value
-        names, cache, table = np.array([*languages, UNKNOWN], dtype=object), {}, np.empty((0, len(languages)))
+        names, cache, table = np.array([*languages, UNKNOWN], dtype=object), {}, np.empty((len(languages), 0))
         for b in batches:
             sums = np.zeros((len(b), len(languages)))
-            ok = b["__letter"].to_numpy() & (len(languages) > 0)
-            for start in _parts(b["__text"], ok):
+            ok = (b["__text"] != "").to_numpy() & (len(languages) > 0)
+            for at in _parts(b["__text"]):
                 if len(cache) > CACHED:
-                    cache, table = {}, table[:0]
-                texts = [t.lower().encode().split() if f else [] for t, f in zip(b["__text"].iloc[start], ok[start])]
+                    cache, table = {}, table[:, :0]
+                texts = [t.encode().split() if f else [] for t, f in zip(b["__text"].iloc[at], ok[at])]
                 table = _learned(cache, table, texts, pieces, probs)
-                for i, chunks in zip(range(start.start, start.stop), texts):
-                    if chunks:
-                        sums[i] = table[[cache[c] for c in chunks]].sum(0)
-            out = b.drop(columns=["__text", "__letter"])
+                size = np.array([len(t) for t in texts])
+                of = np.fromiter(map(cache.__getitem__, chain.from_iterable(texts)), np.int64, size.sum())
+                full = np.flatnonzero(size)
+                for k in range(len(languages) if len(full) else 0):
+                    sums[at.start + full, k] = np.add.reduceat(table[k][of], (np.cumsum(size) - size)[full])
+            out = b.drop(columns="__text")
             best = np.where(ok, sums.argmax(1) if len(languages) else 0, len(languages))
             top = sums.max(1, keepdims=True) if len(languages) else sums
             share = 1 / np.exp(np.maximum(sums - top, -700)).sum(1) if len(languages) else np.zeros(len(b))
             out["lang_pred"] = names[best]
             out["score"] = np.where(ok, share, 0.0)
+            size = b["__text"].str.encode("utf-8").str.len().to_numpy()
+            out["fit"] = np.where(ok, top[:, 0] if len(languages) else 0.0, 0.0) / np.maximum(size, 1)
             yield out
 
     from pyspark.sql import types as T
 
-    return kept.mapInPandas(score, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return kept.mapInPandas(score, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType())]))
 
 
-def _parts(texts, ok, most: int = 4_000_000):
+def _parts(texts, most: int = 4_000_000):
     """Slices of the batch of about ``most`` characters, one text at least."""
     begin = total = 0
-    for i, (t, f) in enumerate(zip(texts, ok)):
-        total += len(t) if f else 0
+    for i, n in enumerate(texts.str.len()):
+        total += n
         if total >= most:
             yield slice(begin, i + 1)
             begin, total = i + 1, 0
@@ -293,19 +312,9 @@ def _parts(texts, ok, most: int = 4_000_000):
 
 
 def _learned(cache: dict, table: np.ndarray, texts: list[list[bytes]], pieces: Pieces, probs: np.ndarray) -> np.ndarray:
-    """``table`` with a row for each chunk between white space that is new; ``cache`` gets their numbers."""
-    new = set().union(*texts).difference(cache)
+    """``table`` (languages x words) with a column for each new word; ``cache`` gets their numbers."""
+    new = list(set(chain.from_iterable(texts)).difference(cache))
     if not new:
         return table
-    of, words, number = [], [], {}
-    order = sorted(new)
-    for i, c in enumerate(order):
-        cache[c] = len(table) + i
-        for w in _LETTERS.findall(c.decode()):
-            of.append(i)
-            words.append(number.setdefault(w, len(number)))
-    scores = word_scores(pieces, probs, [w.encode() for w in number])
-    add = np.zeros((len(order), probs.shape[1]))
-    if words:
-        np.add.at(add, np.array(of), scores[np.array(words)])
-    return np.vstack([table, add])
+    cache.update(zip(new, range(table.shape[1], table.shape[1] + len(new))))
+    return np.hstack([table, word_scores(pieces, probs, new).T])
