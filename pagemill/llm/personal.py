@@ -130,7 +130,7 @@ def disclosing(base: DataFrame, texts: DataFrame, work: Work) -> DataFrame:
     terms = work.table(both.select("term").distinct(), "terms")
     entities = said.select("th", "entity").distinct().join(both.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("n_e"))
     words = texts.select("th", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+", -1))).alias("term")).where(F.length("term") >= LETTERS)
-    held = maybe_in(words, F.col("term"), terms, F.col("term")).join(terms, "term", "left_semi").distinct()
+    held = maybe_in(words, F.col("term"), terms, F.col("term")).join(terms, "term").distinct()
     count = held.groupBy("term").agg(F.count("*").alias("n_t"))
     total = work.table(texts.select("th").distinct().agg(F.count("*").alias("n")), "total").first()["n"]
     n = F.lit(float(max(total, 1)))
