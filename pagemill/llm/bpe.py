@@ -7,7 +7,8 @@ encoded once, and its ids go back to every block that has it, where they are joi
 positions. Decoding joins ids to the pieces of the vocabulary, a table of fixed size.
 
 The words' numbers are written to a table bucketed by block, so documents are never shuffled:
-what moves are the distinct words of each block and their ids. A block holds up to ``BLOCK``
+what moves are the distinct words of each block, in compressed lists by a hash of the word, and
+their ids. A block holds up to ``BLOCK``
 characters (one document at least), so a task's memory is bounded by its longest document.
 
 Null texts count as empty; texts without words have no ids and decode to the empty text; words
@@ -20,6 +21,7 @@ from __future__ import annotations
 import atexit
 import json
 import uuid
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -29,9 +31,9 @@ from pyspark.sql import types as T
 from pagemill.llm.common import bounded_batches, shared_folder
 
 #: Characters of a block's texts.
-BLOCK = 16_000_000
-#: Words in one row of a block's word list.
-LIST = 4096
+BLOCK = 14_000_000
+#: Words whose ids a task remembers.
+KNOWN = 1_000_000
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -56,8 +58,12 @@ def unpack(data: bytes) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << (7 * shift), starts)
 
 
-def _blocks(batches, fields: list[str]):
-    """Rows of the block table: documents with their words' numbers, and lists of words."""
+def _bucket(words: list[bytes], buckets: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+
+
+def _blocks(batches, fields: list[str], buckets: int):
+    """Rows of the block table: documents with their words' numbers, and the block's words by bucket."""
     import pandas as pd
     from pyspark import TaskContext
 
@@ -68,28 +74,30 @@ def _blocks(batches, fields: list[str]):
         block = (part << 32) + seq
         seq += 1
         number: dict = {}
-        docs = [d for f in frames for d in f["__text"]]
         of = []
-        for text in docs:
+        for text in (d for f in frames for d in f["__text"]):
             words = text.encode("utf-8", "surrogatepass").split()
             new = set(words).difference(number)
             number.update(zip(new, range(len(number), len(number) + len(new))))
-            of.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+            of.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
         # Frequent words get small numbers, which take fewer bytes.
-        count = np.bincount(np.concatenate([*of, np.empty(0, np.int64)]), minlength=len(number))
-        order = np.argsort(-count, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        names = list(number)
-        words = [names[i].decode("utf-8", "surrogatepass") for i in order]
+        count = np.bincount(np.concatenate([*of, np.empty(0, np.int32)]), minlength=len(number))
+        rank = np.empty(len(number), np.int64)
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(number))
+        names = sorted(number)
+        code = rank[np.fromiter(map(number.__getitem__, names), np.int64, len(names))]
+        del number, count
         for f in frames:
             out = f.drop(columns="__text")
-            n = len(out)
-            yield out.assign(block=block, codes=[pack(rank[c]) for c in of[:n]], first=None, words=None)
-            of = of[n:]
-        for s in range(0, len(words), LIST * 16):
-            lists = [words[i : i + LIST] for i in range(s, min(len(words), s + LIST * 16), LIST)]
-            yield pd.DataFrame({**{c: [None] * len(lists) for c in fields}, "block": block, "codes": None, "first": range(s, s + LIST * len(lists), LIST), "words": lists})
+            yield out.assign(block=block, codes=[pack(rank[c]) for c in of[: len(out)]], bucket=None, words=None)
+            of = of[len(out) :]
+        at = _bucket(names, buckets)
+        order = np.argsort(at, kind="stable")
+        rows = []
+        for idx in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []:
+            rows.append((pack(code[idx]), int(at[idx[0]]), zlib.compress(b"\n".join([names[i] for i in idx]), 6)))
+        if rows:
+            yield pd.DataFrame({**{c: [None] * len(rows) for c in fields}, "block": block, **{c: [r[k] for r in rows] for k, c in enumerate(("codes", "bucket", "words"))}})
 
     for b in batches:
         begin = 0
@@ -123,44 +131,54 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[Column], text_col: s
     fields = source.drop("__text").schema.fields
     names = [f.name for f in fields]
     kept = [T.StructField(f.name, f.dataType) for f in fields]
-    schema = T.StructType([*kept, T.StructField("block", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("first", T.LongType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    schema = T.StructType([*kept, T.StructField("block", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())])
 
     name = f"pagemill_blocks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = source.mapInPandas(lambda it: _blocks(it, names), schema)
+    rows = source.mapInPandas(lambda it: _blocks(it, names, buckets), schema)
     rows.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     atexit.register(_forget, spark, name)
     table = spark.table(name)
 
     sent = spark.sparkContext.broadcast(spec)
-    words = table.where("words is not null").select("block", F.posexplode("words").alias("at", "word"), "first").select("block", (F.col("first") + F.col("at")).cast("int").alias("code"), "word")
 
     def encoded(batches):
+        import os
+
         from tokenizers import Tokenizer
 
-        tok, last, ids = Tokenizer.from_str(sent.value), None, ""
-        for b in batches:  # sorted by word: each distinct word of the partition is encoded once
-            col = b["word"].to_numpy()
-            change = np.flatnonzero(np.concatenate([[True], col[1:] != col[:-1]]))
-            new = col[change].tolist()
-            todo = [w for w in new if w != last]
-            got = {w: " ".join(map(str, e.ids)) for w, e in zip(todo, tok.encode_batch(todo, add_special_tokens=False))}
-            out = np.empty(len(change), dtype=object)
-            for k, w in enumerate(new):
-                out[k] = got.get(w, ids)
-            last, ids = (new[-1], out[-1]) if new else (last, ids)
-            yield b.drop(columns="word").assign(ids=np.repeat(out, np.diff([*change, len(col)])))
-
-    ids = words.repartition("word").sortWithinPartitions("word").mapInPandas(encoded, "block long, code int, ids string")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        tok, known = Tokenizer.from_str(sent.value), {}
+        number = [pack(np.array([i])) for i in range(tok.get_vocab_size())]
+        for b in batches:
+            sizes, ids = [], []
+            for data in b["words"]:
+                words = zlib.decompress(data).split(b"\n")
+                if len(known) > KNOWN:
+                    known = {}
+                new = [w for w in words if w not in known]  # each distinct word is encoded once
+                for s in range(0, len(new), 8192):
+                    got = tok.encode_batch([w.decode("utf-8", "surrogatepass") for w in new[s : s + 8192]], add_special_tokens=False)
+                    known.update(zip(new[s : s + 8192], [(len(e.ids), b"".join(map(number.__getitem__, e.ids))) for e in got]))
+                sizes.append(pack(np.array([known[w][0] for w in words])))
+                ids.append(b"".join([known[w][1] for w in words]))
+            yield b.drop(columns="words").assign(sizes=sizes, ids=ids)
+
+    words = table.where("words is not null").select("block", "bucket", "words")
+    ids = words.repartition("bucket").mapInPandas(encoded, "block long, bucket int, sizes binary, ids binary")
     pieces = spark.sparkContext.broadcast(pieces_of(spec)) if decoded else None
 
     def joined(left, right):
-        right = right.sort_values("code")
-        text = right["ids"].tolist()
-        flat = np.array(" ".join(t for t in text if t).split(), dtype=np.int32)
-        size = np.array([t.count(" ") + 1 if t else 0 for t in text], np.int64)
-        start = np.cumsum(size) - size
+        listed = left["bucket"].notna()
+        got = left.loc[listed, ["bucket", "codes"]].merge(right[["bucket", "sizes", "ids"]], on="bucket")
+        code = [unpack(c) for c in got["codes"]]
+        sizes = np.concatenate([*map(unpack, got["sizes"]), np.empty(0, np.int64)]).astype(np.int64)
+        flat = np.concatenate([*map(unpack, got["ids"]), np.empty(0, np.int64)]).astype(np.int32)
+        code = np.concatenate([*code, np.empty(0, np.int64)]).astype(np.int64)
+        size, start = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+        size[code], start[code] = sizes, np.cumsum(sizes) - sizes
         shown = _joined_pieces(flat, start, size, pieces.value) if decoded else None
+        left = left[~listed]
         all_ids, texts = [], []
         for data in left["codes"]:
             c = unpack(data)
@@ -174,7 +192,7 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[Column], text_col: s
         return out.assign(decoded=texts) if decoded else out
 
     out = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decoded else [])])
-    coded = table.where("codes is not null").select("block", *names, "codes")
+    coded = table.select("block", *names, "codes", "bucket")
     return coded.groupBy("block").cogroup(ids.groupBy("block")).applyInPandas(joined, out)
 
 
