@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import Work
 
 K = 20
-SAMPLE, GRAPH_K, HIDDEN = 8192, 16, 128
+SAMPLE, GRAPH_K, HIDDEN = 4096, 16, 128
 #: Vectors of a part; there are 8 to 64 parts.
 PART = 4096
 BLOCK, QUERIES = 8192, 1024
@@ -48,10 +48,10 @@ def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def neighbours(x: np.ndarray, q: np.ndarray, own: np.ndarray | None, k: int) -> np.ndarray:
     """For each row of q the k rows of x with the largest inner product; ``own`` are excluded."""
     out = []
-    for s in range(0, len(q), 1024):
-        score = q[s : s + 1024] @ x.T
+    for s in range(0, len(q), 256):
+        score = q[s : s + 256] @ x.T
         if own is not None:
-            score[np.arange(len(score)), own[s : s + 1024]] = -np.inf
+            score[np.arange(len(score)), own[s : s + 256]] = -np.inf
         out.append(np.argpartition(-score, k - 1, 1)[:, :k] if k < len(x) else np.argsort(-score, 1)[:, :k])
     return np.concatenate(out) if out else np.empty((0, k), int)
 
