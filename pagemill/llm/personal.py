@@ -129,9 +129,12 @@ def disclosing(base: DataFrame, texts: DataFrame, work: Work) -> DataFrame:
     both = work.table(pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT), "both")
     terms = work.table(both.select("term").distinct(), "terms")
     entities = said.select("th", "entity").distinct().join(both.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = texts.select("th", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+", -1))).alias("term")).where(F.length("term") >= LETTERS)
-    held = maybe_in(words, F.col("term"), terms, F.col("term")).join(terms, "term").distinct()
-    count = held.groupBy("term").agg(F.count("*").alias("n_t"))
+    # Every row counts for its words; a text of c copies then takes c - 1 back, so it counts once.
+    several = work.table(texts.groupBy("th").count().where("count > 1").select("th"), "several")
+    copies = maybe_in(texts, F.col("th"), several, F.col("th")).groupBy("th").agg(F.first("text").alias("text"), F.count("*").alias("c")).where("c > 1")
+    weighed = texts.select("text", F.lit(1).cast("long").alias("w")).unionByName(copies.select("text", (1 - F.col("c")).alias("w")))
+    words = weighed.select("w", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+", -1))).alias("term")).where(F.length("term") >= LETTERS)
+    count = maybe_in(words, F.col("term"), terms, F.col("term")).groupBy("term").agg(F.sum("w").alias("n_t"))
     total = work.table(texts.select("th").distinct().agg(F.count("*").alias("n")), "total").first()["n"]
     n = F.lit(float(max(total, 1)))
     pmi, ic = F.log(n * F.col("both") / (F.col("n_t") * F.col("n_e"))), F.log(n / F.col("n_e"))
