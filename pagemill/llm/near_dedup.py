@@ -11,10 +11,13 @@ nodes is split by longer and longer common prefixes, each region for itself, to
 what then still agrees is cut along the order. Within a region the candidates are all pairs, or in
 regions over ``SMALL`` the neighbours in the order and the ``NEAREST`` by signature of each node;
 after the links so found are joined to components, every pair of different components in those
-regions is looked at where the region is, so only links leave it. A pair is checked on full sets if
-its signatures agree in ``CUT`` of their places. A pair at the very threshold shares no region with
-probability (1 - 0.75^3)^24 = 2e-6 and is lost to ``CUT`` with about as much (4.4 standard
-deviations); in regions that had to be split, longer prefixes raise the former.
+regions is looked at where the region is, so only links leave it. Splitting separates nodes that
+are linked, so the regions of ``DEPTH`` values that had to be split are then taken whole: they are
+dealt into blocks, and every node outside a region's largest component meets every block (see
+``across``). A pair is checked on full sets if its signatures agree in ``CUT`` of their places. A
+pair at the very threshold shares no region of ``DEPTH`` values with probability
+(1 - 0.75^3)^24 = 2e-6 and is lost to ``CUT`` with about as much (4.4 standard deviations),
+however many nodes its regions have.
 
 Nothing is collected: sets, signatures, links and components stay distributed tables.
 
@@ -189,29 +192,108 @@ def _pairs(batches, second: bool):
         yield pd.DataFrame({"u": node[i], "v": node[j]})
 
 
-def forest(nodes: DataFrame, work: Work) -> DataFrame:
-    """(key, node): the members of the forest's regions of two and more nodes."""
+def _candidates(key, node, comp, n, sig, probe, member):
+    """Of whole blocks: (row of a probe, rows of its candidates, likest first) of different components."""
+    rank = np.unique(node, return_inverse=True)[1]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    for s, m in zip(start, np.diff([*start, len(key)])):
+        of = np.arange(s, s + m)[member[s : s + m]]
+        own, size, place, other, alone = sig[of], n[of], rank[of], comp[of], probe[of]
+        for x in np.arange(s, s + m)[probe[s : s + m]]:
+            ok = (other != comp[x]) & (100 * np.minimum(size, n[x]) >= PERCENT * np.maximum(size, n[x]))
+            ok = np.flatnonzero(ok & (~alone | (place > rank[x])))  # two probes meet in the block of the later one
+            if not len(ok):
+                continue
+            like = (own[ok] == sig[x]).mean(1)
+            ok, like = ok[like >= CUT], like[like >= CUT]
+            if len(ok):
+                yield x, of[ok[np.argsort(-like, kind="stable")]]
+
+
+def _columns(b):
+    import pandas as pd
+
+    sig = np.frombuffer(b"".join(b["sig"]), np.uint8).reshape(len(b), HASHES)
+    return b["key"].to_numpy(), b["node"].to_numpy(), pd.factorize(b["comp"])[0], b["n"].to_numpy(), sig, b["probe"].to_numpy(bool), b["member"].to_numpy(bool)
+
+
+def _concerned(batches):
+    """The rows of blocks that are in any candidate pair."""
+    for b in _grouped(batches):
+        use = np.zeros(len(b), bool)
+        for x, found in _candidates(*_columns(b)):
+            use[x] = use[found] = True
+        yield b[use]
+
+
+def _joining(batches):
+    """Links between components, one for each two of a block that have any."""
+    import pandas as pd
+
+    for b in _grouped(batches):
+        columns = _columns(b)
+        key, node, comp, sets = columns[0], columns[1], columns[2], b["shingles"].to_numpy()
+        known, left, right = set(), [], []
+        for x, found in _candidates(*columns):
+            for y in found:
+                two = key[x], min(comp[x], comp[y]), max(comp[x], comp[y])
+                if two not in known and _linked(sets[x], sets[y]):
+                    known.add(two), left.append(node[x]), right.append(node[y])
+        yield pd.DataFrame({"u": left, "v": right})
+
+
+def across(wide: DataFrame, nodes: DataFrame, roots: DataFrame, sets_of, work: Work) -> DataFrame | None:
+    """(u, v): links between different components in the split regions ``wide`` (key, count, node), or None.
+
+    Nodes of one component need not meet, so in each region the nodes outside its largest component
+    are probes: every pair with a probe is looked at. Blocks hold about ``REGION`` members each, and a
+    probe goes to every block of its region; rows grow with probes times blocks.
+    """
+    split = wide.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    shares = split.groupBy("key", "comp").agg(F.count("*").alias("rows"))
+    several = work.table(shares.groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1").select("key", "most"), "several")
+    parts = F.ceil(F.col("count") / REGION).cast("int")
+    rows = split.join(several, "key").withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("probe", F.col("comp") != F.col("most"))
+    rows = rows.join(nodes.select("node", "n", "sig"), "node")
+    block = F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array("own")))
+    rows = rows.select("key", "node", "comp", "n", "sig", "probe", "own", block.alias("block"))
+    rows = rows.select(F.xxhash64("key", "block").alias("key"), "node", "comp", "n", "sig", "probe", (F.col("own") == F.col("block")).alias("member"))
+    concerned = rows.repartition("key").sortWithinPartitions("key").mapInPandas(_concerned, rows.schema)
+    concerned = work.table(concerned, "concerned")
+    if concerned.isEmpty():
+        return None
+    sets = sets_of(concerned.select("node"))
+    found = concerned.join(sets, "node").repartition("key").sortWithinPartitions("key").mapInPandas(_joining, "u binary, v binary")
+    found = work.table(found.distinct(), "across")
+    work.drop(sets, concerned)
+    return None if found.isEmpty() else found
+
+
+def forest(nodes: DataFrame, work: Work) -> tuple[DataFrame, DataFrame | None]:
+    """(key, node): the members of the forest's regions of two and more nodes; (key, count, node) of those that were split."""
     start = nodes.select("node", F.concat("mh", "mh").alias("mh"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
 
     def at(depth: int) -> Column:
         return F.xxhash64("tree", F.lit(depth), F.expr(f"substring(mh, tree * {4 * DEPTH} + 1, {4 * depth})"))
 
-    rows, done = start.withColumn("key", at(DEPTHS[0])), []
+    rows, done, wide = start.withColumn("key", at(DEPTHS[0])), [], None
     for depth, deeper in zip(DEPTHS, [*DEPTHS[1:], None]):
         crowded = None
         if deeper is not None:
-            crowded = work.table(rows.groupBy("key").count().where(F.col("count") > REGION).select("key"), f"crowded{depth}")
+            crowded = work.table(rows.groupBy("key").count().where(F.col("count") > REGION), f"crowded{depth}")
             if crowded.isEmpty():
                 crowded = None
         if crowded is None:
             done.append(rows)
             break
         done.append(rows.join(crowded, "key", "left_anti"))
-        rows = work.table(rows.join(crowded, "key", "left_semi").withColumn("key", at(deeper)).select("node", "mh", "tree", "key"), f"rows{deeper}")
+        split = work.table(rows.join(crowded, "key").select("node", "mh", "tree", "key", "count"), f"split{depth}")
+        wide = split.select("key", "count", "node") if wide is None else wide
+        rows = split.drop("count").withColumn("key", at(deeper))
     out = done[0].select("key", "node")
     for d in done[1:]:
         out = out.unionByName(d.select("key", "node"))
-    return work.table(out.repartition("key").sortWithinPartitions("key").mapInPandas(_several, "key long, node binary"), "regions")
+    return work.table(out.repartition("key").sortWithinPartitions("key").mapInPandas(_several, "key long, node binary"), "regions"), wide
 
 
 def components(edges: DataFrame, work: Work) -> DataFrame:
@@ -257,7 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = work.table(source.mapInPandas(_signatures, f"doc_id {id_type}, th binary, node binary, n long, mh binary, sig binary"), "signatures")
     per_task = slim.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("mh").alias("mh"), F.max("sig").alias("sig"))
     nodes = work.table(per_task, "nodes")
-    regions = forest(nodes.select("node", "mh"), work)
+    regions, wide = forest(nodes.select("node", "mh"), work)
     members = regions.join(nodes.select("node", "n", "sig", F.hex(F.substring("mh", 1, 16)).alias("order")), "node")
     members = work.table(members.repartition("key").sortWithinPartitions("key", "order"), "members")
 
@@ -290,7 +372,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = work.table(pairs(crowded.join(sets, "node"), True), "found")
         work.drop(sets)
         if not found.isEmpty():
-            roots = components(links.unionByName(found), work)
+            links = links.unionByName(found)
+            roots = components(links, work)
+    found = None if wide is None else across(wide, nodes, roots, sets_of, work)
+    if found is not None:
+        roots = components(links.unionByName(found), work)
     joined = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     lookup = work.table(joined.join(ids, "root").select("node", "component_id"), "components")

@@ -65,6 +65,28 @@ def test_near_equals_brute_force(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == near_brute(rows)
 
 
+def crowd(n=900, linked=60, seed=5):
+    """A group of ``n`` near copies, and documents that only just reach some of them, or only just do not."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(200)]
+    rows = [(i, " ".join([*base[:100], word(), *base[101:]])) for i in range(n)]
+    for i in range(n, n + linked):
+        w = rows[rng.randrange(n)][1].split()
+        for k in (20, 45, 60, 75, 125, 150)[: rng.randint(3, 6)]:
+            w[k] = word()
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_near_links_of_a_crowded_region(spark):
+    rows = crowd()
+    want = near_brute(rows)
+    assert sum(c == 0 for _, c, _ in want.values()) > 920 and any(c > 0 for _, c, _ in want.values())
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == want
+
+
 def test_near_odd_rows(spark):
     got = near_dedup.near_duplicates(odd(spark)).collect()
     assert len(got) == 12
