@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import rules, urls
@@ -26,14 +26,31 @@ def gated(pages: DataFrame) -> DataFrame:
     return pages.withColumn("early", early)
 
 
-def site(pages: DataFrame, seeds: DataFrame, most: int = 4, extractor: Hook | None = None) -> DataFrame:
-    """One row per page reached from ``seeds`` (url): key, level, status, title, nav_levels, file_path, content_hash, images."""
-    keyed = links.first_seen(pages.withColumn("key", urls.key_query(F.col("url"))), ["key"], ["page_id"])
+def starts(keyed: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(key, url): the home pages, and the pages that no other page links to."""
+    found = links.page_links(parsed.where("early is null"), ["key"]).select(F.col("key").alias("parent"), urls.key_query(F.col("link")).alias("key"))
+    linked = found.where("parent <> key").select("key").distinct().withColumn("linked", F.lit(True))
+    home = F.col("url").rlike(r"^\w+://[^/?#]+/?$")
+    return keyed.where("key is not null").join(linked, "key", "left").where(home | F.col("linked").isNull()).select("key", "url")
+
+
+def site(pages: DataFrame, seeds: DataFrame | None = None, most: int = 4, extractor: Hook | None = None) -> DataFrame:
+    """One row per page reached from ``seeds`` (url): key, level, status, title, nav_levels, file_path, content_hash, images.
+
+    Without seeds it is one row per row of ``pages``: the crawl begins at ``starts``, what it does not
+    reach in ``most`` levels is a start of its own, further rows of one key are duplicates and rows
+    without a URL are skipped, both without a level.
+    """
+    whole = seeds is None
+    keyed =links.first_seen(pages.withColumn("key", urls.key_query(F.col("url"))), ["key"], ["page_id"])
     names = ["links", "heading", "text", "text_length", "hrefs", "title", "pager_class", "crumb_levels", "images", "structured", "publish_text"]
     parsed = parse_pages(gated(keyed), [F.col(c) for c in ("key", "url", "page_id", "early")], names, F.col("url"), F.col("html"))
     parsed = parsed if extractor is None else extractor(parsed)
-    start = keyed.join(seeds.select(urls.key_query(F.col("url")).alias("key")).distinct(), "key", "left_semi")
+    start = starts(keyed, parsed) if whole else keyed.join(seeds.select(urls.key_query(F.col("url")).alias("key")).distinct(), "key", "left_semi")
     reached = links.crawl(start.select("key", "url"), parsed.select("key", "url", F.when(F.col("early").isNull(), F.col("links")).alias("links")), most)
+    if whole:
+        rest = keyed.where("key is not null").join(reached.select("key"), "key", "left_anti")
+        reached = reached.unionByName(rest.select("key", "url", F.lit(0).alias("level"), F.array().cast("array<string>").alias("nav_path")))
     rows = reached.select("key", "level", "nav_path").join(parsed, "key")
     listing = rules.list_page(F.col("text_length"), F.col("hrefs"), F.col("title"), F.col("pager_class"), F.col("text"))["is_list"]
     rows = rows.withColumn("is_list", listing).withColumn("path", categories.merged_path(F.col("nav_path"), F.col("crumb_levels")))
@@ -46,7 +63,12 @@ def site(pages: DataFrame, seeds: DataFrame, most: int = 4, extractor: Hook | No
     rows = rows.withColumn("status", status).withColumn("nav_levels", categories.nav_levels(F.col("path"), F.lit("其他页面"), F.col("url"), F.col("heading")))
     rows = rows.withColumn("publish_time", rules.publish_time(F.col("publish_text"))).withColumn("n_images", F.size("images"))
     rows = categories.file_paths(rows, categories.folder_of(F.col("nav_levels")), rules.safe_name(F.col("heading")), ["level", "key"])
-    return rows.select("page_id", "key", "url", "level", "status", F.col("heading").alias("title"), "publish_time", "nav_levels", "file_path", "content_hash", "n_images", F.col("structured").alias("html"))
+    out = rows.select("page_id", "key", "url", "level", "status", F.col("heading").alias("title"), "publish_time", "nav_levels", "file_path", "content_hash", "n_images", F.col("structured").alias("html"))
+    if not whole:
+        return out
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("page_id"))
+    more = pages.withColumn("key", urls.key_query(F.col("url"))).withColumn("nth", nth).where("nth > 1 or key is null")
+    return out.unionByName(more.select("page_id", "key", "url", F.when(F.col("key").isNull(), "skipped").otherwise("duplicate").alias("status")), allowMissingColumns=True)
 
 
 def outcome(rows: DataFrame) -> DataFrame:

@@ -35,8 +35,7 @@ def image_embedding(spark, sf_dir):
 
 
 def _site(spark, sf_dir):
-    p = pages(spark, sf_dir)
-    return crawl.site(p, p.where("page_id % 2 = 0").select("url"))
+    return crawl.site(pages(spark, sf_dir))
 
 
 @register("site_crawl")
