@@ -150,9 +150,9 @@ def golden_forall_exists(spark, sf_dir):
 
 @register("string_similarity")
 def string_similarity(spark, sf_dir):
-    """Neighbouring documents' heads compared by matching blocks."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(40)).alias("head"))
-    return d.join(d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("head").alias("before")), "doc_id").select("doc_id", F.round(evaluate.similarity("head", "before"), 6).alias("ratio"))
+    """Neighbouring documents' whole texts compared by matching blocks."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.join(d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("before")), "doc_id").select("doc_id", F.round(evaluate.similarity("text", "before"), 6).alias("ratio"))
 
 
 def _stream(spark, sf_dir):
