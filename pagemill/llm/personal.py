@@ -2,20 +2,20 @@ r"""Personal data: patterns for direct identifiers, and information-theoretic sa
 
 Base spans are found by patterns (see ``PATTERNS``; each kind by itself, leftmost and not
 overlapping; what fails its check is dropped without another try). Each value found is a protected
-entity. Words that stand within ``WINDOW`` characters of an entity are its terms. Over all distinct
-texts of the corpus
+entity. Words that stand within ``WINDOW`` characters of an entity are its terms: all that have a
+letter, and numbers of ``DIGITS`` digits and more. Over all distinct texts of the corpus
 
     PMI(t; e) = log(N n(t, e) / (n(t) n(e))),   IC(e) = log(N / n(e))
 
 n(t, e) counts texts with t near e, n(t) and n(e) texts with them. PMI / IC says which share of the
-entity's information its term reveals; terms at or over ``THRESHOLD`` that at least ``SUPPORT``
-texts have beside the entity disclose it. In texts with the entity, all their occurrences are spans
-of kind ``term``, except where they touch a base span. ``sanitise`` generalises base spans to their
-kind and removes terms.
+entity's information its term reveals; terms at or over ``THRESHOLD`` disclose it, however few texts
+have the entity: beside one of a single text these are the words of at most N^(1 - ``THRESHOLD``)
+texts. In texts with the entity, all their occurrences are spans of kind ``term``, except where they
+touch a base span. ``sanitise`` generalises base spans to their kind and removes terms.
 
-All of it runs as DataFrame functions. The counts cover every row; terms too rare to be counted
-``SUPPORT`` times cannot disclose. Patterns are written without backtracking, so long texts take
-linear time, and offsets (code points) are summed in blocks.
+All of it runs as DataFrame functions. The counts cover every row; only terms whose texts beside
+entities are by themselves too many to disclose are not counted further. Patterns are written
+without backtracking, so long texts take linear time, and offsets (code points) are summed in blocks.
 
 Null texts count as empty. Copies of a text count once in the statistics and get the same spans.
 Null ids and repeated rows are kept as they are. Empty tables give empty results.
@@ -36,8 +36,9 @@ PATTERNS = {
     "card": ("", r"[0-9](?:[\x20-]?+[0-9])++"),
     "phone": ("+", r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-WINDOW, LETTERS = 48, 4
-SUPPORT, THRESHOLD = 3, 0.9
+WINDOW, THRESHOLD = 48, 0.9
+#: Numbers of fewer digits are no terms; words with a letter always are.
+DIGITS = 4
 #: Matches whose offsets are summed at once.
 RUN = 256
 
@@ -115,7 +116,7 @@ def near_words(text: Column, span: Column) -> Column:
     # The word at a cut end may be a part of one.
     whole_before = F.when(span["start"] > WINDOW, F.slice(before, F.lit(2), F.greatest(F.size(before) - 1, F.lit(0)))).otherwise(before)
     whole_after = F.when(span["end"] + WINDOW < F.length(text), F.slice(after, F.lit(1), F.greatest(F.size(after) - 1, F.lit(0)))).otherwise(after)
-    return F.filter(F.transform(F.concat(whole_before, whole_after), F.lower), lambda w: F.length(w) >= LETTERS)
+    return F.filter(F.transform(F.concat(whole_before, whole_after), F.lower), lambda w: (F.length(w) >= DIGITS) | w.rlike(r"\p{L}"))
 
 
 def disclosing(base: DataFrame, texts: DataFrame, work: Work) -> DataFrame:
@@ -126,20 +127,25 @@ def disclosing(base: DataFrame, texts: DataFrame, work: Work) -> DataFrame:
     """
     said = base.select("th", F.explode("near").alias("x")).select("th", "x.entity", "x.terms")
     pairs = work.table(said.select("th", "entity", F.explode(F.array_distinct("terms")).alias("term")).distinct(), "pairs")
-    both = work.table(pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT), "both")
-    terms = work.table(both.select("term").distinct(), "terms")
-    entities = said.select("th", "entity").distinct().join(both.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("n_e"))
+    total = work.table(texts.select("th").distinct().agg(F.count("*").alias("n")), "total").first()["n"]
+    n = F.lit(float(max(total, 1)))
+    entities = said.select("th", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    both = work.table(pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).join(entities, "entity"), "both")
+    # By the threshold n(t) is at most this, and it is at least the texts with t near any entity.
+    most = both.groupBy("term").agg(F.max(F.col("both") * F.pow(n / F.col("n_e"), F.lit(1 - THRESHOLD))).alias("most"))
+    beside = pairs.select("th", "term").distinct().groupBy("term").agg(F.count("*").alias("beside"))
+    terms = work.table(most.join(beside, "term").where(F.col("beside") <= 1.000001 * F.col("most")).select("term"), "terms")
     # Every row counts for its words; a text of c copies then takes c - 1 back, so it counts once.
     several = work.table(texts.groupBy("th").count().where("count > 1").select("th"), "several")
     copies = maybe_in(texts, F.col("th"), several, F.col("th")).groupBy("th").agg(F.first("text").alias("text"), F.count("*").alias("c")).where("c > 1")
     weighed = texts.select("text", F.lit(1).cast("long").alias("w")).unionByName(copies.select("text", (1 - F.col("c")).alias("w")))
-    words = weighed.select("w", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+", -1))).alias("term")).where(F.length("term") >= LETTERS)
-    count = maybe_in(words, F.col("term"), terms, F.col("term")).groupBy("term").agg(F.sum("w").alias("n_t"))
-    total = work.table(texts.select("th").distinct().agg(F.count("*").alias("n")), "total").first()["n"]
-    n = F.lit(float(max(total, 1)))
+    words = weighed.select("w", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+", -1))).alias("term")).where(F.length("term") > 0)
+    # Summed in each task before anything is joined, so what is exchanged grows with the vocabulary.
+    count = words.groupBy("term").agg(F.sum("w").alias("n_t")).join(terms, "term")
     pmi, ic = F.log(n * F.col("both") / (F.col("n_t") * F.col("n_e"))), F.log(n / F.col("n_e"))
     # n(t) counts at least the texts with t beside e (a word may be cut otherwise elsewhere).
-    known = both.join(count, "term", "left").withColumn("n_t", F.greatest(F.coalesce("n_t", F.lit(0).cast("long")), F.col("both"))).join(entities, "entity")
+    rare = maybe_in(both, F.col("term"), terms, F.col("term")).join(terms, "term")
+    known = rare.join(count, "term", "left").withColumn("n_t", F.greatest(F.coalesce("n_t", F.lit(0).cast("long")), F.col("both")))
     return work.table(known.where((ic > 0) & (pmi >= THRESHOLD * ic)).select("entity", "term"), "disclosing")
 
 

@@ -50,6 +50,15 @@ def test_terms_that_disclose(spark):
     assert clean[0] == f"text 0 {common[0]} <EMAIL> the   number 0" and clean[201] == ""
 
 
+def test_terms_beside_rare_entities(spark):
+    rows = [(i, f"some common words stand here and there {i}") for i in range(50)]
+    rows += [(100, "some words: Ann Lee, here, zoe@example.org"), (101, "common words 李明 stand +49 30 1234567 there"), (102, "words bo@example.org of Ann here"), (103, "bo@example.org"), (104, "some words by xy bo@example.org")]
+    found = personal.find(spark.createDataFrame(rows, "doc_id long, text string"), [F.col("doc_id"), F.col("text")]).collect()
+    got = {r["doc_id"]: [r["text"][t["start"] : t["end"]] for t in r["terms"]] for r in found}
+    assert got[100] == ["Lee"] and got[101] == ["李明"] and got[102] == ["of"] and got[103] == [] and got[104] == ["by", "xy"]
+    assert not any(got[i] for i in range(50))
+
+
 def test_personal_odd(spark):
     got = personal.digests(personal.find(odd(spark), [F.col("doc_id")])).collect()
     assert len(got) == 12
