@@ -7,8 +7,11 @@ A text's score is the sum of its words' logarithms over all its words; the langu
 largest sum is predicted, with its posterior under equal priors as score.
 
 Training: expected piece counts from the forward-backward algorithm, a few rounds of EM, each a
-distributed aggregate whose result has at most (pieces x languages) rows. The model is fitted on a
-sample of at most about ``SAMPLE`` labelled rows a language, picked by hash; nothing else is sampled.
+distributed aggregate whose result has at most (pieces x languages) rows. Every language's shares are
+mixed with ``SHARED`` parts of one background, the mean of all languages and a little of every piece,
+so what no language knows is equally likely in all, however little text one has. The model is fitted
+on a sample of at most about ``SAMPLE`` labelled rows a language, picked by hash; nothing else is
+sampled. For the counts alone, words over ``LONG`` bytes are cut into runs of whole characters.
 
 Words are runs of letters in lower case. Texts that are null or hold no letter get ``und`` and 0.
 Texts of any length are scored whole; words over ``LONG`` bytes are scored one by one with
@@ -33,8 +36,8 @@ SAMPLE = 4000
 ROUNDS = 3
 #: Bytes of the longest piece that is used, and of the longest word that is scored in a block.
 PIECE, LONG = 12, 48
-#: Added to every expected count.
-SMOOTH = 0.05
+#: The background's part in every language, and the part of the background that all pieces share.
+SHARED, ALL = 0.1, 0.01
 #: Words kept per task before its table of scores is emptied.
 CACHED = 400_000
 UNKNOWN = "und"
@@ -102,7 +105,7 @@ def _places(h: np.ndarray, table: int) -> np.ndarray:
         return (h * _MIX[table] >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-def _blocks(words: list[bytes]):
+def _blocks(words: list[bytes], front: bytes = b" "):
     """(indices, matrix of bytes) of words of one length, a space put in front."""
     by: dict[int, list[int]] = {}
     for i, w in enumerate(words):
@@ -110,7 +113,19 @@ def _blocks(words: list[bytes]):
     for n, idx in by.items():
         for s in range(0, len(idx), 8192):
             part = idx[s : s + 8192]
-            yield part, np.frombuffer(b"".join(b" " + words[i] for i in part), np.uint8).reshape(len(part), n + 1)
+            yield part, np.frombuffer(b"".join(front + words[i] for i in part), np.uint8).reshape(len(part), n + len(front))
+
+
+def _runs(word: bytes) -> list[bytes]:
+    """A word cut into runs of at most ``LONG`` bytes, no character torn."""
+    out, at = [], 0
+    while len(word) - at > LONG:
+        end = at + LONG
+        while end > at + LONG - 4 and word[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(word[at:end])
+        at = end
+    return [*out, word[at:]]
 
 
 def _piece_grid(pieces: Pieces, m: np.ndarray):
@@ -166,23 +181,28 @@ def _long_score(pieces: Pieces, probs: np.ndarray, word: bytes) -> np.ndarray:
 
 
 def expected_counts(pieces: Pieces, probs: np.ndarray, words: list[bytes], lang: np.ndarray, weight: np.ndarray, n_lang: int) -> np.ndarray:
-    """(pieces x languages) expected counts of the pieces over all segmentations, by forward-backward."""
+    """(pieces x languages) expected counts of the pieces over all segmentations, by forward-backward.
+
+    Of a word over ``LONG`` bytes each run counts by itself.
+    """
     out = np.zeros((pieces.n + 1, n_lang))
-    short = [i for i, w in enumerate(words) if len(w) <= LONG]
-    for part, m in _blocks([words[i] for i in short]):
-        rows = np.array([short[i] for i in part])
-        of, w, n = lang[rows], weight[rows], m.shape[1]
-        grid = sorted(_piece_grid(pieces, m).items())
-        p = {k: probs[f, of] for k, f in grid}
-        alpha, beta = np.zeros((n + 1, len(m))), np.zeros((n + 1, len(m)))
-        alpha[0], beta[n] = 1, 1
-        for (s, e), _ in grid:
-            alpha[e] += alpha[s] * p[s, e]
-        for (s, e), _ in reversed(grid):
-            beta[s] += beta[e] * p[s, e]
-        scale = w / np.maximum(alpha[n], 1e-300)
-        for (s, e), f in grid:
-            np.add.at(out, (f, of), alpha[s] * beta[e] * p[s, e] * scale)
+    first = [(_runs(w)[0] if len(w) > LONG else w, i) for i, w in enumerate(words)]
+    later = [(r, i) for i, w in enumerate(words) if len(w) > LONG for r in _runs(w)[1:]]
+    for runs, front in ((first, b" "), (later, b"")):
+        for part, m in _blocks([r for r, _ in runs], front):
+            rows = np.array([runs[i][1] for i in part])
+            of, w, n = lang[rows], weight[rows], m.shape[1]
+            grid = sorted(_piece_grid(pieces, m).items())
+            p = {k: probs[f, of] for k, f in grid}
+            alpha, beta = np.zeros((n + 1, len(m))), np.zeros((n + 1, len(m)))
+            alpha[0], beta[n] = 1, 1
+            for (s, e), _ in grid:
+                alpha[e] += alpha[s] * p[s, e]
+            for (s, e), _ in reversed(grid):
+                beta[s] += beta[e] * p[s, e]
+            scale = w / np.maximum(alpha[n], 1e-300)
+            for (s, e), f in grid:
+                np.add.at(out, (f, of), alpha[s] * beta[e] * p[s, e] * scale)
     return out[: pieces.n]
 
 
@@ -203,6 +223,15 @@ def _with_none(p: np.ndarray) -> np.ndarray:
     return np.vstack([p, np.zeros((1, p.shape[1]))])
 
 
+def smoothed(counts: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Shares of the pieces in each language (a column), mixed with one background; a language without counts is the background."""
+    total = counts.sum(0)
+    own = counts / np.maximum(total, 1e-300)
+    shared = (1 - ALL) * own.sum(1, keepdims=True) / max(1, (total > 0).sum()) + ALL * start
+    out = np.where(total > 0, (1 - SHARED) * own + SHARED * shared, shared)
+    return out / out.sum(0)
+
+
 def letters(text: Column) -> Column:
     """The runs of letters in lower case, one space between; null texts have none."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " "))
@@ -234,8 +263,10 @@ def fit(docs: DataFrame, vocabulary_path: str, lang_col: str = "lang", id_col: s
                     at[w] = at.get(w, 0) + 1
             yield pd.DataFrame([(k, w, n) for k, at in count.items() for w, n in at.items()], columns=["lang", "word", "n"])
 
-    table = work.table(picked.select("lang", letters(F.col("text")).alias("text")).mapInPandas(words, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    table = table.repartition(max(8, min(512, table.count() // 50_000 + 1)), "word")
+    counted = picked.select("lang", letters(F.col("text")).alias("text")).mapInPandas(words, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # Each round reads it in as many tasks as there are cores: its rows are few, the work on each is much.
+    table = work.table(counted.repartition(spark.sparkContext.defaultParallelism, "word"), "words")
+    start = model.probs[:-1, :1]
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((model.pieces, model.probs))
 
@@ -250,9 +281,9 @@ def fit(docs: DataFrame, vocabulary_path: str, lang_col: str = "lang", id_col: s
             yield pd.DataFrame({"piece": i.astype(np.int32), "lang": j.astype(np.int32), "n": total[i, j]})
 
         got = table.mapInPandas(count, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
-        new = np.full((model.pieces.n, len(size)), SMOOTH)
+        new = np.zeros((model.pieces.n, len(size)))
         new[got["piece"], got["lang"]] += got["n"]
-        model = Model(model.languages, model.pieces, _with_none(new / new.sum(0)))
+        model = Model(model.languages, model.pieces, _with_none(smoothed(new, start)))
         sent.unpersist()
     return model
 
