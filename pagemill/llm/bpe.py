@@ -1,19 +1,24 @@
 """BPE encoding and decoding with a table of distinct words.
 
-Texts are split into words at ASCII white space, which a tokenizer that drops white space never
-joins. A block of texts keeps its words once and writes, per document, the words' numbers in
-order (their positions). Over all blocks the words then meet by word, each distinct word is
-encoded once, and its ids go back to every block that has it, where they are joined to the
-positions. Decoding joins ids to the pieces of the vocabulary, a table of fixed size.
+Spark splits texts into words at ASCII white space, which a tokenizer that drops white space never
+joins (``encode`` tries this on its tokenizer and refuses another). A block of texts keeps its words
+once and writes, per document, the words' numbers in order (their positions). Over all blocks the
+words then meet by a hash of the word, each distinct word is encoded once, and its ids go back to
+every block that has it, where they are joined to the positions.
 
-The words' numbers are written to a table bucketed by block, so documents are never shuffled:
-what moves are the distinct words of each block, in compressed lists by a hash of the word, and
-their ids. A block holds up to ``BLOCK``
-characters (one document at least), so a task's memory is bounded by its longest document.
+The words' numbers are written to a table bucketed by block, so documents are never shuffled: what
+moves are the distinct words of each block, in compressed lists by bucket of the hash, and their
+ids. Both sides are arrow arrays from end to end, so a task holds a few copies of one block (``BLOCK``
+characters, one document at least) or of ``CHUNK`` bytes of words, however large the table.
+
+Decoding joins ids to the table of pieces, which has a row an id and is broadcast: the vocabulary
+bounds it. It sees ids alone. ``encode`` can do it in the task that made the ids; ``decode`` does it
+for any table of ids.
 
 Null texts count as empty; texts without words have no ids and decode to the empty text; words
 that a tokenizer gives no ids have none. Repeated rows are encoded each. Empty tables give empty
-results. Special tokens inside texts become their ids, as in the tokenizer itself.
+results. Special tokens inside texts become their ids, as in the tokenizer itself. Columns to keep
+travel in a struct, so their names cannot clash with those used here, save ``ids`` (and ``decoded``).
 """
 
 from __future__ import annotations
@@ -28,88 +33,271 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import bounded_batches, shared_folder
+from pagemill.llm.common import SPACE, bounded_batches, shared_folder
 
-#: Characters of a block's texts.
-BLOCK = 14_000_000
-#: Words whose ids a task remembers.
-KNOWN = 1_000_000
+#: Characters (bytes in UTF-8) of a block's words.
+BLOCK = 8_000_000
+#: Bytes of words that are encoded at a time; a bucket that holds more is encoded in several goes.
+CHUNK = 24_000_000
+#: Buckets of words for each partition of a shuffle.
+BUCKETS = 2
 
 
 def pack(numbers: np.ndarray) -> bytes:
     """Numbers below 2^28 as bytes: seven bits each, the high bit says that more follow."""
+    return _packed(numbers)[0].tobytes()
+
+
+def _packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ``pack``, and where each number begins, the end last."""
     n = numbers.astype(np.uint32)
     size = 1 + (n >= 1 << 7).astype(np.int64) + (n >= 1 << 14) + (n >= 1 << 21)
-    at = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), np.uint8)
+    at = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(int(at[-1]), np.uint8)
     for k in range(4):
-        has = size > k
+        has = np.flatnonzero(size > k)
         out[at[has] + k] = ((n[has] >> np.uint32(7 * k)) & np.uint32(127)) | np.where(size[has] > k + 1, 128, 0).astype(np.uint32)
-    return out.tobytes()
+    return out, at
 
 
-def unpack(data: bytes) -> np.ndarray:
+def unpack(data) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
         return np.empty(0, np.int64)
     ends = np.flatnonzero(raw < 128)
     starts = np.concatenate([[0], ends[:-1] + 1])
-    shift = np.arange(len(raw)) - np.repeat(starts, ends - starts + 1)
-    return np.add.reduceat((raw & 127).astype(np.int64) << (7 * shift), starts)
+    out = (raw[starts] & 127).astype(np.int64)
+    size = ends - starts + 1
+    for k in range(1, 4):
+        has = np.flatnonzero(size > k)
+        out[has] |= (raw[starts[has] + k] & 127).astype(np.int64) << (7 * k)
+    return out
+
+
+def _binaries(raw: np.ndarray, cuts: np.ndarray):
+    """An arrow array of binaries: ``raw`` cut at ``cuts``."""
+    import pyarrow as pa
+
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(raw)])
+
+
+def _content(array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, cuts) of an arrow array of binaries or strings without nulls."""
+    import pyarrow as pa
+
+    if isinstance(array, pa.ChunkedArray):
+        array = array.combine_chunks()
+    if not len(array):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    cuts = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
+    data = array.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]] if data is not None else np.empty(0, np.uint8)
+    return raw, cuts - cuts[0]
 
 
-def _bucket(words: list[bytes], buckets: int) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+def _gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[start[0] : start[0] + size[0]], values[start[1] : ...], ... in one array."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(start - (ends - size), size) + np.arange(total)]
 
 
-def _blocks(batches, fields: list[str], buckets: int):
-    """Rows of the block table: documents with their words' numbers, and the block's words by bucket."""
-    import pandas as pd
+def _hashed(raw: np.ndarray, cuts: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket of each word, by a polynomial of its bytes."""
+    size = np.diff(cuts)
+    power = np.cumprod(np.concatenate([[1], np.full(int(size.max(initial=1)), 0x100000001B3, np.uint64)]).astype(np.uint64))
+    with np.errstate(over="ignore"):
+        term = (raw.astype(np.uint64) + np.uint64(1)) * power[np.arange(len(raw)) - np.repeat(cuts[:-1], size)]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term, dtype=np.uint64)])
+        h = total[cuts[1:]] - total[cuts[:-1]]
+        h ^= h >> np.uint64(32)
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def _block_rows(kept, words, block: int, buckets: int, schema):
+    """Batches of one block: its documents with their words' numbers, and its words by bucket.
+
+    ``kept`` is an array of structs and ``words`` an array of lists of strings, a row a document.
+    """
+    import pyarrow as pa
+
+    coded = words.flatten().dictionary_encode()
+    codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    count = np.bincount(codes, minlength=len(names))
+    rank = np.empty(len(names), np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(names))  # frequent words get small numbers, which take fewer bytes
+    per_doc = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    raw, at = _packed(rank[codes])
+    yield pa.RecordBatch.from_arrays([kept, pa.array(np.full(len(kept), block)), _binaries(raw, at[per_doc]), pa.nulls(len(kept), pa.int32()), pa.nulls(len(kept), pa.binary())], schema=schema)
+    if not len(names):
+        return
+    content, cuts = _content(names)
+    bucket = _hashed(content, cuts, buckets)
+    order = np.lexsort((_rank_of(names), bucket))  # inside a bucket by the word, which compresses better
+    bucket_of, code, sorted_names = bucket[order], rank[order], names.take(pa.array(order))
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket_of)) + 1, [len(code)]])
+    raw, at = _packed(code)
+    content, cuts = _content(sorted_names)
+    lists = [_listed(np.diff(cuts[a : b + 1]), content[cuts[a] : cuts[b]]) for a, b in zip(edges, edges[1:])]
+    n = len(lists)
+    yield pa.RecordBatch.from_arrays([pa.nulls(n, kept.type), pa.array(np.full(n, block)), _binaries(raw, at[edges]), pa.array(bucket_of[edges[:-1]].astype(np.int32)), pa.array(lists, pa.binary())], schema=schema)
+
+
+def _rank_of(words) -> np.ndarray:
+    """The place of each word in the order of all."""
+    import pyarrow.compute as pc
+
+    out = np.empty(len(words), np.int64)
+    out[pc.array_sort_indices(words).to_numpy()] = np.arange(len(words))
+    return out
+
+
+def _listed(sizes: np.ndarray, content: np.ndarray) -> bytes:
+    """A compressed list of words: how long their packed sizes are, the sizes, their bytes."""
+    packed = pack(sizes)
+    return zlib.compress(len(packed).to_bytes(4, "little") + packed + content.tobytes(), 6)
+
+
+def _words_of(data: bytes) -> tuple[np.ndarray, bytes]:
+    """(sizes, bytes) of a compressed list."""
+    raw = zlib.decompress(data)
+    end = 4 + int.from_bytes(raw[:4], "little")
+    return unpack(raw[4:end]), raw[end:]
+
+
+def _blocks(batches, buckets: int, most: int, schema):
+    """The rows of the block table for batches of (kept struct, words list)."""
+    import pyarrow as pa
     from pyspark import TaskContext
 
     part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-    def done(frames):
-        nonlocal seq
-        block = (part << 32) + seq
-        seq += 1
-        number: dict = {}
-        of = []
-        for text in (d for f in frames for d in f["__text"]):
-            words = text.encode("utf-8", "surrogatepass").split()
-            new = set(words).difference(number)
-            number.update(zip(new, range(len(number), len(number) + len(new))))
-            of.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-        # Frequent words get small numbers, which take fewer bytes.
-        count = np.bincount(np.concatenate([*of, np.empty(0, np.int32)]), minlength=len(number))
-        rank = np.empty(len(number), np.int64)
-        rank[np.argsort(-count, kind="stable")] = np.arange(len(number))
-        names = sorted(number)
-        code = rank[np.fromiter(map(number.__getitem__, names), np.int64, len(names))]
-        del number, count
-        for f in frames:
-            out = f.drop(columns="__text")
-            yield out.assign(block=block, codes=[pack(rank[c]) for c in of[: len(out)]], bucket=None, words=None)
-            of = of[len(out) :]
-        at = _bucket(names, buckets)
-        order = np.argsort(at, kind="stable")
-        rows = []
-        for idx in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []:
-            rows.append((pack(code[idx]), int(at[idx[0]]), zlib.compress(b"\n".join([names[i] for i in idx]), 6)))
-        if rows:
-            yield pd.DataFrame({**{c: [None] * len(rows) for c in fields}, "block": block, **{c: [r[k] for r in rows] for k, c in enumerate(("codes", "bucket", "words"))}})
-
-    for b in batches:
+    def done():
+        nonlocal seq, held, size
+        kept, words = (pa.concat_arrays([h[k] for h in held]) for k in (0, 1))
+        yield from _block_rows(kept, words, (part << 32) + seq, buckets, schema)
+        seq, held, size = seq + 1, [], 0
+
+    for batch in batches:
+        kept, words = batch.column(0), batch.column(1)
+        flat = words.flatten()
+        cuts = _content(flat)[1]
+        of = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        chars = np.diff(cuts[of]) + np.diff(of)
         begin = 0
-        for i, n in enumerate(b["__text"].str.len()):
-            if size + n > BLOCK and (size or i > begin):
-                held.append(b.iloc[begin:i])
-                yield from done(held)
-                held, size, begin = [], 0, i
+        for i, n in enumerate(chars.tolist()):
+            if size + n > most and (size or i > begin):
+                held.append((kept.slice(begin, i - begin), words.slice(begin, i - begin)))
+                yield from done()
+                begin = i
             size += n
-        held.append(b.iloc[begin:])
+        held.append((kept.slice(begin), words.slice(begin)))
+    if held:
+        yield from done()
+
+
+def _encode_words(tok, words) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, ids) of an arrow array of distinct words."""
+    from itertools import chain
+
+    sizes, ids = [], []
+    for s in range(0, len(words), 8192):
+        got = [e.ids for e in tok.encode_batch_fast(words.slice(s, 8192).to_pylist(), add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+        ids.append(np.fromiter(chain.from_iterable(got), np.int64, int(sizes[-1].sum())))
+    return np.concatenate([np.empty(0, np.int64), *sizes]), np.concatenate([np.empty(0, np.int64), *ids])
+
+
+def _encoded(batches, spec: str):
+    """(block, bucket, sizes, ids) of rows (block, bucket, words) that are sorted by bucket."""
+    import os
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    tok = Tokenizer.from_str(spec)
+
+    def done(held):
+        size = np.concatenate([h[2] for h in held])
+        cuts = np.concatenate([[0], np.cumsum(size)])
+        flat = pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(b"".join(h[3] for h in held))])
+        coded = flat.dictionary_encode()  # each distinct word is encoded once
+        n_ids, ids = _encode_words(tok, coded.dictionary)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        edges = np.concatenate([[0], np.cumsum([len(h[2]) for h in held])])
+        n = n_ids[at]
+        sizes, size_at = _packed(n)
+        packed, id_at = _packed(_gathered(ids, (np.cumsum(n_ids) - n_ids)[at], n))
+        ends = np.concatenate([[0], np.cumsum(n)])[edges]
+        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int32()), _binaries(sizes, size_at[edges]), _binaries(packed, id_at[ends])], ["block", "bucket", "sizes", "ids"])
+
+    held, total = [], 0
+    for batch in batches:
+        for block, bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            size, content = _words_of(data.as_py())
+            if held and (held[0][1] != bucket or total > CHUNK):
+                yield done(held)
+                held, total = [], 0
+            held.append((block, bucket, size, content))
+            total += len(content)
     if held:
-        yield from done(held)
+        yield done(held)
+
+
+def _joined(left, right, names: list[str], pieces: list[str] | None):
+    """The documents of one block with their ids: positions joined to the words' ids; with ``pieces`` the ids are decoded."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    listed = left.filter(pc.is_valid(left["bucket"])).sort_by("bucket")
+    docs, right = left.filter(pc.is_null(left["bucket"])), right.sort_by("bucket")
+    code, sizes, flat = (unpack(_content(c)[0]) for c in (listed["codes"], right["sizes"], right["ids"]))
+    size, start = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+    size[code], start[code] = sizes, np.cumsum(sizes) - sizes
+    raw, cuts = _content(docs["codes"])
+    c = unpack(raw)
+    of = np.concatenate([[0], np.cumsum(raw < 128)])[cuts]  # the words before each document
+    n = size[c]
+    ends = np.concatenate([[0], np.cumsum(n)])[of]
+    ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(_gathered(flat, start[c], n).astype(np.int32)))
+    kept = docs["kept"].combine_chunks().flatten()
+    if pieces is None:
+        return pa.table([*kept, ids], names=[*names, "ids"])
+    return pa.table([*kept, ids, _read_back(ids, _piece_table(pieces))], names=[*names, "ids", "decoded"])
+
+
+def _piece_table(pieces: list[str]):
+    import pyarrow as pa
+
+    return pa.array([*pieces, ""], pa.string())
+
+
+def _read_back(ids, table):
+    """Texts of lists of ids: each id joined to the row of its number in ``table``, whose last row is for ids that are no piece."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    flat, none = ids.flatten().to_numpy(zero_copy_only=False), len(table) - 1
+    known = np.where((flat >= 0) & (flat < none), flat, none).astype(np.int32)
+    size = pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    cuts = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+    return pc.binary_join(pa.ListArray.from_arrays(cuts, table.take(pa.array(known))), " ")
+
+
+def _undecoded(spec: str) -> list[str]:
+    """The pieces of a tokenizer that only puts a space between them; others are refused."""
+    if json.loads(spec).get("decoder") is not None:
+        raise ValueError("the tokenizer has a decoder of its own")
+    return pieces_of(spec)
+
+
+def _drops_white_space(tok) -> bool:
+    """Whether words at white space are encoded as if alone, as far as a few texts show."""
+    def ids(text):
+        return tok.encode(text, add_special_tokens=False).ids
+
+    return all(ids(f"{a}{s}{b}") == ids(a) + ids(b) for a, b in (("ab", "cd"), ("don", "'t"), ("1", "2"), (".", ".")) for s in (" ", "\t", "\n", "\x0b", "\x0c", "\r", "  "))
 
 
 def pieces_of(tokenizer_json: str) -> list[str]:
@@ -118,8 +306,10 @@ def pieces_of(tokenizer_json: str) -> list[str]:
     return [table.get(i, "") for i in range(max(table) + 1)]
 
 
-def encode(docs: DataFrame, tokenizer_path: str, keep: list[Column], text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """``keep`` with ids array<int>, and with ``decoded`` the text read back from the ids."""
+def encode(docs: DataFrame, tokenizer_path: str, keep: list[Column], text_col: str = "text", decoded: bool = False, block: int = BLOCK) -> DataFrame:
+    """``keep`` with ids array<int>, and with ``decoded`` the text read back from the ids as ``decode`` does, in the same task."""
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
     bounded_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -127,94 +317,62 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[Column], text_col: s
     model = json.loads(spec)["model"]["type"]
     if model != "BPE":
         raise ValueError("a BPE tokenizer file is needed")
-    source = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    fields = source.drop("__text").schema.fields
-    names = [f.name for f in fields]
-    kept = [T.StructField(f.name, f.dataType) for f in fields]
-    schema = T.StructType([*kept, T.StructField("block", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())])
+    if not _drops_white_space(Tokenizer.from_str(spec)):
+        raise ValueError("the tokenizer must drop white space")
+    kept = docs.select(*keep).schema.fields
+    names = [f.name for f in kept]
+    words = F.split(F.coalesce(F.col(text_col), F.lit("")), SPACE + "+")
+    source = docs.select(F.struct(*keep).alias("kept"), words.alias("words"))
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    loose = T.StructType([T.StructField(f.name, f.dataType) for f in kept])
+    fields = [T.StructField("kept", loose), T.StructField("block", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())]
+
+    def blocks(batches):
+        import pyarrow as pa
+
+        first = next(batches, None)
+        if first is None:
+            return
+        schema = pa.schema([("kept", first.column(0).type), ("block", pa.int64()), ("codes", pa.binary()), ("bucket", pa.int32()), ("words", pa.binary())])
+        from itertools import chain
+
+        yield from _blocks(chain([first], batches), buckets, block, schema)
 
     name = f"pagemill_blocks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = source.mapInPandas(lambda it: _blocks(it, names, buckets), schema)
-    rows.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    rows = source.mapInArrow(blocks, T.StructType(fields))
+    by = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.bucketBy(by, "block").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     atexit.register(_forget, spark, name)
     table = spark.table(name)
-
     sent = spark.sparkContext.broadcast(spec)
+    lists = table.where("words is not null").select("block", "bucket", "words")
+    ids = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _encoded(it, sent.value), "block long, bucket int, sizes binary, ids binary")
+    coded = table.select("block", "kept", "codes", "bucket")
+    pieces = spark.sparkContext.broadcast(_undecoded(spec) if decoded else None)
+    out = T.StructType([*loose.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decoded else [])])
+    return coded.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(lambda left, right: _joined(left, right, names, pieces.value), out)
 
-    def encoded(batches):
-        import os
 
-        from tokenizers import Tokenizer
+def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:
+    """``encoded`` with ``decoded``: every id joined to its piece, one space between.
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok, known = Tokenizer.from_str(sent.value), {}
-        number = [pack(np.array([i])) for i in range(tok.get_vocab_size())]
-        for b in batches:
-            sizes, ids = [], []
-            for data in b["words"]:
-                words = zlib.decompress(data).split(b"\n")
-                if len(known) > KNOWN:
-                    known = {}
-                new = [w for w in words if w not in known]  # each distinct word is encoded once
-                for s in range(0, len(new), 8192):
-                    got = tok.encode_batch([w.decode("utf-8", "surrogatepass") for w in new[s : s + 8192]], add_special_tokens=False)
-                    known.update(zip(new[s : s + 8192], [(len(e.ids), b"".join(map(number.__getitem__, e.ids))) for e in got]))
-                sizes.append(pack(np.array([known[w][0] for w in words])))
-                ids.append(b"".join([known[w][1] for w in words]))
-            yield b.drop(columns="words").assign(sizes=sizes, ids=ids)
-
-    words = table.where("words is not null").select("block", "bucket", "words")
-    ids = words.repartition("bucket").mapInPandas(encoded, "block long, bucket int, sizes binary, ids binary")
-    pieces = spark.sparkContext.broadcast(pieces_of(spec)) if decoded else None
-
-    def joined(left, right):
-        listed = left["bucket"].notna()
-        got = left.loc[listed, ["bucket", "codes"]].merge(right[["bucket", "sizes", "ids"]], on="bucket")
-        code = [unpack(c) for c in got["codes"]]
-        sizes = np.concatenate([*map(unpack, got["sizes"]), np.empty(0, np.int64)]).astype(np.int64)
-        flat = np.concatenate([*map(unpack, got["ids"]), np.empty(0, np.int64)]).astype(np.int32)
-        code = np.concatenate([*code, np.empty(0, np.int64)]).astype(np.int64)
-        size, start = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-        size[code], start[code] = sizes, np.cumsum(sizes) - sizes
-        shown = _joined_pieces(flat, start, size, pieces.value) if decoded else None
-        left = left[~listed]
-        all_ids, texts = [], []
-        for data in left["codes"]:
-            c = unpack(data)
-            c = c[size[c] > 0]
-            n = size[c]
-            at = np.repeat(start[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            all_ids.append(flat[at])
-            if decoded:
-                texts.append(" ".join(map(shown.__getitem__, c.tolist())))
-        out = left[names].assign(ids=all_ids)
-        return out.assign(decoded=texts) if decoded else out
-
-    out = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decoded else [])])
-    coded = table.select("block", *names, "codes", "bucket")
-    return coded.groupBy("block").cogroup(ids.groupBy("block")).applyInPandas(joined, out)
-
-
-def _joined_pieces(flat: np.ndarray, start: np.ndarray, size: np.ndarray, pieces: list[str]) -> list[str]:
-    """The pieces of each word's ids, one space between: ids joined to the vocabulary by their number."""
-    shown = [pieces[i] for i in flat.tolist()]
-    return [" ".join(shown[s : s + n]) for s, n in zip(start.tolist(), size.tolist())]
-
-
-def decode(encoded: DataFrame, tokenizer_path: str, key: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(key, decoded) of a table of ids, by a join of ids with pieces; keys must be unique.
-
-    The vocabulary is broadcast: a tokenizer's size bounds it. Null or empty ids decode to the
-    empty text, ids that are no piece to an empty piece.
+    The id-to-piece table is broadcast; as ids are its row numbers, the join looks them up. Null or
+    empty ids decode to the empty text, ids that are no piece to an empty piece. For tokenizers
+    whose file names no decoder, which puts a space between pieces; others are refused.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
-        pieces = pieces_of(f.read())
-    spark = encoded.sparkSession
-    table = F.broadcast(spark.createDataFrame(list(enumerate(pieces)), "id int, piece string"))
-    each = encoded.select(F.col(key).alias("key"), F.posexplode_outer(ids_col).alias("pos", "id"))
-    got = each.join(table, "id", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("piece", F.lit("")).alias("piece"))))).alias("p"))
-    return got.select(F.col("key").alias(key), F.array_join(F.col("p.piece"), " ").alias("decoded"))
+        sent = encoded.sparkSession.sparkContext.broadcast(_undecoded(f.read()))
+    at = encoded.columns.index(ids_col)
+
+    def pieces(batches):
+        import pyarrow as pa
+
+        table = _piece_table(sent.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, _read_back(b.column(at), table)], [*b.schema.names, "decoded"])
+
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in encoded.schema.fields], T.StructField("decoded", T.StringType())])
+    return encoded.mapInArrow(pieces, schema)
 
 
 def _forget(spark, name: str) -> None:

@@ -3,6 +3,7 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pytest
 from helpers import SF, empty, odd
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -59,6 +60,40 @@ def test_language_held_out(spark):
     assert languages.predict(odd(spark).where("doc_id = 1"), none, [F.col("doc_id")]).first()["lang_pred"] == "und"
 
 
+PLAIN = {
+    "en": "The committee published its annual report on Monday.", "de": "Der Ausschuss hat am Montag seinen Jahresbericht vorgestellt.",
+    "fr": "Le comité a publié son rapport annuel lundi dernier.", "es": "El comité publicó su informe anual el lunes pasado.",
+}
+
+
+def test_plain_sentences_whatever_the_shares_of_languages(spark):
+    """Models of few texts of a language do not win what none of them knows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = spark.createDataFrame([(k, t) for k, t in PLAIN.items()], "key string, text string")
+    few = F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0
+    for kept in (F.lit(True), (F.col("lang") != "es") | few, (F.col("lang") != "en") | few):
+        model = languages.fit(docs.where(kept), tokenizer_file(MULTI))
+        got = {r["key"]: r["lang_pred"] for r in languages.predict(rows, model, [F.col("key")]).collect()}
+        assert got["en"] == "en" and got["de"] == "de" and got["es"] in ("es", "en") and list(got.values()).count("es") <= 2
+
+
+def test_long_words_are_learned_from():
+    pieces = [bytes([i]) for i in range(256)] + ["語".encode()]
+    table = languages.Pieces(pieces)
+    probs = languages._with_none(np.full((len(pieces), 1), 0.01))
+    word = ("語" * 40).encode()
+    assert all(len(r) <= languages.LONG for r in languages._runs(word)) and b"".join(languages._runs(word)) == word
+    assert all(r.decode() for r in languages._runs(word))
+    got = languages.expected_counts(table, probs, [word], np.array([0]), np.array([1.0]), 1)
+    assert np.isclose((got[:, 0] * [len(p) for p in pieces]).sum(), len(word) + 1) and got[-1, 0] > 39
+
+
+def test_shares_have_one_floor():
+    counts, start = np.array([[90.0, 1.0, 0.0], [10.0, 0.0, 0.0], [0.0, 0.0, 0.0]]), np.full((3, 1), 1 / 3)
+    p = languages.smoothed(counts, start)
+    assert np.allclose(p.sum(0), 1) and np.isclose(p[2, 0], p[2, 1]) and p[2, 0] > 0 and p[1, 2] > p[2, 2]
+
+
 def test_bpe_equals_the_library(spark):
     tok = Tokenizer.from_file(public_tokenizers.path(WORD))
     docs = odd(spark).unionByName(spark.read.parquet(f"{SF}/documents.parquet"), allowMissingColumns=True)
@@ -86,9 +121,17 @@ def test_packed_numbers():
     assert list(bpe.unpack(bpe.pack(n))) == list(n) and list(bpe.unpack(b"")) == []
 
 
-def test_blocks_of_any_size(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "BLOCK", 50)  # the driver's value does not reach workers, so call the generator here
-    import pandas as pd
+def test_blocks_of_any_size(spark):
+    texts = ["a b c " * 5, "", "d " * 40, "e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    tok = Tokenizer.from_file(public_tokenizers.path(WORD))
+    for block in (1, 50, 10**6):
+        got = bpe.encode(df, tokenizer_file(WORD), [F.col("doc_id")], block=block)
+        assert {r["doc_id"]: list(r["ids"]) for r in got.collect()} == {i: tok.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
+def test_blocks_hold_so_many_characters(monkeypatch):
+    import pyarrow as pa
     from pyspark import TaskContext
 
     class Here:
@@ -96,9 +139,18 @@ def test_blocks_of_any_size(spark, monkeypatch):
 
     monkeypatch.setattr(TaskContext, "get", staticmethod(lambda: Here))
     texts = ["a b c " * 5, "", "d " * 40, "e"]
-    out = pd.concat(list(bpe._blocks(iter([pd.DataFrame({"doc_id": range(4), "__text": texts})]), ["doc_id"], 4)))
-    docs = out[out["words"].isna()]
-    assert list(docs["doc_id"]) == [0, 1, 2, 3] and docs["block"].nunique() == 3
+    kept, words = pa.array([{"doc_id": i} for i in range(4)]), pa.array([t.split(" ") for t in texts], pa.list_(pa.string()))
+    schema = pa.schema([("kept", kept.type), ("block", pa.int64()), ("codes", pa.binary()), ("bucket", pa.int32()), ("words", pa.binary())])
+    out = pa.Table.from_batches(bpe._blocks(iter([pa.RecordBatch.from_arrays([kept, words], ["kept", "words"])]), 4, 50, schema)).to_pylist()
+    docs = [r for r in out if r["words"] is None]
+    assert [r["kept"]["doc_id"] for r in docs] == [0, 1, 2, 3] and len({r["block"] for r in docs}) == 3
+
+
+def test_other_tokenizers_are_refused(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for call in (lambda: bpe.encode(df, tokenizer_file("byte_bpe_50k.json"), [F.col("doc_id")]), lambda: bpe.decode(df, tokenizer_file("byte_bpe_50k.json"), "text")):
+        with pytest.raises(ValueError):
+            call()
 
 
 def test_quality(spark):
