@@ -61,10 +61,18 @@ class Work:
         for t in tables:
             _remove(self.spark, t._work_path)
 
+    def close(self) -> None:
+        """Removes all tables of this call."""
+        _remove(self.spark, self.folder)
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of fewer rows than Spark's default, as texts can be long."""
+
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Arrow batches of fewer rows and bytes than Spark's default, as texts can be long.
+
+    Frames are run after the operator has returned, so both settings stay on the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def tokenizer_file(name: str) -> str:
@@ -74,6 +82,13 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def share_of(df: DataFrame, key: Column, most: int, total: int) -> DataFrame:
+    """About ``most`` of ``total`` rows, those of the smallest hashes of a key: nothing is sorted or gathered for it."""
+    if total <= most:
+        return df
+    return df.where(F.pmod(key, F.lit(1 << 40)) < F.lit(int((1 << 40) * (most / total))))
+
+
 def squeezed(text: Column | str) -> Column:
     """Text (null: empty) with every run of white space replaced by one space."""
     return F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), SPACE + "+", " ")
@@ -84,18 +99,17 @@ def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def ident(column: str) -> Column:
+    """An id as text, null ids alike."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
 #: One row of a key bitmap holds so many bits; Spark's bitmap functions fix the number.
 _BUCKET = 32768
 
 
-def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_column: Column, most_bits: int = 1 << 27) -> DataFrame:
-    """The rows of ``df`` whose key can be among ``keys``: all that are, and few others.
-
-    A bitmap of 16 positions per key is built and broadcast, never over ``most_bits / 8`` bytes
-    (16 MB as given). It only spares a later exact step the rows that cannot match, so a crowded
-    bitmap costs time, never results. Null keys match none. ``keys`` should be a written table. Follow with an inner join on
-    distinct keys: a semi join would be moved below this filter.
-    """
+def _placed(df: DataFrame, key: Column, keys: DataFrame, keys_column: Column, most_bits: int) -> tuple[DataFrame, DataFrame, Column]:
+    """``df`` as (row, p, bucket), the bitmap of ``keys`` by bucket, and whether the bit of a joined row is set."""
     bits = min(most_bits, max(1 << 20, 1 << (16 * keys.count()).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     bitmap = (
@@ -104,6 +118,27 @@ def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_column: Column, m
         .groupBy(F.floor(F.col("p") / _BUCKET).alias("bucket"))
         .agg(F.bitmap_construct_agg(F.col("p") % _BUCKET).alias("bits"))
     )
-    placed = df.where(key.isNotNull()).select(F.struct("*").alias("row"), place(key).alias("p")).withColumn("bucket", F.floor(F.col("p") / _BUCKET))
-    byte = F.expr("cast(conv(hex(substring(bits, int(p % 32768 div 8) + 1, 1)), 16, 10) as int)")
-    return placed.join(F.broadcast(bitmap), "bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, int(p % 8))")) != 0).select("row.*")
+    # Words of 32 bits, the bytes of each in the order of the bitmap.
+    words = F.transform(F.sequence(F.lit(0), F.lit(_BUCKET // 32 - 1)), lambda i: F.conv(F.hex(F.substring("bits", i * 4 + 1, F.lit(4))), 16, 10).cast("long"))
+    rows = df.select(F.struct("*").alias("row"), place(key).alias("p"), key.isNotNull().alias("keyed")).withColumn("bucket", F.floor(F.col("p") / _BUCKET))
+    bit = F.expr("shiftright(element_at(words, int(p % 32768 div 32) + 1), int((3 - p % 32 div 8) * 8 + p % 8)) & 1") == 1
+    return rows, F.broadcast(bitmap.select("bucket", words.alias("words"))), F.col("keyed") & bit
+
+
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_column: Column, most_bits: int = 1 << 27) -> DataFrame:
+    """The rows of ``df`` whose key can be among ``keys``: all that are, and few others.
+
+    A bitmap of 16 positions per key is built and broadcast, never over ``most_bits / 4`` bytes
+    (32 MB as given). It only spares a later exact step the rows that cannot match, so a crowded
+    bitmap costs time, never results. Null keys match none. ``keys`` should be a written table. Follow
+    with an inner join on distinct keys: a semi join would be moved below this filter.
+    """
+    rows, bitmap, found = _placed(df.where(key.isNotNull()), key, keys, keys_column, most_bits)
+    return rows.join(bitmap, "bucket").where(found).select("row.*")
+
+
+def told_apart(df: DataFrame, key: Column, keys: DataFrame, keys_column: Column, most_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key can be among ``keys``, the others), by the bitmap of ``maybe_in``; null keys are among the others."""
+    rows, bitmap, found = _placed(df, key, keys, keys_column, most_bits)
+    marked = rows.join(bitmap, "bucket", "left").withColumn("may", F.coalesce(found, F.lit(False)))
+    return marked.where("may").select("row.*"), marked.where("not may").select("row.*")

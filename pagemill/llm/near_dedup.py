@@ -6,24 +6,29 @@ shingles of ``WORDS`` words (one of all words, if there are fewer). Documents ar
 
 Documents with one sequence of words are one node. The forest holds ``TREES`` sorted orders of the
 nodes' signatures, order t beginning at the t-th group of ``DEPTH`` values and going on around.
-Nodes that share a prefix form a region. Regions begin at ``DEPTH`` values; one of over ``REGION``
-nodes is split by longer and longer common prefixes, each region for itself, to ``DEPTHS[-1]`` values;
-what then still agrees is cut along the order. Within a region the candidates are all pairs, or in
-regions over ``SMALL`` the neighbours in the order and the ``NEAREST`` by signature of each node;
-after the links so found are joined to components, every pair of different components in those
-regions is looked at where the region is, so only links leave it. Splitting separates nodes that
-are linked, so the regions of ``DEPTH`` values that had to be split are then taken whole: they are
-dealt into blocks, and every node outside a region's largest component meets every block (see
-``across``). A pair is checked on full sets if its signatures agree in ``CUT`` of their places. A
-pair at the very threshold shares no region of ``DEPTH`` values with probability
-(1 - 0.75^3)^24 = 2e-6 and is lost to ``CUT`` with about as much (4.4 standard deviations),
-however many nodes its regions have.
-
-Nothing is collected: sets, signatures, links and components stay distributed tables.
+Nodes that share those ``DEPTH`` values form a region. In a region of up to ``SMALL`` nodes all pairs
+are candidates. In a larger one the depth adapts: its nodes are sorted by the values that follow, and
+those next to each other, which have the longest common prefixes, are candidates, in every ``STEP``-th
+order. Candidates whose signatures agree in ``CUT`` of their places (``NEAR`` in large regions) are
+checked on full sets: first each node's likest and one other, then, of what is left, the pairs that
+still lie in different components.
+
+What a large region leaves out is found exactly (``rare_rows``, ``rare_pairs``): if nodes of different components
+are in one, they are joined by their rarest shingles. In any one order of all shingles, two linked
+sets share a shingle among the first quarter of each; an order with rare ones first keeps what many
+share out of that quarter, and only shingles that different components share give pairs. The order
+follows a sketch of counts of bounded size; a coarse one costs time, never links.
+
+A pair at the very threshold shares no region with probability (1 - 0.75^3)^24 = 2e-6 and is lost to
+``CUT`` with about as much (4.4 standard deviations), however many nodes its regions have. Regions lie
+in partitions by range, so that a large one spans several; pairs are not formed across their bounds,
+of which there is one a task.
+
+Nothing is collected but the sketch: sets, signatures, links and components stay distributed tables.
 
 Documents without text or words have no set, are linked with nothing and stay. Null ids are never a
 component's id as long as one of its documents has one. Repeated rows are documents of their own
-with one set. Empty tables give empty results.
+with one set. Empty tables give empty results. Other columns are not read, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -34,16 +39,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import Work, bounded_batches, maybe_in
+from pagemill.llm.common import Work, bounded_batches, ident, maybe_in
 
 WORDS = 5
 PERCENT = 75
 TREES, DEPTH = 24, 3
 #: Values of a signature: those of the trees, and as many more for the estimate.
 HASHES = 2 * TREES * DEPTH
-DEPTHS = (3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32)
-REGION, SMALL = 256, 12
-CUT, NEAREST = 0.59, 3
+#: Values after its prefix by which a region is sorted.
+ORDER = 7
+SMALL, STEP = 8, 4
+CUT, NEAR = 0.59, 0.72
+#: The sketch of counts has 2^LEAST to 2^MOST places, an eighth of the counted shingles between.
+LEAST, MOST, PIECE = 17, 23, 17
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(8)
@@ -63,7 +71,7 @@ def node_of(words: list[bytes]) -> bytes:
 class Shingler:
     """Hashes of 64 bits for the shingles of texts; remembers words up to a number."""
 
-    def __init__(self, remembered: int = 500_000):
+    def __init__(self, remembered: int = 200_000):
         from xxhash import xxh3_64_intdigest
 
         self.known, self.most, self.hash = {}, remembered, xxh3_64_intdigest
@@ -120,218 +128,200 @@ def _sets(batches):
         yield pd.DataFrame({"node": [node_of(w) for w in words], "shingles": [shingle(w).view(np.int64) for w in words]})
 
 
-def _grouped(batches):
-    """Frames of whole groups of sorted keys."""
-    import pandas as pd
+def _several(batches):
+    """The rows of groups of two and more of sorted keys."""
+    import pyarrow as pa
 
-    held = None
+    last, told = None, False  # the last row so far, and whether it was given out
     for b in batches:
-        b = b if held is None else pd.concat([held, b], ignore_index=True)
-        key = b["key"].to_numpy()
-        last = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0
-        if last:
-            yield b.iloc[:last].reset_index(drop=True)
-        held = b.iloc[last:]
-    if held is not None and len(held):
-        yield held.reset_index(drop=True)
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b] if last is None else [last, b]).combine_chunks()
+        key = t["key"].to_numpy()
+        same = key[1:] == key[:-1]
+        keep = np.append(same, False) | np.append(False, same)
+        if last is not None and told:
+            keep[0] = False
+        last, told = t.slice(len(t) - 1).to_batches()[0], bool(keep[-1])
+        yield from t.filter(pa.array(keep)).to_batches()
 
 
-def _several(batches):
-    """The rows of groups of two and more."""
-    for b in _grouped(batches):
-        key = b["key"].to_numpy()
-        same = key[1:] == key[:-1]
-        yield b[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+def _column(batch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """The exact test on two sorted sets."""
-    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+def _matrix(array) -> np.ndarray:
+    """The bytes of signatures, a row each."""
+    return np.frombuffer(b"".join(array.to_pylist()), np.uint8).reshape(len(array), HASHES)
 
 
-def _pairs(batches, second: bool):
-    import pandas as pd
+def _neighbours(batches):
+    """(u, v, like): candidates among rows sorted by region and signature."""
+    import pyarrow as pa
 
-    for b in _grouped(batches):
-        key, node, n = b["key"].to_numpy(), b["node"].to_numpy(), b["n"].to_numpy()
-        sig = np.frombuffer(b"".join(b["sig"]), np.uint8).reshape(len(b), HASHES)
-        comp = pd.factorize(b["comp"])[0] if second else None
-        sets = b["shingles"].to_numpy() if second else None
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff([*start, len(key)])
-        of = np.repeat(size, size)
-        left, right = [], []
-
-        def add(i, j, cut=CUT):
-            ok = (sig[i] == sig[j]).mean(1) >= cut
-            ok &= 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
-            left.append(i[ok]), right.append(j[ok])
-
-        if not second:
-            for k in range(1, SMALL):
-                i = np.flatnonzero((key[k:] == key[:-k]) & ((of[k:] <= SMALL) | (k == 1)))
-                add(i, i + k)
-        for s, m in zip(start[size > SMALL], size[size > SMALL]):
-            for c in range(s, s + m, REGION):  # longer only where all values of the deepest prefix agree
-                at = np.arange(c, min(c + REGION, s + m))
-                like = np.stack([(sig[at] == sig[x]).mean(1) for x in at])
-                np.fill_diagonal(like, 0)
-                if second:
-                    i, j = np.nonzero(np.triu((like >= CUT) & (comp[at][:, None] != comp[at])))
-                    kept = [_linked(sets[x], sets[y]) for x, y in zip(at[i], at[j])]
-                    i, j = i[kept], j[kept]
-                else:
-                    near = np.argsort(-like, 1, kind="stable")[:, :NEAREST]
-                    i, j = np.repeat(np.arange(len(at)), near.shape[1]), near.ravel()
-                    i, j = np.unique(np.sort(np.stack([i, j]), 0), axis=1)
-                add(at[i], at[j])
-        i, j = np.concatenate([*left, np.empty(0, int)]).astype(int), np.concatenate([*right, np.empty(0, int)]).astype(int)
-        yield pd.DataFrame({"u": node[i], "v": node[j]})
-
-
-def _candidates(key, node, comp, n, sig, probe, member):
-    """Of whole blocks: (row of a probe, rows of its candidates, likest first) of different components."""
-    rank = np.unique(node, return_inverse=True)[1]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    for s, m in zip(start, np.diff([*start, len(key)])):
-        of = np.arange(s, s + m)[member[s : s + m]]
-        own, size, place, other, alone = sig[of], n[of], rank[of], comp[of], probe[of]
-        for x in np.arange(s, s + m)[probe[s : s + m]]:
-            ok = (other != comp[x]) & (100 * np.minimum(size, n[x]) >= PERCENT * np.maximum(size, n[x]))
-            ok = np.flatnonzero(ok & (~alone | (place > rank[x])))  # two probes meet in the block of the later one
-            if not len(ok):
-                continue
-            like = (own[ok] == sig[x]).mean(1)
-            ok, like = ok[like >= CUT], like[like >= CUT]
-            if len(ok):
-                yield x, of[ok[np.argsort(-like, kind="stable")]]
-
-
-def _columns(b):
-    import pandas as pd
+    held = None
+    for b in batches:
+        old = 0 if held is None else held.num_rows
+        t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+        key, n, sig, wide = t["key"].to_numpy(), t["n"].to_numpy(), _matrix(t["sig"]), t["large"].to_numpy(zero_copy_only=False).astype(bool)
+        left, right, likes = [], [], []
+        for k in range(1, SMALL):
+            i = np.arange(max(0, old - k), len(t) - k)
+            i = i[(key[i] == key[i + k]) & (~wide[i] | (k == 1))]
+            i = i[100 * np.minimum(n[i], n[i + k]) >= PERCENT * np.maximum(n[i], n[i + k])]
+            like = (sig[i] == sig[i + k]).mean(1)
+            ok = like >= np.where(wide[i], NEAR, CUT)
+            left.append(i[ok]), right.append(i[ok] + k), likes.append(like[ok])
+        i, j = np.concatenate(left), np.concatenate(right)
+        yield pa.RecordBatch.from_arrays([t["node"].combine_chunks().take(pa.array(i)), t["node"].combine_chunks().take(pa.array(j)), pa.array(np.concatenate(likes).astype(np.float32))], ["u", "v", "like"])
+        held = t.slice(max(0, len(t) - SMALL + 1)).combine_chunks().to_batches()
+        held = held[0] if held else None
+
+
+def _alike(batches):
+    """The pairs whose signatures agree enough."""
+    import pyarrow as pa
 
-    sig = np.frombuffer(b"".join(b["sig"]), np.uint8).reshape(len(b), HASHES)
-    return b["key"].to_numpy(), b["node"].to_numpy(), pd.factorize(b["comp"])[0], b["n"].to_numpy(), sig, b["probe"].to_numpy(bool), b["member"].to_numpy(bool)
+    for b in batches:
+        ok = (_matrix(b.column("a")) == _matrix(b.column("b"))).mean(1) >= CUT
+        yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(ok))
 
 
-def _concerned(batches):
-    """The rows of blocks that are in any candidate pair."""
-    for b in _grouped(batches):
-        use = np.zeros(len(b), bool)
-        for x, found in _candidates(*_columns(b)):
-            use[x] = use[found] = True
-        yield b[use]
+def _place(shingles: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((shingles.view(np.uint64) * _ODD) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _joining(batches):
-    """Links between components, one for each two of a block that have any."""
-    import pandas as pd
+def _counted(batches, bits: int):
+    """A sketch of the shingles of a task in pieces of 2^PIECE counts."""
+    import zlib
 
-    for b in _grouped(batches):
-        columns = _columns(b)
-        key, node, comp, sets = columns[0], columns[1], columns[2], b["shingles"].to_numpy()
-        known, left, right = set(), [], []
-        for x, found in _candidates(*columns):
-            for y in found:
-                two = key[x], min(comp[x], comp[y]), max(comp[x], comp[y])
-                if two not in known and _linked(sets[x], sets[y]):
-                    known.add(two), left.append(node[x]), right.append(node[y])
-        yield pd.DataFrame({"u": left, "v": right})
+    import pyarrow as pa
 
+    count = np.zeros(1 << bits, np.uint32)
+    for b in batches:
+        np.add.at(count, _place(b.column("shingles").flatten().to_numpy(), bits), 1)
+    for k, part in enumerate(count.reshape(-1, 1 << PIECE)):
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["piece", "data"])
 
-def across(wide: DataFrame, nodes: DataFrame, roots: DataFrame, sets_of, work: Work) -> DataFrame | None:
-    """(u, v): links between different components in the split regions ``wide`` (key, count, node), or None.
 
-    Nodes of one component need not meet, so in each region the nodes outside its largest component
-    are probes: every pair with a probe is looked at. Blocks hold about ``REGION`` members each, and a
-    probe goes to every block of its region; rows grow with probes times blocks.
+def _levels(batches):
+    """The sums of sketches, as logarithms in steps of a half."""
+    import zlib
+
+    import pyarrow as pa
+
+    total: dict = {}
+    for b in batches:
+        for k, data in zip(b.column("piece").to_pylist(), b.column("data").to_pylist()):
+            part = np.frombuffer(zlib.decompress(data), np.uint32)
+            total[k] = total.get(k, 0) + part.astype(np.uint64)
+    for k, count in total.items():
+        level = np.floor(2 * np.log2(count + 1.0)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["piece", "data"])
+
+
+def _rarest(batches, level: np.ndarray, bits: int):
+    """(token, node, n, at): the first quarter of each set's shingles, rare ones first."""
+    import pyarrow as pa
+
+    for b in batches:
+        tokens, size, n = [], [], []
+        for x in b.column("shingles"):
+            h = x.values.to_numpy()
+            most = len(h) - -(-PERCENT * len(h) // 100) + 1
+            tokens.append(h[np.lexsort((h, level[_place(h, bits)]))[:most]])
+            size.append(most), n.append(len(h))
+        of = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) if len(of) else of
+        flat = np.concatenate([np.empty(0, np.int64), *tokens])
+        yield pa.RecordBatch.from_arrays([pa.array(flat), b.column("node").take(pa.array(of)), pa.array(np.array(n, np.int32)[of]), pa.array(at.astype(np.int32))], ["token", "node", "n", "at"])
+
+
+def rare_rows(sets: DataFrame, crowd: DataFrame, work: Work) -> DataFrame:
+    """(token, node, n, at): the rarest shingles of the nodes of ``crowd``, as far as two nodes share them."""
+    some = maybe_in(sets, F.col("node"), crowd, F.col("node"))
+    total = some.agg(F.sum(F.size("shingles").cast("long"))).first()[0] or 1
+    bits = max(LEAST, min(MOST, (int(total) // 8).bit_length()))
+    pieces = some.mapInArrow(lambda it: _counted(it, bits), "piece int, data binary").repartition("piece").mapInArrow(_levels, "piece int, data binary")
+    level = np.zeros(1 << bits, np.uint8)
+    for r in pieces.collect():  # 2^MOST bytes at most, whatever the table
+        level[r["piece"] << PIECE : (r["piece"] + 1) << PIECE] = np.frombuffer(r["data"], np.uint8)
+    sent = sets.sparkSession.sparkContext.broadcast(level)
+    tokens = work.table(some.mapInArrow(lambda it: _rarest(it, sent.value, bits), "token long, node binary, n int, at int"), "tokens")
+    shared = work.table(tokens.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token"), "shared")
+    rows = work.table(maybe_in(tokens, F.col("token"), shared, F.col("token")).join(shared, "token").select("token", "node", "n", "at"), "shared_rows")
+    work.drop(tokens, shared)
+    return rows
+
+
+def rare_pairs(rows: DataFrame, nodes: DataFrame, roots: DataFrame, work: Work, whole: bool) -> DataFrame | None:
+    """(u, v): candidates of different components that share one of their rarest shingles; with ``whole`` all that can be linked.
+
+    In each token's group the nodes outside its largest component are probes, so nodes of one
+    component do not meet. Without ``whole`` a probe only meets the member of the largest component
+    that has the fewest rare shingles before the token, which of all is likeliest to be linked with it.
     """
-    split = wide.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    shares = split.groupBy("key", "comp").agg(F.count("*").alias("rows"))
-    several = work.table(shares.groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1").select("key", "most"), "several")
-    parts = F.ceil(F.col("count") / REGION).cast("int")
-    rows = split.join(several, "key").withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("probe", F.col("comp") != F.col("most"))
-    rows = rows.join(nodes.select("node", "n", "sig"), "node")
-    block = F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array("own")))
-    rows = rows.select("key", "node", "comp", "n", "sig", "probe", "own", block.alias("block"))
-    rows = rows.select(F.xxhash64("key", "block").alias("key"), "node", "comp", "n", "sig", "probe", (F.col("own") == F.col("block")).alias("member"))
-    concerned = rows.repartition("key").sortWithinPartitions("key").mapInPandas(_concerned, rows.schema)
-    concerned = work.table(concerned, "concerned")
-    if concerned.isEmpty():
-        return None
-    sets = sets_of(concerned.select("node"))
-    found = concerned.join(sets, "node").repartition("key").sortWithinPartitions("key").mapInPandas(_joining, "u binary, v binary")
-    found = work.table(found.distinct(), "across")
-    work.drop(sets, concerned)
-    return None if found.isEmpty() else found
-
-
-def forest(nodes: DataFrame, work: Work) -> tuple[DataFrame, DataFrame | None]:
-    """(key, node): the members of the forest's regions of two and more nodes; (key, count, node) of those that were split."""
-    start = nodes.select("node", F.concat("mh", "mh").alias("mh"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-
-    def at(depth: int) -> Column:
-        return F.xxhash64("tree", F.lit(depth), F.expr(f"substring(mh, tree * {4 * DEPTH} + 1, {4 * depth})"))
-
-    rows, done, wide = start.withColumn("key", at(DEPTHS[0])), [], None
-    for depth, deeper in zip(DEPTHS, [*DEPTHS[1:], None]):
-        crowded = None
-        if deeper is not None:
-            crowded = work.table(rows.groupBy("key").count().where(F.col("count") > REGION), f"crowded{depth}")
-            if crowded.isEmpty():
-                crowded = None
-        if crowded is None:
-            done.append(rows)
-            break
-        done.append(rows.join(crowded, "key", "left_anti"))
-        split = work.table(rows.join(crowded, "key").select("node", "mh", "tree", "key", "count"), f"split{depth}")
-        wide = split.select("key", "count", "node") if wide is None else wide
-        rows = split.drop("count").withColumn("key", at(deeper))
-    out = done[0].select("key", "node")
-    for d in done[1:]:
-        out = out.unionByName(d.select("key", "node"))
-    return work.table(out.repartition("key").sortWithinPartitions("key").mapInPandas(_several, "key long, node binary"), "regions"), wide
+    rows = work.table(rows.join(roots, "node", "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("comp")), "rows")
+    shares = rows.groupBy("token", "comp").agg(F.count("*").alias("rows"))
+    several = shares.groupBy("token").agg(F.max_by("comp", F.struct("rows", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1").select("token", "most")
+    several = work.table(several, "several")
+    mixed = work.table(rows.join(several, "token").withColumn("probe", F.col("comp") != F.col("most")).drop("most"), "mixed")
+    members = mixed
+    if not whole:
+        first = mixed.where("not probe").groupBy("token").agg(F.min(F.struct("at", "node", "n", "comp", "probe")).alias("m"))
+        members = work.table(first.select("token", "m.*"), "leads")
+    # Pairs with a probe, each once.
+    fits = "100 * least(a.n, b.n) >= {0} * greatest(a.n, b.n) and (100 + {0}) * (a.n - a.at) >= {0} * (a.n + b.n) and (100 + {0}) * (b.n - b.at) >= {0} * (a.n + b.n)".format(PERCENT)
+    met = mixed.where("probe").alias("a").join(members.alias("b"), (F.col("a.token") == F.col("b.token")) & F.expr(f"a.comp <> b.comp and (not b.probe or a.node < b.node) and {fits}"))
+    found = work.table(met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct(), "met")
+    work.drop(rows, several, mixed)
+    sig = nodes.select("node", "sig")
+    both = found.join(sig.toDF("u", "a"), "u").join(sig.toDF("v", "b"), "v").select("u", "v", "a", "b")
+    alike = work.table(both.mapInArrow(_alike, "u binary, v binary"), "alike")
+    return None if alike.isEmpty() else alike
+
+
+def forest(nodes: DataFrame, work: Work) -> DataFrame:
+    """(key, tree, node): the members of the regions of two and more nodes, a row for each tree that has one."""
+    rows = nodes.select("node", "mh", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    key = F.xxhash64("tree", F.expr(f"substring(mh, tree * {4 * DEPTH} + 1, {4 * DEPTH})"))
+    rows = rows.select(key.alias("key"), "tree", "node")
+    return work.table(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_several, "key long, tree int, node binary"), "regions")
 
 
 def components(edges: DataFrame, work: Work) -> DataFrame:
     """(node, root): of each node with a link the smallest node it is joined to.
 
     Stars are grown in turns: each node hands its larger neighbours to its smallest one, then its
-    smaller ones; rounds grow with the logarithm of a component's size.
+    smaller ones; rounds grow with the logarithm of a component's size. Minima are written before
+    they are joined, so that Spark can split the edges of a hub.
     """
     now = work.table(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
     for _ in range(60):
         both = now.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(now.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("a"), F.col("m").alias("b")).distinct()
-        large = work.table(large, "large")
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = work.table(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
+        large = work.table(both.join(least, "x").where("y > x").select(F.col("y").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        down = work.table(large.groupBy("a").agg(F.min("b").alias("m")), "down")
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct()
         new = work.table(small, "small")
-        work.drop(now, large)
+        work.drop(now, least, large, down)
         now = new
         got = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(got) == mark:
-            break
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = tuple(got)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError("components did not settle in 60 rounds")
 
 
 def text_hash(text_col: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def ident(column: str) -> Column:
-    """An id as text, null ids alike."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, node (the words' MD5), th (the text's)."""
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, node (the words' MD5), th (the text's), root (the component's node)."""
     work = Work(docs.sparkSession, "near")
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
@@ -339,58 +329,78 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = work.table(source.mapInPandas(_signatures, f"doc_id {id_type}, th binary, node binary, n long, mh binary, sig binary"), "signatures")
     per_task = slim.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("mh").alias("mh"), F.max("sig").alias("sig"))
     nodes = work.table(per_task, "nodes")
-    regions, wide = forest(nodes.select("node", "mh"), work)
-    members = regions.join(nodes.select("node", "n", "sig", F.hex(F.substring("mh", 1, 16)).alias("order")), "node")
-    members = work.table(members.repartition("key").sortWithinPartitions("key", "order"), "members")
-
-    def pairs(rows: DataFrame, second: bool) -> DataFrame:
-        found = rows.repartition("key").sortWithinPartitions("key", "order").mapInPandas(lambda it: _pairs(it, second), "u binary, v binary")
-        return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """(node, shingles) of the wanted nodes, from one document of each; its words decide whether it is one."""
-        needed = wanted.distinct().join(nodes.select("node", "first_id"), "node")
-        needed = work.table(needed.select("node", ident("first_id").alias("ident")), "needed")
-        texts = maybe_in(source.select("text", ident("doc_id").alias("ident")), F.col("ident"), needed, F.col("ident"))
-        sets = texts.select("text").mapInPandas(_sets, "node binary, shingles array<long>")
-        return work.table(sets.join(needed.select("node"), "node").dropDuplicates(["node"]), "sets")
-
-    tried = work.table(pairs(members, False), "pairs")
-    sets = sets_of(tried.select("u").union(tried.select("v")).withColumnRenamed("u", "node"))
-    a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    both = tried.join(a, "u").join(b, "v").select("u", "v", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("n"))
-    links = work.table(both.where(100 * F.col("i").cast("long") >= PERCENT * (F.col("n") - F.col("i"))).select("u", "v"), "links")
-    work.drop(sets)
-    roots = components(links, work)
-
-    split = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    several = split.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("a"), F.max("comp").alias("b")).where((F.col("rows") > SMALL) & (F.col("a") != F.col("b")))
-    crowded = work.table(split.join(several.select("key"), "key"), "crowded")
-    if not crowded.isEmpty():
-        sets = sets_of(crowded.select("node"))
-        found = work.table(pairs(crowded.join(sets, "node"), True), "found")
-        work.drop(sets)
+    regions = forest(nodes.select("node", "mh"), work)
+    large = work.table(regions.groupBy("key").count().where(F.col("count") > SMALL).select("key", F.lit(True).alias("large")), "large")
+    sorted_by = F.expr(f"substring(concat(mh, mh), (tree + 1) * {4 * DEPTH} + 1, {4 * ORDER})").alias("rot")
+    tried = regions.join(large, "key", "left").where(f"large is null or tree % {STEP} = 0")
+    members = tried.join(nodes.select("node", "n", "mh", "sig"), "node").select("key", sorted_by, "node", "n", "sig", F.coalesce("large", F.lit(False)).alias("large"))
+    pairs = members.repartitionByRange("key", "rot").sortWithinPartitions("key", "rot").mapInArrow(_neighbours, "u binary, v binary, like float")
+    pairs = work.table(pairs.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("like").alias("like")), "pairs")
+    crowds = work.table(regions.join(large, "key").select("key", "node"), "crowds")
+    work.drop(regions)
+
+    wanted = pairs.select("u").union(pairs.select("v")).withColumnRenamed("u", "node").union(crowds.select("node")).distinct()
+    needed = work.table(wanted.join(nodes.select("node", "first_id"), "node").select("node", ident("first_id").alias("ident")), "needed")
+    texts = maybe_in(source.select("text", ident("doc_id").alias("ident")), F.col("ident"), needed, F.col("ident"))
+    # One document of each node; its words decide whether it is one.
+    sets = texts.select("text").mapInPandas(_sets, "node binary, shingles array<long>")
+    sets = work.table(sets.join(needed.select("node"), "node").dropDuplicates(["node"]), "sets")
+
+    def linked(tried: DataFrame, name: str) -> DataFrame:
+        a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+        b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+        both = tried.join(a, "u").join(b, "v").select("u", "v", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("n"))
+        return work.table(both.where(100 * F.col("i").cast("long") >= PERCENT * (F.col("n") - F.col("i"))).select("u", "v"), name)
+
+    def apart(tried: DataFrame) -> DataFrame:
+        """The pairs whose nodes lie in different components."""
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        told = tried.join(of("u"), "u", "left").join(of("v"), "v", "left")
+        return told.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+
+    def joined_by(found: DataFrame) -> DataFrame:
+        return components(found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), work)
+
+    ends = pairs.select(F.col("u").alias("x"), F.col("v").alias("y"), "like").unionByName(pairs.select(F.col("v").alias("x"), F.col("u").alias("y"), "like"))
+    ends = ends.withColumn("h", F.xxhash64("x", "y")).groupBy("x").agg(F.max(F.struct("like", "h", "y")).alias("likest"), F.max(F.struct("h", "y")).alias("other"))
+    first = ends.select("x", F.explode(F.array("likest.y", "other.y")).alias("y")).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+    first = work.table(first, "first")
+    roots = components(linked(first, "links"), work)
+    rest = work.table(apart(pairs.select("u", "v").join(first, ["u", "v"], "left_anti")), "rest")
+    if not rest.isEmpty():
+        found = linked(rest, "more")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = components(links, work)
-    found = None if wide is None else across(wide, nodes, roots, sets_of, work)
-    if found is not None:
-        roots = components(links.unionByName(found), work)
+            roots = joined_by(found)
+    comps = crowds.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    mixed = work.table(comps.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key"), "mixed")
+    crowd = work.table(crowds.join(mixed, "key").select("node").distinct(), "crowd")
+    if not crowd.isEmpty():
+        rows = rare_rows(sets, crowd, work)
+        for whole in (False, True):
+            met = rare_pairs(rows, nodes, roots, work, whole)
+            found = None if met is None else linked(met, "rare")
+            if found is not None and not found.isEmpty():
+                roots = joined_by(found)
+        work.drop(rows)
+    work.drop(sets)
     joined = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    lookup = work.table(joined.join(ids, "root").select("node", "component_id"), "components")
+    lookup = work.table(joined.join(ids, "root").select("node", "component_id", "root"), "components")
+    work.drop(nodes, pairs, large, crowds, crowd, mixed, needed, first, rest)
     out = slim.select("doc_id", "th", "node", "n").join(lookup, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "node", "th")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "node", "th", "root")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns: of each component one document, of the smallest id, stays."""
+    """``docs`` with all its columns: of each component one document, of the smallest id, stays.
+
+    Components are told apart by their node, as unlike documents can share an id.
+    """
     from pagemill.llm.exact_dedup import keep_rows
 
     found = near_duplicates(docs, id_col, text_col)
-    nth = F.row_number().over(Window.partitionBy("component_id", "doc_id").orderBy("node", "th"))
+    nth = F.row_number().over(Window.partitionBy("root", "doc_id").orderBy("node", "th"))
     alone = F.col("n_shingles") == 0
     decided = found.where(~alone & F.col("kept")).withColumn("nth", nth).select("doc_id", F.col("th").alias("key"), (F.col("nth") == 1).alias("kept"))
     rest = found.where(alone | ~F.col("kept")).select("doc_id", F.col("th").alias("key"), alone.alias("kept"))

@@ -56,7 +56,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents")).drop("node", "th")
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 import random
 
-from helpers import SF, empty, near_brute, odd
+from helpers import SF, empty, near_brute, odd, shingles
 from pyspark.sql import functions as F
 
 from pagemill.llm import exact_dedup, near_dedup
-from pagemill.llm.common import maybe_in
+from pagemill.llm.common import maybe_in, told_apart
 
 
 def test_exact_odd_rows(spark):
@@ -103,3 +103,46 @@ def test_near_on_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got = near_dedup.near_duplicates(docs).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == near_brute(rows)
+
+
+def passage_crowd(n, linked=100, seed=11):
+    """Texts of one passage and some own words, 0.70 alike, with partners at 59/77 and 61/75; {doc_id: component}."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(8))
+    passage = [word() for _ in range(60)]
+    rows = [(i, passage + [word() for _ in range(12)]) for i in range(n)]
+    want = {i: i for i in range(n)}
+    for k in range(2 * linked):
+        w = list(rows[k][1])
+        w[-9] = word()
+        w[-4 if k % 2 else -2] = word()
+        rows.append((n + k, w))
+        want[n + k] = k
+    return [(i, " ".join(w)) for i, w in rows], want
+
+
+def test_near_links_within_a_common_passage(spark):
+    rows, want = passage_crowd(6000)
+    a, b, c = (shingles(rows[i][1]) for i in (0, 6000, 6001))
+    assert len(a & b) / len(a | b) == 61 / 75 and len(shingles(rows[1][1]) & c) / len(shingles(rows[1][1]) | c) == 59 / 77
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_near_dedup_tells_unlike_texts_of_one_id_apart(spark):
+    rows = [(1, "one text with its own words and no other like it here"), (1, "quite another story told in words that nobody else has used"), (2, "a third of them that shares nothing at all with those before")]
+    assert near_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).count() == 3
+
+
+def test_bitmap_holds_every_key(spark):
+    df = spark.range(300_000)
+    keys = spark.range(0, 300_000, 3)
+    assert maybe_in(df, F.col("id"), keys, F.col("id")).where("id % 3 = 0").count() == 100_000
+
+
+def test_rows_are_told_apart_without_loss(spark):
+    df = spark.createDataFrame([(i if i % 10 else None, i) for i in range(2000)], "id long, row long")
+    keys = spark.range(0, 2000, 7)
+    may, sure = told_apart(df, F.col("id"), keys, F.col("id"))
+    a, b = [r["row"] for r in may.collect()], [r["row"] for r in sure.collect()]
+    assert sorted(a + b) == list(range(2000)) and {i for i in range(0, 2000, 7) if i % 10} <= set(a) and len(a) < 500 and all(i in b for i in range(0, 2000, 10))
