@@ -34,13 +34,13 @@ KEPT_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "im
 
 def link_share(e: Node) -> float:
     """The share of an element's text that stands in links."""
-    n = len(e.text())
-    return sum(len(a.text()) for a in e.all("a")) / n if n else 0.0
+    n = e.length()
+    return sum(a.length() for a in e.all("a")) / n if n else 0.0
 
 
 def link_density(e: Node) -> float:
-    n = len(e.text())
-    return len(e.all("a")) / n if n else 0.0
+    n = e.length()
+    return e.count("a") / n if n else 0.0
 
 
 def position(e: Node, body: Node) -> float:
@@ -50,23 +50,23 @@ def position(e: Node, body: Node) -> float:
 
 
 def is_header(e: Node, at: float) -> bool:
-    text = e.text()
     if e.tag in ("header", "nav"):
         return True
-    if len(e.all("img")) >= 3:
+    if e.count("img") >= 3:
         return False
-    if not text:
+    size = e.length()
+    if not size:
         return True
     share = link_share(e)
-    if len(text) * (1 - share) >= 200:
+    if size * (1 - share) >= 200:
         return False
-    return (share > 0.55 and len(text) < 600) or matches(HEADER_NAMES)(e) or (at < 0.15 and share > 0.4 and len(text) < 2000)
+    return (share > 0.55 and size < 600) or matches(HEADER_NAMES)(e) or (at < 0.15 and share > 0.4 and size < 2000)
 
 
 def is_footer(e: Node, at: float) -> bool:
-    text = e.text()
-    if e.tag == "footer" or not text or matches(FOOTER_NAMES)(e):
+    if e.tag == "footer" or not e.length() or matches(FOOTER_NAMES)(e):
         return True
+    text = e.text()
     found = COPYRIGHT.findall(text)
     if found and not (len(text) > 200 and sum(map(len, found)) < len(text) / 2):
         return True
@@ -82,7 +82,7 @@ def strip_frame(root: Node) -> None:
     """Removes headers and footers; pages full of images lose only the elements named so."""
     body = root.first("body") or root
     drop(root, "header", "footer", "nav")
-    if len(body.all("img")) >= 20:
+    if body.count("img") >= 20:
         return
     edge = [c for c in body.children if isinstance(c, Node)]
     order = {id(e): i for i, e in enumerate(body.elements())}
@@ -90,7 +90,7 @@ def strip_frame(root: Node) -> None:
         if e.tag in ("main", "article") or not e.attached(root) or e.first("article", "main"):
             continue
         at = order[id(e)] / max(len(order), 1)
-        if not matches(CONTENT_NAMES)(e) and e.text() and (is_header(e, at) or is_footer(e, at)) and len(e.text()) < 0.5 * len(body.text()):
+        if not matches(CONTENT_NAMES)(e) and 0 < e.length() < 0.5 * body.length() and (is_header(e, at) or is_footer(e, at)):
             e.remove()
 
 
@@ -99,7 +99,7 @@ def strip_sides(root: Node) -> None:
     drop(root, "aside")
     for pattern, spared in ((SIDE_NAMES, True), (POPUP_NAMES, True), (AD_NAMES, False)):
         for e in root.where(matches(pattern)):
-            if e.tag not in ("body", "html") and not (spared and len(e.all("img")) >= 3):
+            if e.tag not in ("body", "html") and not (spared and e.count("img") >= 3):
                 e.remove()
     for e in root.where(lambda e: re.search(r"(?i)position\s*:\s*(fixed|sticky)", e.get("style"))):
         e.remove()
@@ -108,13 +108,13 @@ def strip_sides(root: Node) -> None:
 def strip_metadata(root: Node) -> None:
     """Removes share bars and the like, and links back to lists."""
     for e in root.where(matches(META_NAMES)):
-        if e.tag not in ("body", "html", "article", "main") and len(e.text()) < 200:
+        if e.tag not in ("body", "html", "article", "main") and e.length() < 200:
             e.remove()
     for e in root.all("a", "p", "span", "div", "li"):
-        if e.attached(root) and 2 <= len(e.text()) <= 30 and BACK_TEXT.search(e.text()):
+        if e.attached(root) and 2 <= e.length() <= 30 and BACK_TEXT.search(e.text()):
             parent = e.parent
             e.remove()
-            if parent is not None and parent.tag not in ("body", "html", "#root") and not parent.text() and not parent.first("img"):
+            if parent is not None and parent.tag not in ("body", "html", "#root") and not parent.length() and not parent.first("img"):
                 parent.remove()
 
 
@@ -124,7 +124,7 @@ def strip_link_lists(root: Node) -> None:
         if e.tag not in ("body", "html") and not e.first("img"):
             e.remove()
     for e in root.all("ul", "ol"):
-        if e.attached(root) and len(e.all("a")) >= 5 and link_share(e) > 0.8:
+        if e.attached(root) and e.count("a") >= 5 and link_share(e) > 0.8:
             e.remove()
 
 
@@ -157,7 +157,7 @@ def drop_empty(root: Node, least: int = 1) -> None:
     while changed:
         changed = False
         for e in reversed(root.all("div", "section", "p", "span", "ul", "li")):
-            if e.attached(root) and len(e.text()) < least and not e.first("img", "video", "table", "input"):
+            if e.attached(root) and e.length() < least and not e.first("img", "video", "table", "input"):
                 e.remove()
                 changed = True
 
@@ -246,10 +246,10 @@ def blocks(root: Node) -> list[dict]:
     for e in order:
         if e.tag not in ("div", "section", "article", "main", "td"):
             continue
-        text = len(e.text())
-        score = 0.5 * text + 100 * len(e.all("p")) + 250 * len(e.all("img"))
+        text = e.length()
+        score = 0.5 * text + 100 * e.count("p") + 250 * e.count("img")
         score *= (1.5 if matches(CONTENT_NAMES)(e) else 1) * (1.2 if 0.15 <= number[id(e)] / max(len(order), 1) <= 0.85 else 1)
-        out.append({"pre": number[id(e)], "post": post[id(e)], "tag": e.tag, "names": e.names(), "text_length": text, "paragraphs": len(e.all("p")), "images": len(e.all("img")), "links": len(e.all("a")), "score": round(score, 2)})
+        out.append({"pre": number[id(e)], "post": post[id(e)], "tag": e.tag, "names": e.names(), "text_length": text, "paragraphs": e.count("p"), "images": e.count("img"), "links": e.count("a"), "score": round(score, 2)})
     return out
 
 
@@ -257,31 +257,30 @@ def by_score(root: Node) -> Node:
     """Main content as the best-scored block: an article, else text, paragraphs and images weighed."""
     body = root.first("body") or root
     article = root.first("article")
-    images = len(body.all("img"))
-    if article is not None and len(article.text()) > 30 and not (images > 5 and len(article.all("img")) < images / 2):
+    images = body.count("img")
+    if article is not None and article.length() > 30 and not (images > 5 and article.count("img") < images / 2):
         return article
     order = list(body.elements())
     best, top = body, 200.0
     for i, e in enumerate(order):
-        text = len(e.text())
-        at = i / max(len(order), 1)
+        at, text = i / max(len(order), 1), e.length()
         if e.tag in ("div", "section") and text >= 40 and not is_header(e, at) and not is_footer(e, at):
-            score = (0.5 * text + 100 * len(e.all("p")) + 250 * len(e.all("img"))) * (1.5 if matches(CONTENT_NAMES)(e) else 1) * (1.2 if 0.15 <= at <= 0.85 else 1)
+            score = (0.5 * text + 100 * e.count("p") + 250 * e.count("img")) * (1.5 if matches(CONTENT_NAMES)(e) else 1) * (1.2 if 0.15 <= at <= 0.85 else 1)
             if score > top:
                 best, top = e, score
-    return body if images > 3 and len(best.all("img")) < 0.4 * images else best
+    return body if images > 3 and best.count("img") < 0.4 * images else best
 
 
 def main_content(root: Node) -> Node:
     """Main content as up to five blocks: an article, else main, named containers and image groups, else divs."""
     body = root.first("body") or root
     article = root.first("article")
-    if article is not None and len(article.text()) > 100 and not _furniture(article):
+    if article is not None and article.length() > 100 and not _furniture(article):
         return article
-    found = [e for e in body.elements() if not _noisy(e) and ((e.tag == "main" or matches(CONTENT_NAMES)(e)) and len(e.text()) >= 100 and link_density(e) <= 0.3 and not _furniture(e) or e.tag in ("table", "td", "div") and len(e.all("img")) >= 3)]
+    found = [e for e in body.elements() if not _noisy(e) and ((e.tag == "main" or matches(CONTENT_NAMES)(e)) and e.length() >= 100 and link_density(e) <= 0.3 and not _furniture(e) or e.tag in ("table", "td", "div") and e.count("img") >= 3)]
     limit = 5
     if not found:
-        found, limit = [e for e in body.all("div") if len(e.text()) > 100 or e.first("img")], 3
+        found, limit = [e for e in body.all("div") if e.length() > 100 or e.first("img")], 3
     top = {id(e) for e in found}
 
     def contained(e: Node) -> bool:
@@ -293,7 +292,7 @@ def main_content(root: Node) -> Node:
     outer = [e for e in found if not contained(e)]
     if not outer:
         return body
-    outer = sorted(outer, key=lambda e: -(len(e.text()) + 100 * len(e.all("img"))))[:limit]
+    outer = sorted(outer, key=lambda e: -(e.length() + 100 * e.count("img")))[:limit]
     if len(outer) == 1:
         return outer[0]
     wrapper = Node("div")
@@ -302,6 +301,36 @@ def main_content(root: Node) -> Node:
     return wrapper
 
 
+def widened(e: Node, most: int = 8) -> Node:
+    """The outermost container around an element that adds to it: more images, a twentieth more text, or only a wrapper."""
+    for _ in range(most):
+        up = e.parent
+        if up is None or up.tag in ("html", "body", "#root") or _noisy(up):
+            break
+        more, same = up.count("img") > e.count("img"), up.count("img") == e.count("img")
+        if not (more or up.length() > 1.05 * e.length() or same and abs(up.length() - e.length()) <= 5):
+            break
+        e = up
+    return e
+
+
+def loudest(part: Node, least: int = 20) -> str:
+    """The short text of the largest font in a part, the first of equal ones; empty if none has ``least`` pixels."""
+    best, top = "", least - 1
+    for e in part.all("strong", "b", "span"):
+        m = re.search(r"(?i)font-size\s*:\s*(\d+)\s*px", e.get("style"))
+        if m and int(m[1]) > top and 2 < len(e.text("")) < 50:
+            best, top = e.text(""), int(m[1])
+    return best
+
+
+def isolated(e: Node, long: int = 200) -> bool:
+    """Whether an element without long text stands between siblings without long text."""
+    around = [c for c in e.parent.children if isinstance(c, Node)] if e.parent is not None else [e]
+    i = next(k for k, c in enumerate(around) if c is e)
+    return all(c.length() <= long for c in around[max(0, i - 1) : i + 2])
+
+
 def structured_body(html: str, url: str) -> str:
     """The main content as a flat run of blocks, links unwrapped, furniture removed."""
     root = parse(html)
@@ -312,11 +341,14 @@ def structured_body(html: str, url: str) -> str:
         if re.search(r"(?i)icon|logo|qrcode|erweima|arrow|btn", img.get("src") + " " + img.get("alt")):
             img.remove()
     for a in part.all("a"):
-        a.tag, a.attrs = "span", {}
+        a.rename("span")
+        a.attrs = {}
     for e in part.all("div", "section", "ul", "table"):
-        names, text = e.names(), e.text()
-        hits = sum(bool(re.search(p, text)) for p in V.NOISE_PATTERNS) if len(text) >= 20 else 0
-        if e.attached(part) and not re.search(V.SAFE_BLOCK, names) and (re.search(V.NOISE_BLOCK, names) or hits >= 2) and len(text) < 0.5 * len(part.text()):
+        names, size = e.names(), e.length()
+        if not e.attached(part) or size >= 0.5 * part.length() or re.search(V.SAFE_BLOCK, names):
+            continue
+        text = e.text() if size >= 20 else ""
+        if re.search(V.NOISE_BLOCK, names) or text and sum(bool(re.search(p, text)) for p in V.NOISE_PATTERNS) >= 2:
             e.remove()
     drop_empty(part, 10)
     out = []
@@ -328,7 +360,7 @@ def structured_body(html: str, url: str) -> str:
             for e in [c, *c.elements()]:
                 keep_styles(e)
             out.append(c.html())
-        elif len(c.text()) > (10 if c.tag == "span" else 20):
+        elif c.length() > (10 if c.tag == "span" else 20):
             out.append(f"<p>{c.text()}</p>")
     return "\n".join(out)
 
@@ -347,18 +379,18 @@ def _navigation_rules(url: str):
     return (
         ("crumb element", ("nav",), lambda e: "breadcrumb" in e.get("class").lower()),
         ("crumb or pager name", None, matches(CRUMB_NAMES)),
-        ("position text", ("ul", "ol", "div"), lambda e: len(e.text()) <= 80 and POSITION_TEXT.search(e.text()) and plain(e)),
-        ("previous and next", ("p", "div", "li", "ul", "span"), lambda e: len(e.text()) <= 120 and PAGER_START.match(e.text())),
-        ("pager text", ("span", "div"), lambda e: len(e.text()) <= 80 and re.search(V.PAGER_TEXT, e.text())),
-        ("separated crumbs", ("div", "p", "ul"), lambda e: len(e.text()) <= 100 and len(e.all("a")) >= 2 and internal(e) >= 2 and home(e) and re.search("[>»＞/|]", e.text()) and plain(e)),
-        ("link group", ("div", "ul", "ol", "p"), lambda e: len(e.all("a")) >= 5 and len(e.text()) <= 250 and internal(e) >= 5 and home(e) and bare(e)),
-        ("menu container", ("div", "ul", "ol"), lambda e: menu(e) and not e.first("h1", "h2", "h3") and len(e.text()) <= 200 and internal(e) >= 3),
-        ("menu without links", ("div", "ul"), lambda e: menu(e) and not e.first("h1", "h2", "h3", "a") and len(e.all("li")) >= 3 and len(e.text()) <= 800),
-        ("banner", ("div", "section"), lambda e: matches(r"(?i)banner|swiper|slide")(e) and not e.first("h1", "h2", "h3", "a") and 1 <= len(e.text()) <= 300),
-        ("builder header", ("div", "section"), lambda e: matches(r"(?i)head|top-?bar|logo")(e) and not e.first("h1", "h2", "h3") and len(e.text()) <= 200 and bare(e)),
+        ("position text", ("ul", "ol", "div"), lambda e: e.length() <= 80 and POSITION_TEXT.search(e.text()) and plain(e)),
+        ("previous and next", ("p", "div", "li", "ul", "span"), lambda e: e.length() <= 120 and PAGER_START.match(e.text())),
+        ("pager text", ("span", "div"), lambda e: e.length() <= 80 and re.search(V.PAGER_TEXT, e.text())),
+        ("separated crumbs", ("div", "p", "ul"), lambda e: e.length() <= 100 and e.count("a") >= 2 and internal(e) >= 2 and home(e) and re.search("[>»＞/|]", e.text()) and plain(e)),
+        ("link group", ("div", "ul", "ol", "p"), lambda e: e.count("a") >= 5 and e.length() <= 250 and internal(e) >= 5 and home(e) and bare(e)),
+        ("menu container", ("div", "ul", "ol"), lambda e: menu(e) and not e.first("h1", "h2", "h3") and e.length() <= 200 and internal(e) >= 3),
+        ("menu without links", ("div", "ul"), lambda e: menu(e) and not e.first("h1", "h2", "h3", "a") and e.count("li") >= 3 and e.length() <= 800),
+        ("banner", ("div", "section"), lambda e: matches(r"(?i)banner|swiper|slide")(e) and not e.first("h1", "h2", "h3", "a") and 1 <= e.length() <= 300),
+        ("builder header", ("div", "section"), lambda e: matches(r"(?i)head|top-?bar|logo")(e) and not e.first("h1", "h2", "h3") and e.length() <= 200 and bare(e)),
         ("service bar", ("div", "ul"), lambda e: matches(r"(?i)service|kefu|contact-bar|float")(e) and not e.first("h1", "h2", "h3") and bare(e)),
         ("site menu", ("div", "ul"), lambda e: e.first("h6") is not None and home(e) and bare(e)),
-        ("footer", ("div", "section"), lambda e: matches(r"(?i)foot|bottom")(e) and bare(e) and len(e.text()) < 2000),
+        ("footer", ("div", "section"), lambda e: matches(r"(?i)foot|bottom")(e) and bare(e) and e.length() < 2000),
     )
 
 
@@ -386,7 +418,7 @@ def clean_page(html: str, url: str) -> dict:
     strip_noise(root)
     strip_frame(root)
     strip_sides(root)
-    if len(root.all("img")) < 20:
+    if root.count("img") < 20:
         strip_metadata(root)
     part = by_score(root)
     strip_position_styles(part)
@@ -425,10 +457,10 @@ def extract_by_rules(html: str, url: str, rules: list[tuple[str, str]]) -> dict:
     for s in of["remove"]:
         for e in select(root, s):
             e.remove()
-    part = next((e for s in of["content"] for e in select(root, s) if len(e.text()) > 50), None)
+    part = next((e for s in of["content"] for e in select(root, s) if e.length() > 50), None)
     title = next((e.text() for s in of["title"] for e in select(root, s) if e.text()), "")
     if part is None:
         return {"title": title, "html": "", "images": 0}
     absolute(part, url)
-    images = sum(len(select(part, s)) for s in of["image"]) if of["image"] else len(part.all("img"))
+    images = sum(len(select(part, s)) for s in of["image"]) if of["image"] else part.count("img")
     return {"title": title, "html": part.html(), "images": images}

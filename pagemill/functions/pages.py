@@ -49,8 +49,8 @@ FIELDS = {
     "page_title": (S, lambda r, h, u: fields.page_title(r)),
     "charset": (S, lambda r, h, u: fields.charset(r)),
     "text": (S, lambda r, h, u: r.text()),
-    "text_length": (L, lambda r, h, u: len(r.text())),
-    "body_length": (L, lambda r, h, u: len(_body(r).text())),
+    "text_length": (L, lambda r, h, u: r.length()),
+    "body_length": (L, lambda r, h, u: _body(r).length()),
     "hrefs": (L, lambda r, h, u: sum(bool(a.get("href")) for a in r.all("a"))),
     "body_anchors": (L, lambda r, h, u: sum("href" in a.attrs for a in _body(r).all("a"))),
     "pager_class": (B, lambda r, h, u: bool(r.where(classed(values.PAGER_CLASS)))),
@@ -106,6 +106,21 @@ def parse_pages(pages: DataFrame, keep: list[Column], names: list[str], url: Col
     return source.mapInArrow(each, schema)
 
 
+def extract_by_rules(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id") -> DataFrame:
+    """(key, title, html, images) by (selector, purpose) rules, which are checked first; faulty ones raise ValueError."""
+    faults = content.rule_faults(rules)
+    if faults:
+        raise ValueError("; ".join(faults))
+
+    def each(batches):
+        for b in batches:
+            got = [content.extract_by_rules(h, u or "", rules) for u, h in zip(b["url"], b["html"])]
+            yield b[[key]].assign(**{k: [g[k] for g in got] for k in ("title", "html", "images")})
+
+    schema = T.StructType([pages.schema[key], *_struct(title=S, html=S, images=L).fields])
+    return pages.select(key, "url", "html").mapInPandas(each, schema)
+
+
 def _as(value, kind):
     """Tuples as the records that Arrow wants."""
     import pyarrow as pa

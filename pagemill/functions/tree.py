@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 from html import escape
 from html.parser import HTMLParser
 
@@ -17,10 +18,46 @@ SILENT = frozenset(("script", "style", "template"))
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    """An element. The length of its text and the number of each tag below it are kept until something below changes."""
+
+    __slots__ = ("tag", "attrs", "children", "parent", "_length", "_tags")
 
     def __init__(self, tag: str, attrs: dict | None = None, parent: Node | None = None):
         self.tag, self.attrs, self.children, self.parent = tag, attrs or {}, [], parent
+        self._length = self._tags = None
+
+    def _measure(self) -> None:
+        """Length and tags of this element and all below it that are not known, from the leaves up."""
+        stack = [(self, False)]
+        while stack:
+            node, ready = stack.pop()
+            if not ready:
+                stack.append((node, True))
+                stack += [(c, False) for c in node.children if isinstance(c, Node) and c._tags is None]
+                continue
+            sizes, tags = [], {}
+            for c in node.children:
+                if isinstance(c, str):
+                    sizes.append(len(c.strip()))
+                    continue
+                if c.tag not in SILENT and c.tag != "#comment":
+                    sizes.append(c._length)
+                tags[c.tag] = tags.get(c.tag, 0) + 1
+                for tag, n in c._tags.items():
+                    tags[tag] = tags.get(tag, 0) + n
+            said = [n for n in sizes if n]
+            node._length, node._tags = sum(said) + max(len(said) - 1, 0), tags
+
+    def changed(self) -> None:
+        """Forgets what is kept here and above; an element that has nothing kept has nothing kept above."""
+        node = self
+        while node is not None and node._tags is not None:
+            node._length = node._tags = None
+            node = node.parent
+
+    def rename(self, tag: str) -> None:
+        self.changed()
+        self.tag = tag
 
     def get(self, name: str) -> str:
         return self.attrs.get(name) or ""
@@ -50,11 +87,23 @@ class Node:
         """The visible strings without blanks at their ends, joined."""
         return between.join(s for s in (x.strip() for x in self.strings()) if s)
 
+    def length(self) -> int:
+        """The length of ``text``."""
+        if self._tags is None:
+            self._measure()
+        return self._length
+
+    def count(self, *tags: str) -> int:
+        """How many elements of these tags are below."""
+        if self._tags is None:
+            self._measure()
+        return sum(self._tags.get(t, 0) for t in tags)
+
     def all(self, *tags: str) -> list[Node]:
-        return [e for e in self.elements() if e.tag in tags]
+        return [e for e in self.elements() if e.tag in tags] if self.count(*tags) else []
 
     def first(self, *tags: str) -> Node | None:
-        return next((e for e in self.elements() if e.tag in tags), None)
+        return next((e for e in self.elements() if e.tag in tags), None) if self.count(*tags) else None
 
     def where(self, test: Callable[[Node], bool]) -> list[Node]:
         return [e for e in self.elements() if test(e)]
@@ -77,6 +126,7 @@ class Node:
 
     def remove(self) -> None:
         if self.parent is not None:
+            self.parent.changed()
             self.parent.children = [c for c in self.parent.children if c is not self]
             self.parent = None
 
@@ -84,6 +134,7 @@ class Node:
         if isinstance(child, Node):
             child.remove()
             child.parent = self
+        self.changed()
         self.children.insert(len(self.children) if at is None else at, child)
 
     def html(self) -> str:
@@ -150,12 +201,14 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
+@cache
 def matches(pattern: str) -> Callable[[Node], bool]:
     """A test of one of an element's classes or its id."""
     compiled = re.compile(pattern)
     return lambda e: any(compiled.search(c) for c in (*e.get("class").split(), e.get("id")) if c)
 
 
+@cache
 def classed(pattern: str) -> Callable[[Node], bool]:
     compiled = re.compile(pattern)
     return lambda e: any(compiled.search(c) for c in e.get("class").split())
