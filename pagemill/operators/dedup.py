@@ -9,10 +9,15 @@ from pagemill.functions import rules
 
 
 def by_hash(rows: DataFrame, value: Column, order: list) -> DataFrame:
-    """Rows with ``content_hash`` and ``copy`` (1 for the first of its content); rows without content are each first."""
+    """Rows with ``content_hash`` and ``copy`` (1 for the first of its content); rows without content are each first.
+
+    Rows without content (empty or null hash) are dealt out by their order columns, as they are never compared.
+    """
     rows = rows.withColumn("content_hash", value)
-    nth = F.row_number().over(Window.partitionBy("content_hash").orderBy(*order))
-    return rows.withColumn("copy", F.when(F.col("content_hash") == "", 1).otherwise(nth))
+    none = F.coalesce(F.col("content_hash"), F.lit("")) == ""
+    spread = F.when(none, F.xxhash64(*order)).otherwise(F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("content_hash", spread).orderBy(*order))
+    return rows.withColumn("copy", F.when(none, 1).otherwise(nth))
 
 
 def routed(rows: DataFrame, text: str, is_list: str, order: list) -> DataFrame:

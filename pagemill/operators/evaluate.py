@@ -36,9 +36,12 @@ def failure_runs(log: DataFrame, by: str, order: str, failed: Column) -> DataFra
 
 
 def trailing_run(log: DataFrame, by: str, order: str, failed: Column, ignored: Column) -> DataFrame:
-    """(by, trailing): failures since each group's last success, ignored rows left out; as one aggregate."""
-    rows = log.where(~ignored).groupBy(by).agg(F.max(F.when(~failed, F.col(order))).alias("ok"), F.collect_list(F.when(failed, F.col(order))).alias("_f"))
-    return rows.select(by, F.size(F.filter("_f", lambda x: F.col("ok").isNull() | (x > F.col("ok")))).cast("long").alias("trailing"))
+    """(by, trailing): failures since each group's last success, ignored rows left out; as two aggregates."""
+    rows = log.where(~ignored).select(F.col(by).alias("_by"), F.col(order).alias("_at"), failed.alias("_failed"))
+    last = rows.groupBy("_by").agg(F.max(F.when(~F.col("_failed"), F.col("_at"))).alias("_ok")).withColumnRenamed("_by", "_of")
+    after = F.col("_failed") & (F.col("_ok").isNull() | (F.col("_at") > F.col("_ok")))
+    got = rows.join(last, rows["_by"].eqNullSafe(last["_of"])).groupBy("_by").agg(F.count_if(after).alias("trailing"))
+    return got.withColumnRenamed("_by", by)
 
 
 def retries(log: DataFrame, key: str, failed: Column, most: int = 3) -> DataFrame:
@@ -78,3 +81,25 @@ def failed_samples(rows: DataFrame, text: str, order: list, most: int = 5, other
     short = F.char_length(F.coalesce(F.col(text), F.lit(""))) < 200
     mixed = rows.withColumn("_short", short).where("_short").orderBy(*order).limit(most).unionByName(rows.withColumn("_short", short).where("not _short").orderBy(*order).limit(others))
     return mixed.orderBy(*order).limit(most).drop("_short")
+
+
+def blocked_report(rows: DataFrame, url: str, reason: str, most: int = 10) -> DataFrame:
+    """(reason, n, urls): how many URLs each reason blocked, the ``most`` first URLs of each; a URL counts once per reason.
+
+    The list is the report's own limit; ``n`` counts all. First URLs are found by partial top-k of (reason, url) groups.
+    """
+    each = rows.where(F.coalesce(F.col(reason), F.lit("")) != "").groupBy(F.col(reason).alias("reason"), F.col(url).alias("url")).agg(F.lit(1))
+    counts = each.groupBy("reason").agg(F.count("*").alias("n"))
+    first = each.withColumn("_nth", F.row_number().over(Window.partitionBy("reason").orderBy("url"))).where(F.col("_nth") <= most)
+    listed = first.groupBy("reason").agg(F.array_sort(F.collect_list("url")).alias("urls"))
+    return counts.join(listed, "reason", "left")
+
+
+def usage(calls: DataFrame, by: list[str], tokens: list[str]) -> DataFrame:
+    """The sums of token counts per group; missing counts are none."""
+    return calls.groupBy(*by).agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).cast("long").alias(c) for c in tokens], F.count("*").alias("calls"))
+
+
+def matched_length(text: Column, pattern: str) -> Column:
+    """The characters of a text that matches of a pattern cover."""
+    return F.aggregate(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0), F.lit(0), lambda a, m: a + F.char_length(m))

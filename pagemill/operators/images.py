@@ -19,7 +19,7 @@ LARGEST, SMALL, REPEATS = 2_097_152, 30_000, 5
 def usable(blobs: DataFrame) -> DataFrame:
     """(url, data_uri): one row per image that may be embedded."""
     rows = blobs.where((F.col("status") == 200) & F.col("content").isNotNull() & (F.length("content") <= LARGEST) & ~rules.looks_like_html(F.col("content")))
-    size = rules.png_size(F.col("content"))
+    size = rules.image_size(F.col("content"))
     icon = rules.squarish(size["width"], size["height"]) & (F.length("content") < SMALL) & any_of(F.lower("url"), V.IMAGE_BLOCK_WORDS)
     rows = rows.withColumn("mime", rules.mime(F.col("content_type"), F.col("url"))).where((F.col("mime") != "") & ~F.coalesce(icon, F.lit(False)))
     return rows.groupBy("url").agg(F.min(rules.data_uri(F.col("content"), F.col("mime"))).alias("data_uri"))
@@ -29,11 +29,11 @@ def references(parsed: DataFrame, blobs: DataFrame) -> DataFrame:
     """(page_id, pos, url, embed): the images of pages; the same bytes from the fifth time on are decoration.
 
     Counting is per content hash in order of page and place; a hash that very many pages share is
-    one sort in one task, of (hash, page, place) alone.
+    one sort in one task, of (hash, page, place) alone. Images without bytes are dealt out by page.
     """
     each = parsed.select("page_id", F.posexplode("images").alias("pos", "i")).select("page_id", "pos", F.col("i.url").alias("url"), F.col("i.alt").alias("alt"))
     hashed = each.join(blobs.select("url", F.md5("content").alias("md5")).dropDuplicates(["url"]), "url", "left")
-    by = Window.partitionBy("md5").orderBy("page_id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by = Window.partitionBy("md5", F.when(F.col("md5").isNull(), F.col("page_id"))).orderBy("page_id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fresh = F.col("md5").isNull() | (F.count("*").over(by) < REPEATS)
     return hashed.withColumn("embed", fresh & rules.embeds(F.col("url"), F.col("alt"))).select("page_id", "pos", "url", "embed")
 
@@ -74,3 +74,19 @@ def embedded(pages: DataFrame, parsed: DataFrame, blobs: DataFrame) -> DataFrame
             yield pd.DataFrame(out, columns=["page_id", "html", "ok", "failed"])
 
     return pages.select("page_id", "url", "html").join(given, "page_id", "left").mapInPandas(put, "page_id long, html string, ok int, failed int")
+
+
+def overridden(fetched: DataFrame, media: DataFrame, key: str = "key") -> DataFrame:
+    """Fetched rows with those of ``media`` in their place where there are any; media rows of no fetched page are added.
+
+    ``replaced`` says which rows come from ``media``. Of several media rows of a key any one may count.
+    """
+    rest = [c for c in fetched.columns if c != key]
+    other = media.select(key, F.struct(*rest).alias("_media")).dropDuplicates([key])
+    both = fetched.select(key, F.struct(*rest).alias("_row")).join(other, key, "full")
+    return both.select(key, F.coalesce("_media", "_row").alias("_r"), F.col("_media").isNotNull().alias("replaced")).select(key, "_r.*", "replaced")
+
+
+def missing(rescued: DataFrame, cleaned: DataFrame, page: str = "page_id", url: str = "url") -> DataFrame:
+    """The images that rescue found and cleaning lost: rescued rows whose (page, source) is not among the cleaned."""
+    return rescued.join(cleaned.select(page, url).distinct(), [page, url], "left_anti")
