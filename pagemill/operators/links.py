@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
+from pagemill.operators.lineage import cut
 
 
 def first_seen(rows: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -46,22 +47,18 @@ def levels(edges: DataFrame, start: DataFrame, most: int = 4, checkpoint: bool =
     """(node, level): breadth-first distance from ``start`` along (src, dst) edges, to ``most`` levels.
 
     Each level is one anti-join of the frontier's targets with what was reached; the lineage is cut
-    per level with ``checkpoint()`` where the session has a checkpoint folder.
+    per level unless ``checkpoint`` is false.
     """
-    spark = edges.sparkSession
-    can = checkpoint and spark.sparkContext.getCheckpointDir() is not None
     reached = start.select("node").distinct().withColumn("level", F.lit(0))
     frontier = reached.select("node")
     for level in range(1, most + 1):
         found = edges.join(frontier, edges["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
         found = found.join(reached.select("node"), "node", "left_anti")
-        if can:
-            found = found.checkpoint()
+        if checkpoint:
+            found = cut(found)
             if found.isEmpty():
                 break
         reached = reached.unionByName(found.withColumn("level", F.lit(level)))
-        if can:
-            reached = reached.checkpoint()
         frontier = found
     return reached
 
@@ -72,8 +69,6 @@ def crawl(seeds: DataFrame, pages: DataFrame, most: int = 4, per_page: int | Non
     ``pages``: key, url, links (array of url, text). A page is reached first from the earliest
     level, of one level from the smallest parent and place; children inherit the parent's path.
     """
-    spark = pages.sparkSession
-    can = spark.sparkContext.getCheckpointDir() is not None
     reached = seeds.select("key", "url", F.lit(0).alias("level"), F.array().cast("array<string>").alias("nav_path"))
     frontier = reached
     for level in range(1, most + 1):
@@ -82,10 +77,8 @@ def crawl(seeds: DataFrame, pages: DataFrame, most: int = 4, per_page: int | Non
             out = out.where(F.col("pos") < per_page)
         out = out.select("parent", "pos", F.col("nav_path"), urls.key_query(F.col("l.url")).alias("key"), F.col("l.text").alias("text"))
         out = first_seen(out, ["key"], ["parent", "pos"]).join(reached.select("key"), "key", "left_anti").join(pages.select("key", "url"), "key")
-        frontier = out.select("key", "url", F.lit(level).alias("level"), "nav_path")
-        if can:
-            frontier = frontier.checkpoint()
-            if frontier.isEmpty():
-                break
+        frontier = cut(out.select("key", "url", F.lit(level).alias("level"), "nav_path"))
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
     return reached

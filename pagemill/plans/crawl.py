@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pagemill.functions import rules, urls
 from pagemill.functions.pages import parse_pages
 from pagemill.operators import categories, evaluate, links
+from pagemill.operators.lineage import cut
+
+# --- Fixed values: what pages of two-dimensional codes are about ---
+QR_PAGE = r"(?i)(官方微信|官方微博|微群|易企秀|扫码|二维码|关注公众号|微信公众号)"
 
 #: An optional model may replace the heuristic verdict or text; none is called unless given.
 Hook = Callable[[DataFrame], DataFrame]
@@ -42,20 +46,23 @@ def site(pages: DataFrame, seeds: DataFrame | None = None, most: int = 4, extrac
     without a URL are skipped, both without a level.
     """
     whole = seeds is None
-    keyed =links.first_seen(pages.withColumn("key", urls.key_query(F.col("url"))), ["key"], ["page_id"])
-    names = ["links", "heading", "text", "text_length", "hrefs", "title", "pager_class", "crumb_levels", "images", "structured", "publish_text"]
+    keyed = links.first_seen(pages.withColumn("key", urls.key_query(F.col("url"))), ["key"], ["page_id"])
+    names = ["links", "heading", "text", "text_length", "hrefs", "title", "pager_class", "crumb_levels", "images", "structured", "publish_text", "paging", "body_length"]
     parsed = parse_pages(gated(keyed), [F.col(c) for c in ("key", "url", "page_id", "early")], names, F.col("url"), F.col("html"))
     parsed = parsed if extractor is None else extractor(parsed)
+    listing = rules.list_page(F.col("text_length"), F.col("hrefs"), F.col("title"), F.col("pager_class"), F.col("text"))["is_list"]
+    parsed = cut(parsed.withColumn("is_list", listing))  # used for the frontier and for the rows: pages are parsed once
     start = starts(keyed, parsed) if whole else keyed.join(seeds.select(urls.key_query(F.col("url")).alias("key")).distinct(), "key", "left_semi")
-    reached = links.crawl(start.select("key", "url"), parsed.select("key", "url", F.when(F.col("early").isNull(), F.col("links")).alias("links")), most)
+    # A page that looks like a list but has much text is none, so its links lead nowhere; pagers count as links.
+    leads = F.col("early").isNull() & ~(F.col("is_list") & (F.col("body_length") > 5000))
+    reached = links.crawl(start.select("key", "url"), parsed.select("key", "url", F.when(leads, F.concat("links", "paging")).alias("links")), most)
     if whole:
         rest = keyed.where("key is not null").join(reached.select("key"), "key", "left_anti")
         reached = reached.unionByName(rest.select("key", "url", F.lit(0).alias("level"), F.array().cast("array<string>").alias("nav_path")))
     rows = reached.select("key", "level", "nav_path").join(parsed, "key")
-    listing = rules.list_page(F.col("text_length"), F.col("hrefs"), F.col("title"), F.col("pager_class"), F.col("text"))["is_list"]
-    rows = rows.withColumn("is_list", listing).withColumn("path", categories.merged_path(F.col("nav_path"), F.col("crumb_levels")))
+    rows = rows.withColumn("path", categories.merged_path(F.col("nav_path"), F.col("crumb_levels")))
     plain = F.regexp_replace(rules.without_tags(F.col("structured")), r"\s+", "")
-    early = F.coalesce(F.col("early"), F.when(F.col("is_list") & (F.col("level") >= 4), "skipped"), F.when(F.char_length(plain) < 80, "skipped"))
+    early = F.coalesce(F.col("early"), F.when(F.col("is_list") & (F.col("level") >= 4), "skipped"), F.when((F.char_length(plain) < 80) | ((F.col("heading").rlike(QR_PAGE) | plain.rlike(QR_PAGE)) & (F.char_length(plain) < 200)), "skipped"))
     rows = rows.withColumn("early", early).withColumn("content_hash", F.when(F.col("early").isNull(), rules.page_hash(F.col("structured"), F.col("heading"))))
     first = rows.where("early is null").groupBy("content_hash").agg(F.min_by("key", F.struct("level", "key")).alias("first_key"))
     rows = rows.join(first, "content_hash", "left")
