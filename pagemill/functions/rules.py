@@ -215,6 +215,27 @@ def png_size(content: Column) -> Column:
     return F.when(F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", F.struct(number(17).alias("width"), number(21).alias("height")))
 
 
+def jpeg_size(content: Column, most: int = 64) -> Column:
+    """struct(width, height) of a JPEG's frame header, found by walking its first ``most`` segments; null for other bytes."""
+    number = lambda at: F.conv(F.hex(F.substr(content, at, F.lit(2))), 16, 10).cast("int")
+    frame = r"^FFC[0-35-79-BD-F]$"
+    start = F.struct(F.lit(3).alias("at"), F.lit(None).cast("int").alias("frame"))
+
+    def step(a, _):
+        mark, size = F.hex(F.substr(content, a["at"], F.lit(2))), number(a["at"] + 2)
+        found = F.when(mark.rlike(frame), a["at"])
+        onward = F.when(mark.rlike("^FF(?!FF)") & (size >= 2), a["at"] + 2 + size).otherwise(F.lit(1 << 30))
+        return F.when(a["frame"].isNotNull(), a).otherwise(F.struct(F.when(found.isNull(), onward).otherwise(a["at"]).cast("int").alias("at"), found.cast("int").alias("frame")))
+
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["frame"]
+    return F.when((F.hex(F.substring(content, 1, 2)) == "FFD8") & at.isNotNull() & number(at + 7).isNotNull(), F.struct(number(at + 7).cast("long").alias("width"), number(at + 5).cast("long").alias("height")))
+
+
+def image_size(content: Column) -> Column:
+    """struct(width, height) of a PNG or JPEG."""
+    return F.coalesce(png_size(content), jpeg_size(content))
+
+
 def squarish(width: Column, height: Column) -> Column:
     return F.coalesce((height > 0) & (width / height).between(0.8, 1.2), F.lit(False))
 
