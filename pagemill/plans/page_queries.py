@@ -9,7 +9,7 @@ from pagemill.functions import values as V
 from pagemill.functions.pages import parse_pages
 from pagemill.operators import categories, dedup, links
 from pagemill.plans.registry import register
-from pagemill.plans.url_queries import KEYED, any_sql
+from pagemill.plans.url_queries import COMPANIES, KEYED, PARTS, any_sql
 from pagemill.sources import sinks
 from pagemill.sources.readers import pages, table
 
@@ -218,11 +218,10 @@ def publish_time_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", rules.publish_time(said).alias("publish_time"), rules.datetime_text(F.date_format("ts", "yyyy年M月d日")).alias("day"))
 
 
-@register("conflict_suffix", r"""WITH d AS (SELECT doc_id, lang AS dir, regexp_replace(left(trim(regexp_replace(text, '[\s\\/:*?"<>|]+', ' ', 'g')), 5), '\s+$', '') AS name FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY dir, name ORDER BY doc_id) - 1 AS k FROM d)
-SELECT doc_id, dir || '/' || name || CASE WHEN k > 0 THEN '_' || k ELSE '' END || '.html' AS file_path FROM n""")
+@register("conflict_suffix", rf"""WITH c AS (SELECT doc_id, lang AS dir, left(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\\/:*?"<>|\n\r\t]', '_', 'g'), '\s+', ' ', 'g')), 60) AS cut FROM documents), n AS (SELECT doc_id, dir, CASE WHEN cut = '' THEN '{V.NO_NAME}' ELSE cut END AS name FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY dir, name ORDER BY doc_id) - 1 AS k FROM n)
+SELECT doc_id, dir || '/' || name || CASE WHEN k > 0 THEN '_' || k ELSE '' END || '.html' AS file_path FROM k""")
 def conflict_suffix(spark, sf_dir):
-    name = F.rtrim(F.left(F.btrim(F.regexp_replace("text", r'[\s\\/:*?"<>|]+', " ")), F.lit(5)))
-    return categories.file_paths(table(spark, sf_dir, "documents"), F.col("lang"), name, ["doc_id"]).select("doc_id", "file_path")
+    return categories.file_paths(table(spark, sf_dir, "documents"), F.col("lang"), rules.safe_name(F.col("text")), ["doc_id"]).select("doc_id", "file_path")
 
 
 def _csv_rows(spark, sf_dir):
@@ -230,12 +229,19 @@ def _csv_rows(spark, sf_dir):
     return pages(spark, sf_dir).select("url", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), "html", none.alias("publish_time"), F.slice(F.concat(urls.path_levels(F.col("url")), F.array_repeat(F.lit(""), 4)), 1, 4).alias("nav_levels"), none.alias("image_url"), none.alias("image_title"))
 
 
-@register("csv_rows_a")
+_LEVELS = r"""list_slice(list_filter(f, lambda x, i: list_position(f, x) = i), 1, 4)"""
+_CSV = rf"""WITH {PARTS}, c AS (SELECT *, list_filter(list_transform(string_split(lower(path), '/'), lambda x: regexp_replace(x, '\.(html?|shtml|php|aspx?|jsp)$', '')), lambda x: x <> '' AND x NOT IN ('index', 'default', 'home', 'main') AND NOT regexp_matches(x, '^[\d_-]+$')) AS f,
+  replace(lower(host), 'www.', '') AS bare, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS t FROM p), l AS (SELECT *, {_LEVELS} AS v, CASE {COMPANIES} WHEN regexp_matches(string_split(bare, '.')[1], '[^\x00-\x7F]') THEN string_split(bare, '.')[1] ELSE translate(bare, '.:', '__') END AS who FROM c)"""
+_YWLX = ", ".join(f"coalesce(v[{i}], '') AS ywlx{i}" for i in range(1, 5))
+
+
+@register("csv_rows_a", f"""{_CSV} SELECT left(('0x' || substr(md5(url), 1, 15))::BIGINT::VARCHAR, 19) AS id, '' AS sys_platform, md5(url) AS uuid, '2024-01-01 00:00:00' AS bstudio_create_time, who AS gsmc, {_YWLX}, url, '2024-01-01 00:00:00' AS timestamp,
+  '' AS riqi, t AS title, html, '' AS zdr, '' AS download_link, '' AS img_url, '' AS img_title FROM l""")
 def csv_rows_a(spark, sf_dir):
     return sinks.csv_a(_csv_rows(spark, sf_dir), rules.company(F.col("url")), F.lit("2024-01-01 00:00:00"))
 
 
-@register("csv_rows_b")
+@register("csv_rows_b", f"""{_CSV} SELECT md5(url) AS sys_platfuuid, who AS brwidcl_cpmc, array_to_string(v, '/') AS ywlx, {_YWLX}, '2024-01-01 00:00:00' AS tianextimejsj, t AS title, html, '' AS download_img_url, '' AS img_title FROM l""")
 def csv_rows_b(spark, sf_dir):
     return sinks.csv_b(_csv_rows(spark, sf_dir), rules.company(F.col("url")), F.lit("2024-01-01 00:00:00"))
 
@@ -244,8 +250,9 @@ _PICTURES = [("<img src='/a/logo.png' alt='x'><p>t</p>", "logo"), ("<img src='b.
 
 
 def _with_images(spark, sf_dir):
+    """The whole pages with a picture of one of five kinds put before each, as the test pages have none."""
     html = F.element_at(F.array(*[F.lit(h) for h, _ in _PICTURES]), (F.col("page_id") % len(_PICTURES) + 1).cast("int"))
-    return pages(spark, sf_dir).select("page_id", F.lit("https://h.example/p/q.html").alias("url"), html.alias("html"))
+    return pages(spark, sf_dir).select("page_id", F.lit("https://h.example/p/q.html").alias("url"), F.concat(html, F.coalesce("html", F.lit(""))).alias("html"))
 
 
 @register("image_collect", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://h.example/a/logo.png' WHEN 1 THEN 'https://h.example/p/b.jpg' WHEN 2 THEN 'https://h.example/p/lazy.gif' WHEN 3 THEN 'https://h.example/p/d.webp' END AS image, CASE page_id % 5 WHEN 0 THEN 'x' WHEN 1 THEN 'Photo of a house' ELSE '' END AS alt FROM pages WHERE page_id % 5 < 4""")

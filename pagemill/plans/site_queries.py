@@ -14,13 +14,13 @@ from pagemill.sources.readers import pages, table
 
 @register(
     "validate_articles",
-    """SELECT doc_id, doc_id % 5 <> 0 AND trim(left(text, 600)) <> '' AND length(trim(left(text, 600))) <= 500 AS is_valid,
-    concat_ws('; ', CASE WHEN doc_id % 5 = 0 THEN 'url' END, CASE WHEN trim(left(text, 600)) = '' THEN 'title is empty' END, CASE WHEN length(trim(left(text, 600))) > 500 THEN 'title is too long' END) AS error_reason FROM documents""",
+    """SELECT doc_id, doc_id % 5 <> 0 AND trim(text) <> '' AND length(trim(text)) <= 500 AS is_valid,
+    concat_ws('; ', CASE WHEN doc_id % 5 = 0 THEN 'url' END, CASE WHEN trim(text) = '' THEN 'title is empty' END, CASE WHEN length(trim(text)) > 500 THEN 'title is too long' END) AS error_reason FROM documents""",
 )
 def validate_articles(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     url = F.when(F.col("doc_id") % 5 == 0, "ftp://h/").otherwise("https://h/")
-    rows = d.select("doc_id", url.alias("url"), F.left("text", F.lit(600)).alias("title"), F.lit(None).cast("array<string>").alias("breadcrumb"), F.lit(1).alias("images_count"), F.array("lang").alias("nav_levels"))
+    rows = d.select("doc_id", url.alias("url"), F.col("text").alias("title"), F.lit(None).cast("array<string>").alias("breadcrumb"), F.lit(1).alias("images_count"), F.array("lang").alias("nav_levels"))
     return validate.checked(rows).select("doc_id", "is_valid", "error_reason")
 
 

@@ -96,15 +96,16 @@ def cache_left_join(spark, sf_dir):
     return cache.lookup(writes.select("url").distinct(), cache.fold(writes), least=1).select("url", "cached_title", "fetch_method")
 
 
-@register("frontier_anti_join", f"WITH {_FOLD} SELECT DISTINCT url FROM w WHERE url NOT IN (SELECT url FROM c WHERE status = 'success' AND html <> '')")
+@register("frontier_anti_join", f"WITH {_FOLD}, o AS (SELECT DISTINCT 'https://h.example/' || (user_id + event_id % 3 * 40) AS url FROM events) SELECT url FROM o WHERE url NOT IN (SELECT url FROM c WHERE status = 'success' AND html <> '')")
 def frontier_anti_join(spark, sf_dir):
-    writes = _writes(spark, sf_dir)
-    return cache.uncached(writes.select("url").distinct(), cache.fold(writes))
+    """Links to the pages of users and of numbers beyond, some of which are no user's."""
+    links_ = table(spark, sf_dir, "events").select(F.concat(F.lit("https://h.example/"), F.col("user_id") + F.col("event_id") % 3 * 40).alias("url")).distinct()
+    return cache.uncached(links_, cache.fold(_writes(spark, sf_dir)))
 
 
-@register("cache_site_counts", f"WITH {_FOLD} SELECT base_url, status, count(*) AS n FROM c GROUP BY ALL")
+@register("cache_site_counts", f"WITH {_FOLD} SELECT count(*) AS n FROM c WHERE base_url = 'https://h.example/'")
 def cache_site_counts(spark, sf_dir):
-    return cache.fold(_writes(spark, sf_dir)).groupBy("base_url", "status").agg(F.count("*").alias("n"))
+    return cache.site_count(cache.fold(_writes(spark, sf_dir)), "https://h.example/")
 
 
 # A toy graph: each nation leads to two others by arithmetic on its key.
@@ -141,11 +142,26 @@ def json_tolerant_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", v.isNotNull().alias("valid"), F.size(F.json_object_keys("props")).alias("n_keys"))
 
 
-@register("golden_forall_exists", "SELECT l.doc_id, list_has_all(string_split(d.source || ',' || d.lang, ','), [d.lang]) AND d.n_chars >= 100 AS passed FROM labels l JOIN documents d USING (doc_id)")
+@register(
+    "golden_forall_exists",
+    """WITH g AS (SELECT l.doc_id, l.doc_id % 3 <> 0 AS crumb_ok, l.doc_id % 4 <> 0 AS title_ok, coalesce(l.quality, 0) >= 1 OR l.doc_id % 7 = 0 AS images_ok FROM labels l JOIN documents d USING (doc_id))
+    SELECT doc_id AS id, title_ok, crumb_ok, images_ok, title_ok AND crumb_ok AND images_ok AS passed FROM g""",
+)
 def golden_forall_exists(spark, sf_dir):
-    d = table(spark, sf_dir, "labels").select("doc_id").join(table(spark, sf_dir, "documents"), "doc_id")
-    every = F.forall(F.array("lang"), lambda e: F.exists(F.array("source", "lang"), lambda a: a == e))
-    return d.select("doc_id", (every & (F.col("n_chars") >= 100)).alias("passed"))
+    """Each labelled document as a case: texts that are equal, or share no letter, so that the ratio is 1 or 0."""
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    k, none = F.col("doc_id"), F.lit(None).cast("string")
+    cases = d.select(
+        k.alias("id"), F.lit("abc").alias("title"), F.when(k % 4 == 0, "xyz").when(k % 4 == 1, none).otherwise("ABC").alias("expected_title"), F.lit("2025-01-02").alias("publish_time"), F.when(k % 2 == 0, "2025-").otherwise("").alias("expected_publish_time"),
+        F.array(F.lit("home"), F.when(k % 3 != 0, "news").otherwise("zzzz")).alias("breadcrumb"), F.array(F.lit("Home"), F.lit("news")).alias("expected_breadcrumb"),
+        F.coalesce("quality", F.lit(0)).alias("images"), F.when(k % 7 != 0, F.lit(1)).alias("expected_images"),
+    )
+    return evaluate.golden(cases).select("id", "title_ok", "crumb_ok", "images_ok", "passed")
+
+
+@register("golden_accuracy", "SELECT count(*) AS total, count_if(doc_id % 3 <> 0 AND doc_id % 4 <> 0 AND (coalesce(quality, 0) >= 1 OR doc_id % 7 = 0)) AS passed, count_if(NOT (doc_id % 3 <> 0 AND doc_id % 4 <> 0 AND (coalesce(quality, 0) >= 1 OR doc_id % 7 = 0))) AS failed, coalesce(round(100 * avg((doc_id % 3 <> 0 AND doc_id % 4 <> 0 AND (coalesce(quality, 0) >= 1 OR doc_id % 7 = 0))::INT), 6), 0)::DOUBLE AS accuracy FROM labels JOIN documents USING (doc_id)")
+def golden_accuracy(spark, sf_dir):
+    return evaluate.accuracy(golden_forall_exists(spark, sf_dir))
 
 
 @register("string_similarity")
@@ -184,4 +200,5 @@ def stream_retry_state(spark, sf_dir):
 
 @register("stream_window_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_window_counts(spark, sf_dir):
-    return state.counts(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+    out = state.drain(state.counts(_stream(spark, sf_dir)), _scratch(spark, "windows"), "update", ["window_start", "event_type"])
+    return out.withColumn("total", F.round("total", 4))

@@ -100,12 +100,13 @@ def url_path_nav(spark, sf_dir):
 
 @register(
     "url_same_site_pairs",
-    f"""WITH {PARTS}, h AS (SELECT DISTINCT lower(host) AS host FROM p), r AS (SELECT host, replace(host, 'www.', '') AS bare, array_to_string(list_slice(string_split(replace(host, 'www.', ''), '.'), -2, -1), '.') AS root FROM h)
+    f"""WITH {PARTS}, h AS (SELECT DISTINCT unnest(['', 'www.', 'shop.']) || lower(host) AS host FROM p), r AS (SELECT host, replace(host, 'www.', '') AS bare, array_to_string(list_slice(string_split(replace(host, 'www.', ''), '.'), -2, -1), '.') AS root FROM h)
     SELECT a.host AS a, b.host AS b FROM r a JOIN r b ON a.root = b.root AND a.host < b.host WHERE a.bare = b.bare OR suffix(a.bare, '.' || b.bare) OR suffix(b.bare, '.' || a.bare)""",
 )
 def url_same_site_pairs(spark, sf_dir):
-    """Hosts of one site: an equi-join on the last two labels, then the exact rule."""
-    host = pages(spark, sf_dir).select(F.lower(urls.authority(F.col("url"))).alias("host")).distinct()
+    """Hosts of one site, each with two subdomains of it: an equi-join on the last two labels, then the exact rule."""
+    host = pages(spark, sf_dir).select(F.lower(urls.authority(F.col("url"))).alias("host"))
+    host = host.select(F.explode(F.array(*[F.concat(F.lit(p), "host") for p in ("", "www.", "shop.")])).alias("host")).distinct()
     host = host.withColumn("root", F.substring_index(F.replace("host", F.lit("www."), F.lit("")), ".", -2))
     a, b = host.select(F.col("host").alias("a"), "root"), host.select(F.col("host").alias("b"), "root")
     return a.join(b, "root").where("a < b").where(urls.same_site(F.col("a"), F.col("b"))).select("a", "b")
@@ -168,10 +169,10 @@ def set_union_seeds(spark, sf_dir):
     return rows.where("page_id % 2 = 0").select("key").unionByName(rows.where("page_id % 3 = 0").select("key")).distinct()
 
 
-_CASES = " ".join(f"WHEN contains(host, '{k}') THEN '{v}'" for k, v in V.COMPANY_HOSTS.items())
+COMPANIES = " ".join(f"WHEN contains(host, '{k}') THEN '{v}'" for k, v in V.COMPANY_HOSTS.items())
 
 
-@register("domain_contains_lookup", f"WITH {PARTS}, h AS (SELECT page_id, replace(lower(host), 'www.', '') AS host FROM p) SELECT page_id, CASE {_CASES} WHEN regexp_matches(string_split(host, '.')[1], '[^\\x00-\\x7F]') THEN string_split(host, '.')[1] ELSE translate(host, '.:', '__') END AS company FROM h")
+@register("domain_contains_lookup", f"WITH {PARTS}, h AS (SELECT page_id, replace(lower(host), 'www.', '') AS host FROM p) SELECT page_id, CASE {COMPANIES} WHEN regexp_matches(string_split(host, '.')[1], '[^\\x00-\\x7F]') THEN string_split(host, '.')[1] ELSE translate(host, '.:', '__') END AS company FROM h")
 def domain_contains_lookup(spark, sf_dir):
     from pagemill.functions import rules
 

@@ -58,10 +58,11 @@ def html_document(body: Column, title: Column) -> Column:
 
 
 def write_files(rows: DataFrame, folder: str, path: str = "file_path", text: str = "html") -> DataFrame:
-    """Writes each row's text below ``folder`` through the cluster's file system; (path, bytes) of what was written.
+    """Writes each row's text below ``folder``, which every executor must have mounted; (path, bytes) of what was written.
 
-    Existing files are overwritten, so a task that runs again leaves the same files. Any Hadoop
-    path that is mounted on the executors works; give others to ``write_partitioned``.
+    Files are written with the operating system's calls when the returned frame is run, and again if
+    it is run again: existing ones are overwritten, so the outcome is the same. On a file system that
+    is not mounted use ``write_partitioned``.
     """
     import os
 

@@ -6,7 +6,7 @@ watermarks: keys older than the delay are forgotten.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -61,14 +61,33 @@ def retry_state(rows: DataFrame, most: int = 3) -> DataFrame:
     return rows.select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandasWithState(step, schema, "failures long", "update", "NoTimeout")
 
 
-def drain(stream: DataFrame, checkpoint: str, mode: str = "append", key: list[str] | None = None) -> DataFrame:
-    """Runs a stream over what is there now and returns what it wrote; with ``key`` only the last row of each."""
-    spark, target = stream.sparkSession, f"{checkpoint}/out"
+def drain(stream: DataFrame, checkpoint: str, mode: str = "append", key: list[str] | None = None, progress: Callable[[int, dict], None] | None = None, stop: Callable[[], bool] | None = None) -> DataFrame:
+    """Runs a stream over what is there now and returns what it wrote; with ``key`` only the last row of each.
+
+    ``progress`` gets the number and the report of each batch that ended. ``stop`` is asked every
+    quarter of a second; once it says yes the query ends, and a later run goes on where it stopped.
+    """
+    spark, target, told = stream.sparkSession, f"{checkpoint}/out", set()
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/b={number}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/log").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/log").foreachBatch(put).trigger(availableNow=True).start()
+
+    def report() -> None:
+        for p in query.recentProgress if progress is not None else ():
+            if p["batchId"] not in told:
+                told.add(p["batchId"])
+                progress(p["batchId"], p)
+
+    while not query.awaitTermination(0.25 if progress or stop else None):
+        report()
+        if stop is not None and stop():
+            query.stop()
+            break
+        if not (progress or stop):
+            break
+    report()
     out = spark.read.option("recursiveFileLookup", True).parquet(target)
     if key is None:
         return out.drop("_batch")
