@@ -10,7 +10,11 @@ Every stage takes (spark, docs, sf_dir) and decides by the whole of what its pre
    one epoch, so no document is repeated.
 5. bpe: doc_id, lang, source, n_tokens and the ids of every document left.
 
-All but the last return the columns of documents. Whole texts count in all of them.
+All but the last return the columns of documents, added ones included, whatever their names. Whole
+texts count in all of them. Null or blank texts go in stage 1; null languages and sources form
+branches of their own in stage 4. A row without id yields to one with an id in stages 2 and 3; of
+repeated rows one stays; unlike documents that share an id all stay. Ties in the order of stage 4 are
+broken by tokens, and rows equal in both are taken one by one. Empty tables pass through empty.
 """
 
 from __future__ import annotations
@@ -57,6 +61,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work, docs = Work(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = work.table(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, work.table(stage(spark, docs, sf_dir), name)
+        if i:
+            work.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
