@@ -99,6 +99,13 @@ def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def free_names(kept: DataFrame, *added: str) -> None:
+    """Raises ValueError where columns to keep have a name that the operator gives to its own; a struct of them has none of these."""
+    clash = sorted({*kept.columns} & {*added})
+    if clash or len({*kept.columns}) < len(kept.columns):
+        raise ValueError(f"columns to keep must be renamed or put in a struct: {clash or kept.columns}")
+
+
 def ident(column: str) -> Column:
     """An id as text, null ids alike."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

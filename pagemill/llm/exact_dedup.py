@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import Work, maybe_in, squeezed
+from pagemill.llm.common import Work, ident, maybe_in, squeezed, told_apart
 
 #: Copies of one text are dealt out by so many salts before they meet.
 SALTS = 64
@@ -25,9 +25,10 @@ def content_hash(text):
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    For the rows only ids and hashes are shuffled. Texts are shuffled only where a hash occurs
-    more than once, and there once per task and distinct text: grouping by the text itself
-    compares bytes. Should two texts share a hash, classes are told apart by hash and SHA-256.
+    For the rows only ids and hashes are shuffled. Texts are looked at again only where a hash
+    occurs more than once, found by their ids, and shuffled once per task and distinct text:
+    grouping by the text itself compares bytes. Should two texts share a hash, classes are told
+    apart by hash and SHA-256.
     A hot group is spread over ``salts`` keys in every exchange of rows.
     """
     work = Work(docs.sparkSession, "exact")
@@ -46,7 +47,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
 
     key = ["h"]
     found = work.table(groups(key), "groups")
-    texts = maybe_in(keyed, F.col("h"), found, F.col("h")).groupBy("h", "norm").agg(F.count("*").alias("n"))
+    copied = slim.join(found.select("h", F.explode("salts").alias("salt")), ["h", "salt"]).select(ident("doc_id").alias("ident"))
+    copied = work.table(copied.distinct(), "copied")
+    texts = maybe_in(docs.select(ident(id_col).alias("ident"), F.col(text_col).alias("text")), F.col("ident"), copied, F.col("ident"))
+    texts = texts.select(squeezed("text").alias("norm")).groupBy("norm").agg(F.count("*").alias("n")).select(F.md5("norm").alias("h"))
     if not texts.groupBy("h").count().where("count > 1").isEmpty():
         key = ["h", "sha"]
         found = work.table(groups(key), "groups")
@@ -69,25 +73,29 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def keep_rows(docs: DataFrame, decided: DataFrame, doc_id, key) -> DataFrame:
     """The rows of ``docs`` that stay by ``decided`` (doc_id, key, kept: one row per row of docs).
 
-    Rows are matched by id and key, null ids with null ids. Only rows that may match a dropped
-    one are joined; where id and key repeat, as many rows stay as were kept.
+    Rows are matched by id and key, null ids with null ids. Only rows that by a bitmap of ids may
+    match a dropped one get a key and are joined, so the others are not shuffled; where id and key
+    repeat, as many rows stay as were kept.
     """
     work = Work(docs.sparkSession, "keep")
     dropped = work.table(
         decided.groupBy("doc_id", "key").agg(F.count_if("kept").alias("stay"), F.count("*").alias("rows")).where("stay < rows"), "dropped"
     )
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_id.alias("doc_id"), key.alias("key"))
+    text = F.coalesce(doc_id.cast("string"), F.lit(""))
+    doubtful, sure = told_apart(docs, text, dropped, ident("doc_id"))
+    sure = sure.select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = doubtful.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_id.alias("doc_id"), key.alias("key"))
     gone = dropped.where("stay = 0").select("doc_id", F.col("key").alias("k"))
     left = row.join(gone, row["doc_id"].eqNullSafe(gone["doc_id"]) & (row["key"] == gone["k"]), "left_anti")
     some = dropped.where("stay > 0")
     if some.isEmpty():
-        return left.select("row.*")
+        return sure.unionByName(left.select("row.*"))
     some = some.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "stay")
     from pyspark.sql import Window
 
     nth = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(F.lit(0)))
     joined = left.join(some, left["doc_id"].eqNullSafe(some["d"]) & (left["key"] == some["k"]), "left")
-    return joined.where("stay is null").select("row.*").unionByName(joined.where("stay is not null").withColumn("nth", nth).where("nth <= stay").select("row.*"))
+    return sure.unionByName(joined.where("stay is null").select("row.*")).unionByName(joined.where("stay is not null").withColumn("nth", nth).where("nth <= stay").select("row.*"))
 
 
 ORACLE = r"""

@@ -146,3 +146,27 @@ def test_rows_are_told_apart_without_loss(spark):
     may, sure = told_apart(df, F.col("id"), keys, F.col("id"))
     a, b = [r["row"] for r in may.collect()], [r["row"] for r in sure.collect()]
     assert sorted(a + b) == list(range(2000)) and {i for i in range(0, 2000, 7) if i % 10} <= set(a) and len(a) < 500 and all(i in b for i in range(0, 2000, 10))
+
+
+def test_components_of_any_graph(spark, monkeypatch):
+    from pagemill.llm.common import Work
+
+    rng = random.Random(6)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(0, i) for i in range(500, 600)] + [(i, i + 1) for i in range(700, 800)] + [(5, 5)]
+    parent = {i: i for e in edges for i in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    want = {i: root(i) for i in parent if root(i) != i}
+    df = spark.createDataFrame(edges, "u long, v long")
+    for few in (0, 10**6):
+        monkeypatch.setattr(near_dedup, "FEW", few)
+        got = {r["node"]: r["root"] for r in near_dedup.components(df, Work(spark, "test")).collect()}
+        assert got == want
+    assert near_dedup.components(df.limit(0), Work(spark, "test")).count() == 0
