@@ -8,12 +8,16 @@ a query is routed to its most probable parts until their probability reaches a t
 calibrated on the sample, and at least ``2 k`` candidates are among them. Routed candidates are
 reranked by the exact inner product in double precision.
 
+Parts grow with the table: past ``TOP`` parts of ``PART`` vectors each of them is cut again in the
+same way, on a bounded sample of its own vectors, so a query meets about as many candidates in a
+table of any size up to ``TOP`` squared parts. The second networks are trained on the executors.
+
 Parts are searched in blocks of at most about ``BLOCK`` candidates and ``QUERIES`` queries, so a
 part that holds a third of all rows is many tasks. A query's k-th best score within the sample
 bounds its result from below, so that blocks report few candidates.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
-without id; of several lengths the most common one counts (of equally common ones the shortest).
+without id. Vectors of different lengths have no inner product: each length is searched by itself.
 Ties in score go to the smaller id. Rows that repeat an id are candidates each, and none is found
 by a query of its own id. An empty table gives an empty result.
 """
@@ -26,12 +30,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import Work
+from pagemill.llm.common import Work, share_of
 
 K = 20
 SAMPLE, GRAPH_K, HIDDEN = 4096, 16, 128
-#: Vectors of a part; there are 8 to 64 parts.
-PART = 4096
+#: Vectors of a part; there are 8 to ``TOP`` parts, each of which can have up to as many.
+PART, TOP = 4096, 64
 BLOCK, QUERIES = 8192, 1024
 #: Recall within the sample that the routing threshold is set for.
 AIM = 0.975
@@ -162,6 +166,55 @@ def fit(x: np.ndarray, parts: int, k: int, seed: int = 5) -> Router:
     return router
 
 
+@dataclass
+class Tree:
+    """Routers in two levels: part i of the first has ``width`` parts of its own, told apart by ``below[i]``."""
+
+    top: Router
+    below: dict[int, Router]
+    width: int
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """The most probable part of each vector."""
+        first = self.top.probabilities(x).argmax(1)
+        out = first * self.width
+        for i in np.unique(first):
+            if i in self.below:
+                own = first == i
+                out[own] += self.below[i].probabilities(x[own]).argmax(1)
+        return out
+
+    def routed(self, x: np.ndarray, held: np.ndarray, least: int) -> np.ndarray:
+        """Which parts (columns) each vector (row) is searched in: the probable ones, and at least ``least`` vectors of ``held`` a part."""
+        p = self.top.probabilities(x)
+        first, share = _until(p, self.top.threshold), np.zeros((len(x), p.shape[1] * self.width))
+        chosen = np.zeros(share.shape, bool)
+        for i in range(p.shape[1]):
+            own = slice(i * self.width, (i + 1) * self.width)
+            if i not in self.below:
+                share[:, own.start], chosen[:, own.start] = p[:, i], first[:, i]
+                continue
+            q = self.below[i].probabilities(x)
+            share[:, own], chosen[:, own] = p[:, [i]] * q, first[:, [i]] & _until(q, self.below[i].threshold)
+        order = np.argsort(-(share + chosen), 1, kind="stable")  # the chosen ones first
+        have = held[order].cumsum(1) - held[order]
+        np.put_along_axis(chosen, order, np.take_along_axis(chosen, order, 1) | (have < least), 1)
+        return chosen
+
+
+def _until(p: np.ndarray, threshold: float) -> np.ndarray:
+    """The likeliest of each row before their probabilities reach a threshold."""
+    order = np.argsort(-p, 1, kind="stable")
+    before = np.take_along_axis(p, order, 1).cumsum(1) - np.take_along_axis(p, order, 1)
+    out = np.zeros(p.shape, bool)
+    np.put_along_axis(out, order, before < threshold, 1)
+    return out
+
+
+def _matrix(vectors, dim: int) -> np.ndarray:
+    return np.array(vectors.tolist(), dtype=float).reshape(len(vectors), dim)
+
+
 def usable(vector: Column) -> Column:
     fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda v: v != 0), F.lit(False))
@@ -169,45 +222,81 @@ def usable(vector: Column) -> Column:
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, part: int = PART) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best found for each row for which ``is_query`` (over ``id``) holds."""
+    rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()  # a row per length
+    out = None
+    for r in sizes or [{"d": 1, "count": 0}]:
+        found = _search(rows.where(F.size("v") == r["d"]), is_query, k, r["d"], r["count"], sample, part)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def plan(rows: DataFrame, dim: int, total: int, k: int, sample: int, part: int, work: Work) -> tuple[Tree, np.ndarray, np.ndarray]:
+    """The routers for a table of ``total`` vectors, and the ids and vectors of the sample that the first one is fitted on."""
+    want = max(1, total // part)
+    parts = 1 if total < 64 else max(8, min(TOP, 1 << want.bit_length()))
+    got = share_of(rows, F.xxhash64("id", F.lit(43)), sample, total).limit(2 * sample).toPandas()  # the limit is for repeated ids
+    got = got.sort_values("id", kind="stable")
+    x = _matrix(got["v"], dim)
+    top = fit(x, parts if len(x) >= 64 else 1, k)
+    width = 1 if want <= TOP else min(TOP, 1 << (want // TOP).bit_length())
+    if width == 1 or top.w2.shape[1] < parts:
+        return Tree(top, {}, 1), got["id"].to_numpy().astype(np.int64), x
+    sent = rows.sparkSession.sparkContext.broadcast(top)
+
+    def first(batches):
+        for b in batches:
+            yield b.assign(part=sent.value.probabilities(_matrix(b["v"], dim)).argmax(1).astype(np.int32))
+
+    def second(rows):
+        import pickle
+
+        import pandas as pd
+
+        rows = rows.sort_values("id", kind="stable").iloc[: 2 * sample]
+        router = fit(_matrix(rows["v"], dim), width, k, seed=int(rows["part"].iloc[0])) if len(rows) >= 4 * width else None
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "router": [None if router is None else pickle.dumps(router)]})
+
+    placed = work.table(rows.mapInPandas(first, "id long, v array<double>, part int"), "placed")
+    held = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
+    keep = F.element_at(F.array(*[F.lit(min(1.0, sample / max(held.get(i, 1), 1))) for i in range(parts)]), F.col("part") + 1)
+    picked = placed.where(F.pmod(F.xxhash64("id", F.lit(47)), F.lit(1 << 30)) < keep * (1 << 30))
+    import pickle
+
+    routers = picked.groupBy("part").applyInPandas(second, "part int, router binary").collect()  # ``TOP`` small networks at most
+    work.drop(placed)
+    below = {r["part"]: pickle.loads(r["router"]) for r in routers if r["router"] is not None}
+    return Tree(top, below, width), got["id"].to_numpy().astype(np.int64), x
+
+
+def _search(rows: DataFrame, is_query: Column, k: int, dim: int, total: int, sample: int, part: int) -> DataFrame:
+    """``search`` among vectors of one length."""
     import pandas as pd
 
-    spark, work = vectors.sparkSession, Work(vectors.sparkSession, "nearest")
-    rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim, total = (sizes[0]["d"], sizes[0]["count"]) if sizes else (1, 0)
-    rows = rows.where(F.size("v") == dim)
-    parts = 1 if total < 64 else max(8, min(64, 1 << max(0, total // part).bit_length()))
-    got = rows.orderBy(F.xxhash64("id", F.lit(43)), "id").limit(sample).toPandas()
-    x = np.array(got["v"].tolist(), dtype=float).reshape(len(got), dim)
-    sent = spark.sparkContext.broadcast((fit(x, parts, k), x, got["id"].to_numpy().astype(np.int64)))
+    spark, work = rows.sparkSession, Work(rows.sparkSession, "nearest")
+    tree, sample_ids, x = plan(rows, dim, total, k, sample, part, work)
+    parts = tree.top.w2.shape[1] * tree.width
+    sent = spark.sparkContext.broadcast((tree, x, sample_ids))
 
     def indexed(batches):
-        router = sent.value[0]
         for b in batches:
-            p = router.probabilities(np.array(b["v"].tolist(), dtype=float).reshape(len(b), dim))
-            yield b.assign(part=p.argmax(1).astype(np.int32))
+            yield b.assign(part=sent.value[0].leaf(_matrix(b["v"], dim)).astype(np.int32))
 
     index = rows.mapInPandas(indexed, "id long, v array<double>, part int").withColumn("uid", F.monotonically_increasing_id())
     index = work.table(index, "index")
     held = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # a row per part
 
     def routed(batches):
-        router, x, ids = sent.value
-        at = router.probabilities(x).argmax(1)
+        tree, x, ids = sent.value
+        at = tree.leaf(x) if len(x) else np.empty(0, np.int64)
         in_part = np.array([held.get(i, 0) for i in range(parts)])
         for b in batches:
-            q = np.array(b["v"].tolist(), dtype=float).reshape(len(b), dim)
-            p = router.probabilities(q)
-            order = np.argsort(-p, 1, kind="stable")
-            before = np.take_along_axis(p, order, 1).cumsum(1) - np.take_along_axis(p, order, 1)
-            have = in_part[order].cumsum(1) - in_part[order]
-            take = (before < router.threshold) | (have < 2 * k + 1)
+            q = _matrix(b["v"], dim)
+            chosen = tree.routed(q, in_part, 2 * k + 1)
             score = q @ x.T  # only vectors of parts that are searched bound the result
-            chosen = np.zeros((len(q), parts), bool)
-            np.put_along_axis(chosen, order, take, 1)
             score[(b["id"].to_numpy()[:, None] == ids[None, :]) | ~chosen[:, at]] = -np.inf
             floor = -np.partition(-score, k - 1, 1)[:, k - 1] if len(x) > k else np.full(len(q), -np.inf)
-            yield b[["id", "v"]].assign(floor=floor, parts=[list(map(int, o[t])) for o, t in zip(order, take)])
+            yield b[["id", "v"]].assign(floor=floor, parts=[list(map(int, np.flatnonzero(c))) for c in chosen])
 
     queries = index.where(is_query).select("id", "v").dropDuplicates(["id"]).mapInPandas(routed, "id long, v array<double>, floor double, parts array<int>")
     queries = work.table(queries.select("id", "v", "floor", F.explode("parts").alias("part")), "queries")

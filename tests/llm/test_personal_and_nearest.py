@@ -111,3 +111,81 @@ def test_parts_are_balanced():
     near = nearest.neighbours(x, x, np.arange(1000), 8)
     size = np.bincount(nearest.balanced_parts(near, 8, np.random.default_rng(0)), minlength=8)
     assert size.min() >= 120 and size.max() <= 130
+
+
+def test_recall_of_two_levels(spark, monkeypatch):
+    """More parts than the first level has: each is cut again."""
+    monkeypatch.setattr(nearest, "TOP", 8)
+    x = clustered(8000, 24, 5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    tree, _, _ = nearest.plan(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 24, 8000, 20, 1500, 250, nearest.Work(spark, "test"))
+    assert tree.width == 8 and len(tree.below) == 8
+    got = nearest.search(df, F.col("id") % 20 == 0, part=250, sample=1500).toPandas()
+    score = x[::20] @ x.T
+    score[np.arange(400), np.arange(0, 8000, 20)] = -np.inf
+    least = np.sort(score, 1)[:, -20]
+    hits = [(g["score"].to_numpy() >= least[q // 20] - 1e-12).mean() for q, g in got.groupby("query_id")]
+    assert len(hits) == 400 and np.mean(hits) >= 0.9
+
+
+def test_lengths_are_searched_by_themselves(spark):
+    rows = [(i, [1.0 + i, 2.0]) for i in range(30)] + [(100 + i, [1.0, 1.0 * i, 3.0]) for i in range(25)]
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
+    near = {}
+    for r in got:
+        near.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sorted(near) == [0, 20, 100, 120] and all(v < 100 for v in near[0] + near[20]) and all(v >= 100 for v in near[100] + near[120])
+    assert near[0][:3] == [29, 28, 27] and near[120][:3] == [124, 123, 122]
+
+
+def test_repeated_ids_and_few_candidates(spark):
+    rows = [(0, [1.0, 1.0]), (0, [1.0, 1.0]), (3, [2.0, 1.0]), (3, [2.0, 1.0]), (3, [5.0, 1.0]), (20, [0.0, 1.0])]
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == 0) == [(0, 1, 3, 6.0), (0, 2, 3, 3.0), (0, 3, 3, 3.0), (0, 4, 20, 1.0)]
+    assert len([r for r in got if r["query_id"] == 20]) == 5
+
+
+def disclosed_brute(rows):
+    """{id: spans} of (id, text) by the definitions: PMI and information over distinct texts, terms within the window."""
+    import math
+
+    texts = {t or "" for _, t in rows}
+    near, n_t, n_e, both = {}, {}, {}, {}
+    for t in texts:
+        for w in set(re.findall(r"[^\W_]+", t.lower())):
+            n_t[w] = n_t.get(w, 0) + 1
+        spans = [s.split(":") for s in brute(t).split(",") if s]
+        said = {}
+        for kind, a, b in spans:
+            a, b = int(a), int(b)
+            value = t[a:b].lower() if kind == "email" else re.sub("[^0-9]", "", t[a:b])
+            left, right = re.split(r"[\W_]+", t[max(0, a - 48) : a]), re.split(r"[\W_]+", t[b : b + 48])
+            words = (left[1:] if a > 48 else left) + (right[:-1] if b + 48 < len(t) else right)
+            said.setdefault((kind, value), set()).update(w.lower() for w in words if len(w) >= 4 or re.search(r"[^\W\d_]", w))
+        near[t] = said
+        for e, words in said.items():
+            n_e[e] = n_e.get(e, 0) + 1
+            for w in words:
+                both[e, w] = both.get((e, w), 0) + 1
+    n, told = len(texts), {}
+    for (e, w), c in both.items():
+        ic, pmi = math.log(n / n_e[e]), math.log(n * c / (max(n_t.get(w, 0), c) * n_e[e]))
+        if ic > 0 and pmi >= personal.THRESHOLD * ic - 1e-12:
+            told.setdefault(e, set()).add(w)
+    out = {}
+    for i, t in rows:
+        t = t or ""
+        base = [(int(a), int(b)) for _, a, b in (s.split(":") for s in brute(t).split(",") if s)]
+        words = set().union(*[told.get(e, set()) for e in near[t]])
+        found = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t) if m.group().lower() in words]
+        out[i] = [(a, b) for a, b in found if not any(a < d and c < b for c, d in base)]
+    return out
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    rows = [(i, t) for i, t in rows if t is None or t.isprintable() or i % 3 == 0][:600] + [(10**6 + i, f"call Jane Roe at +49 30 123456{i % 7} or jane@example.org now {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [(t["start"], t["end"]) for t in r["terms"]] for r in personal.find(df, [F.col("doc_id")]).collect()}
+    want = disclosed_brute(rows)
+    assert got == want and sum(map(len, want.values())) > 30
