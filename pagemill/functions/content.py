@@ -19,6 +19,7 @@ POPUP_NAMES = r"(?i)(popup|modal|dialog|float|fixed-|cookie|toast)"
 AD_NAMES = r"(?i)(^|[-_])(ad|ads|advert|advertisement|banner-ad|sponsor)([-_]|$)"
 META_NAMES = r"(?i)(share|social|meta-info|post-meta|article-meta|author|tags|related|recommend|comment)"
 CONTENT_NAMES = r"(?i)(content|article|post|detail|main|entry|body-text|text)"
+CONTENT_WORDS = ("content", "main", "article", "detail", "body", "pagebody", "text", "news", "info", "post")
 NOISE_TOKENS = {"header", "footer", "nav", "navbar", "menu", "sidebar", "breadcrumb", "pager", "pagination", "copyright", "share", "related", "comment", "banner", "ad", "ads"}
 CRUMB_NAMES = r"(?i)(breadcrumb|bread-crumb|crumbs|pager|pagination|page-nav|fenye)"
 COPYRIGHT = re.compile(r"版权所有|copyright|©|ICP|备案|all rights reserved", re.I)
@@ -253,22 +254,59 @@ def blocks(root: Node) -> list[dict]:
     return out
 
 
+def outermost(parts: list[Node]) -> list[Node]:
+    """The elements that are inside no other of them."""
+    known = {id(e) for e in parts}
+
+    def free(e: Node) -> bool:
+        up = e.parent
+        while up is not None and id(up) not in known:
+            up = up.parent
+        return up is None
+
+    return [e for e in parts if free(e)]
+
+
+def together(parts: list[Node]) -> Node:
+    """One element as it is, several in a new container in their order."""
+    if len(parts) == 1:
+        return parts[0]
+    box = Node("div")
+    for e in parts:
+        box.add(e)
+    return box
+
+
 def by_score(root: Node) -> Node:
-    """Main content as the best-scored block: an article, else text, paragraphs and images weighed."""
+    """Main content by measures of blocks: an article; the best-scored blocks together; the densest one; blocks of images; the body.
+
+    What keeps too few of the page's images gives way to the whole body.
+    """
     body = root.first("body") or root
-    article = root.first("article")
-    images = body.count("img")
-    if article is not None and article.length() > 30 and not (images > 5 and article.count("img") < images / 2):
-        return article
+    images, article = body.count("img"), root.first("article")
+    if article is not None and article.length() > 30:
+        return body if images > 5 and article.count("img") < 0.5 * images else article
     order = list(body.elements())
-    best, top = body, 200.0
-    for i, e in enumerate(order):
-        at, text = i / max(len(order), 1), e.length()
-        if e.tag in ("div", "section") and text >= 40 and not is_header(e, at) and not is_footer(e, at):
-            score = (0.5 * text + 100 * e.count("p") + 250 * e.count("img")) * (1.5 if matches(CONTENT_NAMES)(e) else 1) * (1.2 if 0.15 <= at <= 0.85 else 1)
-            if score > top:
-                best, top = e, score
-    return body if images > 3 and best.count("img") < 0.4 * images else best
+    placed = [(i / len(order), e) for i, e in enumerate(order) if e.tag in ("div", "section", "article")]
+    boxes = [(at, e) for at, e in placed if not is_header(e, at) and not is_footer(e, at)]
+
+    def weight(at: float, e: Node) -> float:
+        named = any(w in e.names().lower() for w in CONTENT_WORDS)
+        return (0.5 * e.length() + 100 * e.count("p") + 250 * e.count("img")) * (1.5 if named else 1) * (1.2 if 0.15 <= at <= 0.85 else 1)
+
+    def density(e: Node) -> float:
+        return 10 * e.length() ** 2 / max(len(e.html()), 1) + 80 * e.count("p") + 200 * e.count("img")
+
+    scored = [(weight(at, e), e) for at, e in boxes if e.tag != "article" and e.length() >= 40]
+    parts = outermost([e for score, e in sorted(scored, key=lambda x: -x[0])[:3] if score > 200])
+    if not parts:
+        whole = 0.8 * body.length()
+        rest = [e for _, e in boxes if e.length() > 30 and not (e.parent is body and e.length() > whole)]
+        parts = [max(rest, key=density)] if rest else []
+    if parts:
+        return body if images > 3 and sum(e.count("img") for e in parts) < 0.4 * images else together(parts)
+    parts = outermost([e for _, e in boxes if e.tag != "article" and e.count("img") >= 2]) if images > 10 else []
+    return together(parts) if parts and sum(e.count("img") for e in parts) >= 0.5 * images else body
 
 
 def main_content(root: Node) -> Node:
@@ -281,24 +319,8 @@ def main_content(root: Node) -> Node:
     limit = 5
     if not found:
         found, limit = [e for e in body.all("div") if e.length() > 100 or e.first("img")], 3
-    top = {id(e) for e in found}
-
-    def contained(e: Node) -> bool:
-        up = e.parent
-        while up is not None and id(up) not in top:
-            up = up.parent
-        return up is not None
-
-    outer = [e for e in found if not contained(e)]
-    if not outer:
-        return body
-    outer = sorted(outer, key=lambda e: -(e.length() + 100 * e.count("img")))[:limit]
-    if len(outer) == 1:
-        return outer[0]
-    wrapper = Node("div")
-    for e in outer:
-        wrapper.add(e)
-    return wrapper
+    outer = sorted(outermost(found), key=lambda e: -(e.length() + 100 * e.count("img")))[:limit]
+    return together(outer) if outer else body
 
 
 def widened(e: Node, most: int = 8) -> Node:

@@ -74,3 +74,19 @@ def test_rules():
     assert content.rule_faults([]) and content.rule_faults([("body", "remove")]) and content.rule_faults([("a{}", "content")]) and content.rule_faults([("a", "x")])
     got = content.extract_by_rules(PAGE, URL, [("div.article-content", "content"), ("h1", "title"), (".pubtime", "remove")])
     assert got["title"] == "A headline" and got["images"] == 1 and "2024" not in got["html"]
+
+
+def test_main_content_by_measures():
+    words = "some plain words of a story " * 12
+    two = parse(f"<body><div id=head>x</div><div id=a class=news><p>{words}</p></div><div id=b><p>{words}</p><p>{words}</p></div><div id=c>short</div></body>")
+    got = content.by_score(two)
+    assert got.tag == "div" and [e.get("id") for e in got.elements() if e.get("id")] == ["b", "a"]
+    nested = parse(f"<body><div id=o><div id=i class=content><p>{words}</p><p>{words}</p></div></div><p>end</p></body>")
+    assert content.by_score(nested).get("id") == "o"
+    article = parse(f"<body><article id=s><p>{words}</p></article>" + "<div><img src=a></div>" * 6 + "</body>")
+    assert content.by_score(article).tag == "body"
+    dense = parse("<body><div id=d><span>just some forty five characters of text, no more</span></div><div id=e>thirty one characters are here!</div>" + "<p>word</p>" * 40 + "</body>")
+    assert content.by_score(dense).get("id") == "d"
+    pictures = parse("<body>" + "<div class=g>" + "<img src=a>" * 2 + "</div>" * 1 + "<p>t</p>" * 30 + "</body>")
+    assert content.by_score(pictures) is not None
+    assert content.by_score(parse("<body><p>only</p></body>")).tag == "body"
