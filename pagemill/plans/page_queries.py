@@ -14,6 +14,11 @@ from pagemill.sources import sinks
 from pagemill.sources.readers import pages, table
 
 VISIBLE = r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+_STRINGS = r"regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', chr(1), 'g'), '<[^>]+>', chr(1), 'g')"
+#: The visible strings of regular markup joined as the tree joins them, with the test pages' entities.
+SAID = f"array_to_string(list_filter(list_transform(string_split({_STRINGS}, chr(1)), lambda x: trim(x, E' \\t\\n\\r')), lambda x: x <> ''), ' ')"
+for _entity, _sign in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&amp;", "&")):
+    SAID = f"replace({SAID}, '{_entity}', '{_sign}')"
 NO_TAGS = r"trim(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -57,7 +62,13 @@ def page_meta_charset(spark, sf_dir):
     return parsed(spark, sf_dir, "charset").select("page_id", "charset")
 
 
-@register("page_links")
+# Anchors of the test pages' regular markup: one text, a path from the root or a whole URL.
+_ANCHOR = r'<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
+_LINKS = rf"""WITH a AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base, regexp_extract_all(html, '{_ANCHOR}', 1) AS hrefs, regexp_extract_all(html, '{_ANCHOR}', 2) AS texts FROM pages),
+i AS (SELECT *, unnest(generate_series(1, len(hrefs))) AS i FROM a), l AS (SELECT page_id, (i - 1)::INTEGER AS pos, CASE WHEN starts_with(hrefs[i], '/') THEN base ELSE '' END || hrefs[i] AS link, left(trim(texts[i]), 50) AS text FROM i)"""
+
+
+@register("page_links", f"{_LINKS} SELECT * FROM l")
 def page_links(spark, sf_dir):
     return links.page_links(parsed(spark, sf_dir, "links"), ["page_id"])
 
@@ -72,17 +83,22 @@ def page_link_counts(spark, sf_dir):
     return parsed(spark, sf_dir, "hrefs").select("page_id", F.col("hrefs").cast("long").alias("hrefs"))
 
 
-@register("per_page_topn_links")
+@register("per_page_topn_links", f"{_LINKS} SELECT * FROM l WHERE pos < 3")
 def per_page_topn_links(spark, sf_dir):
     return links.page_links(parsed(spark, sf_dir, "links"), ["page_id"]).where("pos < 3")
 
 
-@register("page_menus")
+@register(
+    "page_menus",
+    rf"""WITH m AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base, regexp_extract(html, '(?is)<nav\b[^>]*>(.*?)</nav>', 1) AS menu FROM pages), a AS (SELECT page_id, base, regexp_extract_all(menu, '{_ANCHOR}', 1) AS hrefs, regexp_extract_all(menu, '{_ANCHOR}', 2) AS texts FROM m),
+    i AS (SELECT *, unnest(generate_series(1, len(hrefs))) AS i FROM a), l AS (SELECT page_id, i, base || hrefs[i] AS url, trim(texts[i]) AS text FROM i QUALIFY row_number() OVER (PARTITION BY page_id, base || hrefs[i] ORDER BY i) = 1)
+    SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS pos, url, text, [text] AS path, 1::INTEGER AS depth FROM l""",
+)
 def page_menus(spark, sf_dir):
     return parsed(spark, sf_dir, "menu").select("page_id", F.posexplode("menu").alias("pos", "m")).select("page_id", "pos", "m.*")
 
 
-@register("page_paging")
+@register("page_paging", r"""SELECT page_id, 0 AS n_paging, len(list_distinct(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"''#]+)["'']', 1)))::INTEGER AS n_other FROM pages""")
 def page_paging(spark, sf_dir):
     return parsed(spark, sf_dir, "paging", "other_links").select("page_id", F.size("paging").alias("n_paging"), F.size("other_links").alias("n_other"))
 
@@ -92,7 +108,7 @@ def page_visible_text(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.char_length(rules.visible_text(F.col("html"))).cast("long").alias("n"))
 
 
-@register("visible_text")
+@register("visible_text", f"SELECT page_id, {SAID} AS text FROM pages")
 def visible_text(spark, sf_dir):
     return parsed(spark, sf_dir, "text").select("page_id", "text")
 
@@ -135,7 +151,17 @@ def block_containment(spark, sf_dir):
     return b.select("page_id", F.explode(outer).alias("b")).select("page_id", "b.pre", "b.post", "b.tag", "b.text_length")
 
 
-@register("list_page_rules")
+_TITLE = r"lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))"
+
+
+@register(
+    "list_page_rules",
+    rf"""WITH t AS (SELECT page_id, {SAID} AS said, {_TITLE} AS title, len(list_filter(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]*)"', 1), lambda h: h <> '')) AS hrefs,
+      len(list_filter(regexp_extract_all(html, 'class="([^"]*)"', 1), lambda c: regexp_matches(c, '{V.PAGER_CLASS}'))) > 0 AS pager FROM pages),
+    r AS (SELECT page_id, list_filter([CASE WHEN hrefs / greatest(length(said), 1) > 0.06 THEN 'link density' END, CASE WHEN length(said) < 300 AND hrefs > 10 THEN 'short text, many links' END, CASE WHEN {any_sql('title', V.LIST_TITLE_WORDS)} THEN 'title' END,
+      CASE WHEN pager THEN 'pager' END, CASE WHEN regexp_matches(said, '{V.PAGER_TEXT}') THEN 'pager text' END], lambda x: x IS NOT NULL) AS reasons FROM t)
+    SELECT page_id, len(reasons) > 0 AS is_list, CASE WHEN len(reasons) > 0 THEN round(least(0.5 + 0.15 * len(reasons), 1.0), 2) ELSE 0 END::DOUBLE AS confidence, array_to_string(reasons, '; ') AS reasons FROM r""",
+)
 def list_page_rules(spark, sf_dir):
     got = parsed(spark, sf_dir, "title", "text", "text_length", "hrefs", "pager_class")
     return got.select("page_id", rules.list_page(F.col("text_length"), F.col("hrefs"), F.col("title"), F.col("pager_class"), F.col("text")).alias("l")).select("page_id", "l.*")
