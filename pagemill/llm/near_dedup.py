@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import Work, bounded_batches, ident, maybe_in
+from pagemill.llm.common import Work, bounded_batches, ident, maybe_in, released
 
 WORDS = 5
 PERCENT = 75
@@ -50,6 +50,8 @@ HASHES = 2 * TREES * DEPTH
 ORDER = 7
 SMALL, STEP = 8, 4
 CUT, NEAR = 0.59, 0.72
+#: Links whose components are found in one task.
+FEW = 200_000
 #: The sketch of counts has 2^LEAST to 2^MOST places, an eighth of the counted shingles between.
 LEAST, MOST, PIECE = 17, 23, 17
 
@@ -244,12 +246,12 @@ def rare_rows(sets: DataFrame, crowd: DataFrame, work: Work) -> DataFrame:
     some = maybe_in(sets, F.col("node"), crowd, F.col("node"))
     total = some.agg(F.sum(F.size("shingles").cast("long"))).first()[0] or 1
     bits = max(LEAST, min(MOST, (int(total) // 8).bit_length()))
-    pieces = some.mapInArrow(lambda it: _counted(it, bits), "piece int, data binary").repartition("piece").mapInArrow(_levels, "piece int, data binary")
+    pieces = some.mapInArrow(released(lambda it: _counted(it, bits)), "piece int, data binary").repartition("piece").mapInArrow(_levels, "piece int, data binary")
     level = np.zeros(1 << bits, np.uint8)
     for r in pieces.collect():  # 2^MOST bytes at most, whatever the table
         level[r["piece"] << PIECE : (r["piece"] + 1) << PIECE] = np.frombuffer(r["data"], np.uint8)
     sent = sets.sparkSession.sparkContext.broadcast(level)
-    tokens = work.table(some.mapInArrow(lambda it: _rarest(it, sent.value, bits), "token long, node binary, n int, at int"), "tokens")
+    tokens = work.table(some.mapInArrow(released(lambda it: _rarest(it, sent.value, bits)), "token long, node binary, n int, at int"), "tokens")
     shared = work.table(tokens.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token"), "shared")
     rows = work.table(maybe_in(tokens, F.col("token"), shared, F.col("token")).join(shared, "token").select("token", "node", "n", "at"), "shared_rows")
     work.drop(tokens, shared)
@@ -296,17 +298,28 @@ def components(edges: DataFrame, work: Work) -> DataFrame:
 
     Stars are grown in turns: each node hands its larger neighbours to its smallest one, then its
     smaller ones; rounds grow with the logarithm of a component's size. Minima are written before
-    they are joined, so that Spark can split the edges of a hub.
+    they are joined, so that Spark can split the edges of a hub. Up to ``FEW`` links, for which
+    exchanges would cost more than the work, are kept in one task.
     """
-    now = work.table(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a <> b").distinct(), "edges")
-    mark = None
+    start = work.table(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a <> b").distinct(), "edges")
+    few = start.count() <= FEW
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        t = work.table(df, name)
+        out = t.coalesce(1) if few else t
+        out._work_path = t._work_path
+        return out
+
+    now, mark = start.coalesce(1) if few else start, None
+    now._work_path = start._work_path
     for _ in range(60):
-        both = now.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(now.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        least = work.table(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
-        large = work.table(both.join(least, "x").where("y > x").select(F.col("y").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        down = work.table(large.groupBy("a").agg(F.min("b").alias("m")), "down")
-        small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        new = work.table(small, "small")
+        both = now.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.*")
+        least = kept(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
+        large = kept(both.join(least, "x").where("y > x").select(F.col("y").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        down = kept(large.groupBy("a").agg(F.min("b").alias("m")), "down")
+        # Each node keeps its smallest neighbour, which gets the others.
+        small = large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+        new = kept(small, "small")
         work.drop(now, least, large, down)
         now = new
         got = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -326,7 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    slim = work.table(source.mapInPandas(_signatures, f"doc_id {id_type}, th binary, node binary, n long, mh binary, sig binary"), "signatures")
+    slim = work.table(source.mapInPandas(released(_signatures), f"doc_id {id_type}, th binary, node binary, n long, mh binary, sig binary"), "signatures")
     per_task = slim.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("mh").alias("mh"), F.max("sig").alias("sig"))
     nodes = work.table(per_task, "nodes")
     regions = forest(nodes.select("node", "mh"), work)
@@ -334,7 +347,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sorted_by = F.expr(f"substring(concat(mh, mh), (tree + 1) * {4 * DEPTH} + 1, {4 * ORDER})").alias("rot")
     tried = regions.join(large, "key", "left").where(f"large is null or tree % {STEP} = 0")
     members = tried.join(nodes.select("node", "n", "mh", "sig"), "node").select("key", sorted_by, "node", "n", "sig", F.coalesce("large", F.lit(False)).alias("large"))
-    pairs = members.repartitionByRange("key", "rot").sortWithinPartitions("key", "rot").mapInArrow(_neighbours, "u binary, v binary, like float")
+    pairs = members.repartitionByRange("key", "rot").sortWithinPartitions("key", "rot").mapInArrow(released(_neighbours), "u binary, v binary, like float")
     pairs = work.table(pairs.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("like").alias("like")), "pairs")
     crowds = work.table(regions.join(large, "key").select("key", "node"), "crowds")
     work.drop(regions)
@@ -343,7 +356,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = work.table(wanted.join(nodes.select("node", "first_id"), "node").select("node", ident("first_id").alias("ident")), "needed")
     texts = maybe_in(source.select("text", ident("doc_id").alias("ident")), F.col("ident"), needed, F.col("ident"))
     # One document of each node; its words decide whether it is one.
-    sets = texts.select("text").mapInPandas(_sets, "node binary, shingles array<long>")
+    sets = texts.select("text").mapInPandas(released(_sets), "node binary, shingles array<long>")
     sets = work.table(sets.join(needed.select("node"), "node").dropDuplicates(["node"]), "sets")
 
     def linked(tried: DataFrame, name: str) -> DataFrame:
