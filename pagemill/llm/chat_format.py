@@ -133,16 +133,20 @@ def _listed(m: Mapping):
     return lambda x, i: _turn(_renamed(x[m.role], m.roles), x[m.text], i)
 
 
-def turns(df: DataFrame, id_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """(conv_id, turn, role, text), one row per turn, by the mapping that the schema's fingerprint selects."""
-    print_of = fingerprint(df.schema, (id_col,))
-    m = next((m for m in mappings if m.fingerprint == print_of), None)
-    if m is None:  # columns beside those of a layout do not matter where one layout alone fits
-        have = set(paths_of(df.drop(id_col).schema))
-        fit = sorted((m for m in mappings if set(m.paths) <= have), key=lambda m: -len(m.paths))
-        if not fit or len(fit) > 1 and len(fit[0].paths) == len(fit[1].paths):
-            raise ValueError(f"no mapping for the fields {sorted(have)}")
-        m = fit[0]
+def turns(df: DataFrame, id_col: str, mappings: tuple[Mapping, ...] = MAPPINGS, layout: str | None = None) -> DataFrame:
+    """(conv_id, turn, role, text), one row per turn, by the mapping that the schema's fingerprint selects.
+
+    With columns beside those of a layout no fingerprint is equal. Then the layouts whose paths are all
+    there are looked at, those aside that another one holds whole, and the first in the order of
+    ``mappings`` is taken. ``layout`` names one instead. Without any it is a ValueError.
+    """
+    have = set(paths_of(df.drop(id_col).schema))
+    fit = [m for m in mappings if set(m.paths) <= have and layout in (None, m.name)]
+    exact = [m for m in fit if m.fingerprint == fingerprint(df.schema, (id_col,))]
+    widest = [m for m in fit if not any(set(m.paths) < set(o.paths) for o in fit)]
+    if not fit:
+        raise ValueError(f"no mapping for the fields {sorted(have)}")
+    m = [*exact, *widest][0]
     key = F.col(f"`{id_col}`").cast("long").alias("conv_id")
     if m.kind == "rows":
         return df.select(key, F.col(m.turn).cast("long").alias("turn"), F.coalesce(_renamed(F.col(m.role), m.roles), F.lit("")).alias("role"), F.coalesce(F.col(m.text), F.lit("")).alias("text"))

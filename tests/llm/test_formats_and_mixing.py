@@ -101,3 +101,13 @@ def test_shards_are_written(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     sharding.write(docs, F.col("doc_id"), ["a", "b", "c"], str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+
+
+def test_added_columns_do_not_change_the_layout(spark):
+    kind = "conv_id long, turn long, role string, text string, instruction string, input string, output string, prompt string, completion string"
+    df = spark.createDataFrame([(1, 0, "user", "a", "i", "j", "k", "p", "c"), (1, 1, "assistant", "b" * 300_000, "i", "j", "k", "p", "c")], kind)
+    assert [(r["role"], len(r["text"])) for r in chat.turns(df, "conv_id").orderBy("turn").collect()] == [("user", 1), ("assistant", 300_000)]
+    assert [r["text"] for r in chat.turns(df.limit(1), "conv_id", layout="prompt").orderBy("turn").collect()] == ["p", "c"]
+    assert [r["text"] for r in chat.turns(df.limit(1).drop("role"), "conv_id").orderBy("turn").collect()] == ["i", "j", "k"]
+    digest = chat.digests(chat.formatted(chat.turns(df, "conv_id"))).first()
+    assert digest["n_turns"] == 2 and digest["loss_chars"] == 300_000
