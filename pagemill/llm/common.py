@@ -39,6 +39,30 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+def released(function):
+    """``function`` of batches, after whose last one the worker hands freed memory back to the system.
+
+    Spark keeps Python workers for the stages that follow, in which what they once needed would count.
+    """
+
+    def each(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return each
+
+
 class Work:
     """Tables of one operator call, written to the shared folder and read back.
 

@@ -16,7 +16,8 @@ sampled. For the counts alone, words over ``LONG`` bytes are cut into runs of wh
 Words are runs of letters in lower case. Texts that are null or hold no letter get ``und`` and 0.
 Texts of any length are scored whole; words over ``LONG`` bytes are scored one by one with
 rescaling. Without a labelled row nothing can be learned, and every text is ``und``. Of languages
-with equal sums the first in order is taken. Repeated rows are scored each.
+with equal sums the first in order is taken. Repeated rows are scored each. Columns to keep must not
+be called as those that are added; in a struct they can have any names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import Work, bounded_batches
+from pagemill.llm.common import Work, bounded_batches, free_names, released
 
 #: Labelled rows a language that a model is fitted on.
 SAMPLE = 4000
@@ -111,8 +112,8 @@ def _blocks(words: list[bytes], front: bytes = b" "):
     for i, w in enumerate(words):
         by.setdefault(len(w), []).append(i)
     for n, idx in by.items():
-        for s in range(0, len(idx), 8192):
-            part = idx[s : s + 8192]
+        for s in range(0, len(idx), 4096):
+            part = idx[s : s + 4096]
             yield part, np.frombuffer(b"".join(front + words[i] for i in part), np.uint8).reshape(len(part), n + len(front))
 
 
@@ -263,7 +264,7 @@ def fit(docs: DataFrame, vocabulary_path: str, lang_col: str = "lang", id_col: s
                     at[w] = at.get(w, 0) + 1
             yield pd.DataFrame([(k, w, n) for k, at in count.items() for w, n in at.items()], columns=["lang", "word", "n"])
 
-    counted = picked.select("lang", letters(F.col("text")).alias("text")).mapInPandas(words, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = picked.select("lang", letters(F.col("text")).alias("text")).mapInPandas(released(words), "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     # Each round reads it in as many tasks as there are cores: its rows are few, the work on each is much.
     table = work.table(counted.repartition(spark.sparkContext.defaultParallelism, "word"), "words")
     start = model.probs[:-1, :1]
@@ -280,7 +281,7 @@ def fit(docs: DataFrame, vocabulary_path: str, lang_col: str = "lang", id_col: s
             i, j = np.nonzero(total)
             yield pd.DataFrame({"piece": i.astype(np.int32), "lang": j.astype(np.int32), "n": total[i, j]})
 
-        got = table.mapInPandas(count, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        got = table.mapInPandas(released(count), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         new = np.zeros((model.pieces.n, len(size)))
         new[got["piece"], got["lang"]] += got["n"]
         model = Model(model.languages, model.pieces, _with_none(smoothed(new, start)))
@@ -296,6 +297,7 @@ def predict(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "
     """
     bounded_batches(docs.sparkSession)
     kept = docs.select(*keep, letters(F.col(text_col)).alias("__text"))
+    free_names(kept, "lang_pred", "score", "fit")
     fields = kept.drop("__text").schema
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.probs))
 
@@ -327,10 +329,10 @@ def predict(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "
 
     from pyspark.sql import types as T
 
-    return kept.mapInPandas(score, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType())]))
+    return kept.mapInPandas(released(score), T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType())]))
 
 
-def _parts(texts, most: int = 4_000_000):
+def _parts(texts, most: int = 2_000_000):
     """Slices of the batch of about ``most`` characters, one text at least."""
     begin = total = 0
     for i, n in enumerate(texts.str.len()):
