@@ -73,3 +73,12 @@ def sessions(saved: DataFrame) -> DataFrame:
     """The last snapshot of each session, its state as a variant (null where it is no JSON)."""
     last = saved.groupBy("session_id").agg(F.max_by(F.struct("target_url", "state_json"), "seq").alias("s"))
     return last.select("session_id", "s.target_url", F.try_parse_json("s.state_json").alias("state"))
+
+
+def session(saved: DataFrame, session_id: str) -> DataFrame:
+    """One session's last snapshot, or no row."""
+    return sessions(saved.where(F.col("session_id") == session_id))
+
+
+def without_session(saved: DataFrame, session_id: str) -> DataFrame:
+    return saved.where(~F.col("session_id").eqNullSafe(F.lit(session_id)))

@@ -122,3 +122,12 @@ def test_containers_fonts_and_neighbours():
     assert content.isolated(root.all("p")[-1]) and not content.isolated(root.all("p")[-2]) and not content.isolated(by["far"])
     big = parse("<div><b style='font-size:18px'>small one</b><span style='font-size: 22px'>First</span><b style='FONT-SIZE:22px'>Second</b></div>")
     assert content.loudest(big) == "First" and content.loudest(parse("<b>none</b>")) == ""
+
+
+def test_one_session(spark):
+    from pagemill.operators import cache
+
+    saved = spark.createDataFrame([("a", "u", '{"n": 1}', 1), ("a", "v", '{"n": 2}', 2), ("b", "w", "{", 3), (None, "x", "{}", 4)], "session_id string, target_url string, state_json string, seq long")
+    assert [(r["target_url"], r["n"]) for r in cache.session(saved, "a").select("target_url", F.variant_get("state", "$.n", "int").alias("n")).collect()] == [("v", 2)]
+    assert cache.session(saved, "b").where("state is null").count() == 1 and cache.session(saved, "c").count() == 0
+    assert sorted(r["seq"] for r in cache.without_session(saved, "a").collect()) == [3, 4]
