@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import SPACE, bounded_batches, shared_folder
+from pagemill.llm.common import SPACE, bounded_batches, free_names, released, shared_folder
 
 #: Characters (bytes in UTF-8) of a block's words.
 BLOCK = 8_000_000
@@ -230,7 +230,7 @@ def _encoded(batches, spec: str):
         sizes, size_at = _packed(n)
         packed, id_at = _packed(_gathered(ids, (np.cumsum(n_ids) - n_ids)[at], n))
         ends = np.concatenate([[0], np.cumsum(n)])[edges]
-        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int32()), _binaries(sizes, size_at[edges]), _binaries(packed, id_at[ends])], ["block", "bucket", "sizes", "ids"])
+        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int32()), _binaries(sizes, size_at[edges]), pa.array([zlib.compress(packed[a:b].tobytes(), 6) for a, b in zip(id_at[ends], id_at[ends][1:])], pa.binary())], ["block", "bucket", "sizes", "ids"])
 
     held, total = [], 0
     for batch in batches:
@@ -252,7 +252,8 @@ def _joined(left, right, names: list[str], pieces: list[str] | None):
 
     listed = left.filter(pc.is_valid(left["bucket"])).sort_by("bucket")
     docs, right = left.filter(pc.is_null(left["bucket"])), right.sort_by("bucket")
-    code, sizes, flat = (unpack(_content(c)[0]) for c in (listed["codes"], right["sizes"], right["ids"]))
+    code, sizes = (unpack(_content(c)[0]) for c in (listed["codes"], right["sizes"]))
+    flat = unpack(b"".join(zlib.decompress(x.as_py()) for x in right["ids"]))
     size, start = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
     size[code], start[code] = sizes, np.cumsum(sizes) - sizes
     raw, cuts = _content(docs["codes"])
@@ -319,6 +320,7 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[Column], text_col: s
         raise ValueError("a BPE tokenizer file is needed")
     if not _drops_white_space(Tokenizer.from_str(spec)):
         raise ValueError("the tokenizer must drop white space")
+    free_names(docs.select(*keep), "ids", "decoded")
     kept = docs.select(*keep).schema.fields
     names = [f.name for f in kept]
     words = F.split(F.coalesce(F.col(text_col), F.lit("")), SPACE + "+")
@@ -339,14 +341,14 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[Column], text_col: s
         yield from _blocks(chain([first], batches), buckets, block, schema)
 
     name = f"pagemill_blocks_{uuid.uuid4().hex}"
-    rows = source.mapInArrow(blocks, T.StructType(fields))
+    rows = source.mapInArrow(released(blocks), T.StructType(fields))
     by = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows.write.bucketBy(by, "block").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     atexit.register(_forget, spark, name)
     table = spark.table(name)
     sent = spark.sparkContext.broadcast(spec)
     lists = table.where("words is not null").select("block", "bucket", "words")
-    ids = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _encoded(it, sent.value), "block long, bucket int, sizes binary, ids binary")
+    ids = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(lambda it: _encoded(it, sent.value)), "block long, bucket int, sizes binary, ids binary")
     coded = table.select("block", "kept", "codes", "bucket")
     pieces = spark.sparkContext.broadcast(_undecoded(spec) if decoded else None)
     out = T.StructType([*loose.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decoded else [])])

@@ -146,6 +146,17 @@ def test_blocks_hold_so_many_characters(monkeypatch):
     assert [r["kept"]["doc_id"] for r in docs] == [0, 1, 2, 3] and len({r["block"] for r in docs}) == 3
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", 2.0)], "doc_id long, text string, score double")
+    model = languages.fit(empty(spark), tokenizer_file(MULTI))
+    with pytest.raises(ValueError):
+        languages.predict(df, model, [F.col("score")])
+    assert languages.predict(df, model, [F.struct("score", "text").alias("row")]).first()["row"]["score"] == 2.0
+    with pytest.raises(ValueError):
+        bpe.encode(df, tokenizer_file(WORD), [F.col("doc_id").alias("ids")])
+    assert bpe.encode(df, tokenizer_file(WORD), [F.col("doc_id").alias("block"), F.col("score").alias("words")]).first()["block"] == 1
+
+
 def test_other_tokenizers_are_refused(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     for call in (lambda: bpe.encode(df, tokenizer_file("byte_bpe_50k.json"), [F.col("doc_id")]), lambda: bpe.decode(df, tokenizer_file("byte_bpe_50k.json"), "text")):
