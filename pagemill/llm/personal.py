@@ -18,7 +18,8 @@ entities are by themselves too many to disclose are not counted further. Pattern
 without backtracking, so long texts take linear time, and offsets (code points) are summed in blocks.
 
 Null texts count as empty. Copies of a text count once in the statistics and get the same spans.
-Null ids and repeated rows are kept as they are. Empty tables give empty results.
+Null ids and repeated rows are kept as they are. Empty tables give empty results. Columns to keep must
+not be called as those that are added or used; in a struct they can have any names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import Work, maybe_in
+from pagemill.llm.common import Work, free_names, maybe_in
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: What each kind needs in a text, and its pattern; the lookbehind and possessive forms match the same as the plain ones.
@@ -154,12 +155,14 @@ def find(docs: DataFrame, keep: list[Column], text_col: str = "text") -> DataFra
     work = Work(docs.sparkSession, "personal")
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(*keep, text.alias("__text"), F.unhex(F.md5(text)).alias("th"))
+    free_names(docs.select(*keep), "th", "base", "near", "terms")
     names = [c for c in source.columns if c not in ("__text", "th")]
     near = F.transform("base", lambda s: F.struct(entity(s).alias("entity"), near_words(F.col("__text"), s).alias("terms")))
     base = work.table(base_spans(source, "__text").select(*names, "th", "base", near.alias("near")), "base")
     some = base.where(F.size("base") > 0)
     told = disclosing(some.select("th", "near"), docs.select(F.unhex(F.md5(text)).alias("th"), text.alias("text")), work)
-    of = some.select("th", F.explode(F.transform("near", lambda x: x["entity"])).alias("entity")).distinct()
+    # Written, so that Spark can split the join of an entity that very many texts share.
+    of = work.table(some.select("th", F.explode(F.transform("near", lambda x: x["entity"])).alias("entity")).distinct(), "of")
     terms = work.table(of.join(told, "entity").groupBy("th").agg(F.array_sort(F.collect_set("term")).alias("words")), "terms")
     hit = maybe_in(docs.select(F.unhex(F.md5(text)).alias("th"), text.alias("text")), F.col("th"), terms, F.col("th")).join(terms, "th")
     hit = hit.dropDuplicates(["th"])
@@ -194,5 +197,5 @@ def digests(found: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         "doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(PATTERNS)],
-        F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "terms")).alias("spans"),
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "terms")).alias("spans"), F.size(F.concat("base", "terms")).cast("long").alias("n_spans"),
     )
