@@ -92,7 +92,9 @@ def select(docs: DataFrame, levels: dict[str, Column], budget: Column, weights:
         *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()], token_count(F.col(text_col)).alias("n_tokens"),
     )
     slim = work.table(row.select("id", *names, "n_tokens"), "slim")
-    leaves = slim.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
+    leaves = work.table(slim.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "tree")
+    if leaves.count() <= BROADCAST_ROWS:  # a small tree is planned in one task, without an exchange a level
+        leaves = leaves.coalesce(1)
     plan = budgets(leaves, budget, names, weights, epochs)
     whole = F.when(F.col("tokens") > 0, F.least(F.floor(F.col("leaf_budget") / F.col("tokens")), F.lit(epochs))).otherwise(epochs).cast("long")
     plan = plan.withColumn("whole", whole).withColumn("rest", F.col("leaf_budget") - F.col("whole") * F.col("tokens"))
