@@ -5,10 +5,11 @@ cut into quantile bins. Trees are grown level by level from histograms of gradie
 forest is flattened into arrays (feature, threshold, children, value) that numpy walks for all
 rows of a batch at once, a level a step.
 
-The model is fitted on at most ``TRAIN_ROWS`` labelled rows, picked by hash: a fixed, documented
-bound. Null texts count as empty and get a score like any other text. Of several labels of one
+The model is fitted on about ``TRAIN_ROWS`` labelled rows at most, picked by a threshold of their
+hash: a fixed, documented bound. Null texts count as empty and get a score like any other text. Of several labels of one
 document the larger one counts; null labels are not learned from. Without labels, or with one
-class alone, every score is the (smoothed) share of the class. Repeated rows are scored each.
+class alone, every score is the (smoothed) share of the class. Repeated rows are scored each, equal
+texts alike. Columns to keep must not be called as those that are added.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import Work, bounded_batches
+from pagemill.llm.common import Work, bounded_batches, free_names, share_of
 
 TRAIN_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, LEAST, L2 = 120, 4, 64, 0.1, 20.0, 1.0
@@ -142,6 +143,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, b
 def _features(docs: DataFrame, keep: list[Column], text_col: str, then, extra: list) -> DataFrame:
     """``keep`` with the columns that ``then`` (statistics matrix -> dict of columns) gives."""
     bounded_batches(docs.sparkSession)
+    free_names(docs.select(*keep), *[f.name for f in extra])
     source = docs.select(*keep, F.col(text_col).alias("__text"))
 
     def each(batches):
@@ -155,11 +157,14 @@ def _features(docs: DataFrame, keep: list[Column], text_col: str, then, extra: l
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Forest:
     """A forest for ``label_col`` of ``labels``, whose rows are all free to learn from."""
     lab = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    picked = lab.orderBy(F.xxhash64("id", F.lit(31)), "id").limit(rows)
-    picked = Work(docs.sparkSession, "quality").table(picked, "labels")  # at most ``rows`` rows of 12 bytes
+    work = Work(docs.sparkSession, "quality")
+    lab = work.table(lab, "labels")
+    picked = work.table(share_of(lab, F.xxhash64("id", F.lit(31)), rows, lab.count()), "picked")  # about ``rows`` rows of 12 bytes
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-    got = _features(known, [F.col("id"), F.col("label")], "text", lambda x: {"x": list(x)}, [T.StructField("x", T.ArrayType(T.DoubleType()))])
-    got = got.orderBy(F.xxhash64("id", F.lit(31)), "id", "x").limit(rows).toPandas()
+    got = work.table(_features(known, [F.col("id"), F.col("label")], "text", lambda x: {"x": list(x)}, [T.StructField("x", T.ArrayType(T.DoubleType()))]), "features")
+    got = share_of(got, F.xxhash64("id", "x"), rows, got.count()).limit(2 * rows).toPandas()  # ids may repeat, so cut again
+    work.close()
+    got = got.assign(key=[tuple(v) for v in got["x"]]).sort_values(["id", "key"], kind="stable")
     x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
     return grow(x, got["label"].to_numpy().astype(float))
 
