@@ -10,7 +10,6 @@ REDIRECT_PATHS = ["/link", "/redirect", "/goto", "/jump", "/url"]
 HOME_ENDINGS = ["/index", "/home", "/default", "/main"]
 LIST_URL_WORDS = ["list", "lists", "category", "categories", "cat", "page", "pages", "archive", "archives", "tag", "tags", "search", "query", "index", "catalog", "grid", "liebiao", "fenlei", "mululiebiao"]
 LIST_LINK_TEXTS = ["更多", "全部", "所有", "查看全部", "查看更多", "more", "all", "view all", "read more"]
-DETAIL_PATTERNS = [r"/\d{4}/\d{2}/\d{2}/", r"/\d{4}-\d{2}-\d{2}", r"/\d{5,}", r"/detail[/-]", r"/article[/-]", r"/news[/-]\d", r"/info[/-]\d", r"\.html$", r"\.shtml$"]
 
 # --- Fixed values: page classification ---
 PLACEHOLDERS = ["data:image", "1x1", "placeholder", "lazy", "spacer", "blank.gif", "blank.png", "loading.gif", "loading.svg", "transparent", "pixel.gif", "pixel.png", "empty.gif", "grey.gif", "ajax-loader", "grey-pixel", "white-pixel"]

@@ -39,10 +39,10 @@ def split(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("is_valid").drop("is_valid", "error_reason"), rows.where("not is_valid")
 
 
-def from_json(answers: DataFrame, column: str = "articles_json") -> DataFrame:
-    """Articles of JSON lists, a fence of back-quotes around them allowed; what cannot be read gives none."""
+def from_json(answers: DataFrame, column: str = "articles_json", keep: list[str] | None = None) -> DataFrame:
+    """``keep`` and the articles of JSON lists, a fence of back-quotes around them allowed; what cannot be read gives none."""
     bare = F.regexp_replace(F.coalesce(column, F.lit("")), r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
-    return answers.select(F.explode(F.from_json(bare, _LIST)).alias("a")).select("a.*")
+    return answers.select(*(keep or []), F.explode(F.from_json(bare, _LIST)).alias("a")).select(*(keep or []), "a.*")
 
 
 def to_json(articles: DataFrame) -> DataFrame:

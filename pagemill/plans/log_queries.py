@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import rules
+from pagemill.functions import values as V
 from pagemill.functions.pages import extract_by_rules
-from pagemill.operators import evaluate, fetching, images, links, models
+from pagemill.operators import cache, categories, evaluate, fetching, images, links, models, validate
 from pagemill.plans.registry import register
+from pagemill.plans.state_queries import _FOLD, _writes
+from pagemill.sources import readers
 from pagemill.sources.readers import pages, table
 
 _LOG = """l AS (SELECT user_id AS url, event_id AS seq, CASE WHEN event_type = 'error' THEN CASE event_id % 4 WHEN 0 THEN 500 WHEN 1 THEN 404 WHEN 2 THEN 429 END ELSE CASE WHEN event_id % 3 = 0 THEN 200 ELSE 503 END END AS status FROM events)"""
@@ -112,3 +115,74 @@ def requeue_links(spark, sf_dir):
     head = F.when(F.col("event_id") % 3 == 2, "a headline that is no label").otherwise("news")
     path = F.when(F.col("event_id") % 3 == 1, F.array(head)).otherwise(F.array(head, "event_type"))
     return links.requeued(e.withColumn("nav_path", path), e.where("key % 2 = 0"), e.where("key % 5 = 0")).select("event_id")
+
+
+@register("cache_visited", f"WITH {_FOLD}, o AS (SELECT DISTINCT 'https://h.example/' || (user_id + event_id % 3 * 40) AS url FROM events) SELECT url FROM o WHERE url IN (SELECT url FROM c)")
+def cache_visited(spark, sf_dir):
+    asked = table(spark, sf_dir, "events").select(F.concat(F.lit("https://h.example/"), F.col("user_id") + F.col("event_id") % 3 * 40).alias("url")).distinct()
+    return cache.visited(asked, cache.fold(_writes(spark, sf_dir)))
+
+
+@register("cache_without_site", f"WITH {_FOLD} SELECT url, status FROM c WHERE right(url, 1) <> '3'")
+def cache_without_site(spark, sf_dir):
+    """The cache once one site's rows are cleared; the site of a page is told by the last digit of its URL."""
+    rows = cache.fold(_writes(spark, sf_dir)).withColumn("base_url", F.right("url", F.lit(1)))
+    return cache.without_site(rows, "3").select("url", "status")
+
+
+@register("cache_upsert", f"""WITH {_FOLD} SELECT url, status, title FROM c""")
+def cache_upsert(spark, sf_dir):
+    """The first writes folded into a cache, the later ones written into it: as if all were folded at once."""
+    w = _writes(spark, sf_dir)
+    return cache.upsert(cache.fold(w.where("seq < 600")), w.where("seq >= 600")).select("url", "status", "title")
+
+
+@register("session_snapshots", "SELECT user_id::VARCHAR AS session_id, arg_max(event_type, event_id) AS target_url, json_valid(arg_max(props, event_id)) AS has_state FROM events GROUP BY user_id")
+def session_snapshots(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("target_url"), F.col("props").alias("state_json"), F.col("event_id").alias("seq"))
+    return cache.sessions(e).select("session_id", "target_url", F.col("state").isNotNull().alias("has_state"))
+
+
+@register("sitemap_urls", "SELECT page_id, url FROM pages UNION ALL SELECT page_id, 'http://h.example/?a=1&b=2' FROM pages WHERE page_id % 2 = 0")
+def sitemap_urls(spark, sf_dir):
+    """Sitemaps of one page each, XML and plain text in turns."""
+    xml = F.concat(F.lit("<urlset><url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>\n<url><loc>http://h.example/?a=1&amp;b=2</loc></url></urlset>"))
+    text = F.concat(F.lit("# list\r\n  "), "url", F.lit("\n\n"))
+    return pages(spark, sf_dir).select("page_id", F.explode(readers.sitemap_urls(F.when(F.col("page_id") % 2 == 0, xml).otherwise(text))).alias("url"))
+
+
+@register(
+    "fetch_plan",
+    """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'cached' WHEN page_id % 2 = 0 THEN 'rendered' ELSE 'plain' END AS fetch_method FROM pages""",
+)
+def fetch_plan(spark, sf_dir):
+    """Pages on a host for each, every third in the cache, every second host needing a browser."""
+    p = pages(spark, sf_dir).select("page_id", F.concat(F.lit("https://H"), "page_id", F.lit(".example/x")).alias("url"))
+    stored = p.select("url", F.lit("t").alias("title"), F.when(F.col("page_id") % 3 == 0, F.repeat(F.lit("x"), F.lit(600))).otherwise("short").alias("html"), F.lit("success").alias("status"))
+    hosts = p.select(F.concat(F.lit("h"), "page_id", F.lit(".example")).alias("host"), (F.col("page_id") % 2 == 0).alias("needs_js_render")).where("page_id % 5 <> 1 or page_id % 2 = 0")
+    return readers.fetch_plan(p, hosts, stored).select("page_id", "fetch_method")
+
+
+@register("articles_from_json", "SELECT event_id, 'https://h/' || event_id AS url, event_type AS title, (event_id % 4)::INTEGER AS images_count FROM events WHERE event_id % 5 <> 0 UNION ALL SELECT event_id, 'b', NULL, NULL FROM events WHERE event_id % 5 = 1")
+def articles_from_json(spark, sf_dir):
+    """Answers with a list of articles: bare, fenced, with a second article, or unreadable."""
+    one = F.to_json(F.struct(F.concat(F.lit("https://h/"), "event_id").alias("url"), F.col("event_type").alias("title"), (F.col("event_id") % 4).alias("images_count"), F.array(F.col("event_id").cast("string")).alias("breadcrumb")))
+    k = F.col("event_id") % 5
+    text = F.when(k == 0, F.lit("[{broken")).when(k == 1, F.concat(F.lit("```json\n["), one, F.lit(', {"url": "b"}]\n```'))).otherwise(F.concat(F.lit("["), one, F.lit("]")))
+    got = validate.from_json(table(spark, sf_dir, "events").select(text.alias("articles_json"), "event_id"), "articles_json", ["event_id"])
+    return got.select("event_id", "url", "title", "images_count")
+
+
+@register(
+    "nav_levels",
+    rf"""WITH l AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN ['A b', 'C'] WHEN 1 THEN ['news'] WHEN 2 THEN ['x', 'y'] ELSE ['title of page ' || left(page_id::VARCHAR, 6)] END AS v FROM pages)
+    SELECT page_id, v[1] AS l1, coalesce(v[2], '') AS l2, '' AS l3, '' AS l4, array_to_string(v, '/') AS folder FROM l""",
+)
+def nav_levels(spark, sf_dir):
+    """A page's four levels from its breadcrumb, its category, its path or its title."""
+    k = F.col("page_id") % 4
+    crumbs = F.when(k == 0, F.array(F.lit(" A \n b"), F.lit("C")))
+    category = F.when(k == 1, "news").otherwise(V.OTHER_CATEGORY)
+    url = F.when(k == 2, "https://h.example/x/y/2024/index.html").otherwise("https://h.example/")
+    levels = categories.nav_levels(crumbs, category, url, F.concat(F.lit("title of page "), F.left(F.col("page_id").cast("string"), F.lit(6))))
+    return pages(spark, sf_dir).select("page_id", levels.alias("v")).select("page_id", *[F.col("v")[i].alias(f"l{i + 1}") for i in range(4)], categories.folder_of(F.col("v")).alias("folder"))

@@ -43,7 +43,7 @@ def sitemap(spark: SparkSession, path: str) -> DataFrame:
 def sitemap_urls(text):
     """array of the URLs in one sitemap's text."""
     located = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), 1), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
-    lines = F.filter(F.transform(F.split(text, r"\r?\n"), F.btrim), lambda x: F.startswith(x, F.lit("http")))
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.btrim(x)), lambda x: F.startswith(x, F.lit("http")))
     return F.when(F.contains(text, F.lit("<loc>")), located).otherwise(lines)
 
 
