@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat_format, exact_dedup, languages, mixing, near_dedup, nearest, personal, quality, sharding, token_counts, whitening
+from pagemill.llm import bpe, chat_format, exact_dedup, languages, mixing, near_dedup, nearest, personal, quality, repair, sharding, token_counts, whitening
 from pagemill.llm.common import crc_mod, tokenizer_file
 
 
@@ -71,10 +71,14 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), [F.col("doc_id")])
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audit(_read(spark, sf_dir, "conversations"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = whitening.whiten(_read(spark, sf_dir, "embeddings"), "embedding", [F.col("vec_id")])
     return got.withColumn("deviation", F.col("deviation").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_mixing, op4_sharding, op5_exact_dedup, op6_quality, op7_bpe, op8_near_dedup, op9_personal, op10_nearest, op11_token_counts, op13_whitening)}
-ORACLE_SQL = {"op2_chat_format": chat_format.ORACLE, "op3_mixing": mixing.ORACLE, "op4_sharding": sharding.oracle(), "op5_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_mixing, op4_sharding, op5_exact_dedup, op6_quality, op7_bpe, op8_near_dedup, op9_personal, op10_nearest, op11_token_counts, op12_conversation_repair, op13_whitening)}
+ORACLE_SQL = {"op2_chat_format": chat_format.ORACLE, "op3_mixing": mixing.ORACLE, "op4_sharding": sharding.oracle(), "op5_exact_dedup": exact_dedup.ORACLE, "op12_conversation_repair": repair.ORACLE}
