@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import rules, urls
 from pagemill.functions import values as V
+from pagemill.operators import chunks
 
 
 def _prefixes(path: Column) -> Column:
@@ -52,12 +53,12 @@ def merged_path(path: Column, crumbs: Column) -> Column:
 def file_paths(rows: DataFrame, folder: Column, name: Column, order: list) -> DataFrame:
     """Rows with ``file_path``: folder/name.html, later ones of one path with _1, _2 and so on.
 
-    Numbers are counted per path; a path that very many rows share is one sort in one task.
+    ``order`` begins with a number or a time. A path may hold all rows: they are numbered in chunks.
     """
-    rows = rows.withColumn("_dir", folder).withColumn("_name", name)
-    nth = F.row_number().over(Window.partitionBy("_dir", "_name").orderBy(*order)) - 1
+    rows = chunks.numbered(rows.withColumn("_dir", folder).withColumn("_name", name), ["_dir", "_name"], order, "_nth")
+    rows = rows.withColumn("_nth", F.col("_nth") - 1)
     mark = F.when(F.col("_nth") > 0, F.concat(F.lit("_"), F.col("_nth"))).otherwise(F.lit(""))
-    return rows.withColumn("_nth", nth).withColumn("file_path", F.concat_ws("/", F.when(F.col("_dir") != "", F.col("_dir")), F.concat("_name", mark, F.lit(".html")))).drop("_dir", "_name", "_nth")
+    return rows.withColumn("file_path", F.concat_ws("/", F.when(F.col("_dir") != "", F.col("_dir")), F.concat("_name", mark, F.lit(".html")))).drop("_dir", "_name", "_nth")
 
 
 def folder_of(levels: Column, most: int = 40) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import rules
+from pagemill.operators import chunks
 
 
 def by_hash(rows: DataFrame, value: Column, order: list) -> DataFrame:
@@ -37,6 +38,5 @@ def thrice(rows: DataFrame, html: str, key: str, path: str, order: list) -> Data
 
 
 def running_image_count(images: DataFrame, order: list, threshold: int = 5) -> DataFrame:
-    """Images with the running count of their content; from the threshold on they are decoration."""
-    by = Window.partitionBy("md5").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return images.withColumn("seen", F.count("*").over(by)).withColumn("repeated", F.col("seen") >= threshold)
+    """Images with the running count of their content; from the threshold on they are decoration. The first of ``order`` is a number or a time."""
+    return chunks.numbered(images, ["md5"], order, "seen").withColumn("repeated", F.col("seen") >= threshold)

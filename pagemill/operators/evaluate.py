@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from pagemill.operators import chunks
+
 
 def status_counts(rows: DataFrame, status: str = "status") -> DataFrame:
     return rows.groupBy(status).agg(F.count("*").alias("n"))
@@ -27,12 +29,8 @@ def verdict(counts: DataFrame) -> DataFrame:
 
 
 def failure_runs(log: DataFrame, by: str, order: str, failed: Column) -> DataFrame:
-    """Rows with ``run``: how many failures in a row end at each, 0 after a success."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    island = F.sum(F.when(failed, 0).otherwise(1)).over(w)
-    rows = log.withColumn("_failed", failed).withColumn("_island", island)
-    inside = Window.partitionBy(by, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("run", F.sum(F.col("_failed").cast("long")).over(inside)).drop("_failed", "_island")
+    """Rows with ``run``: how many failures in a row end at each, 0 after a success; ``order`` is a number or a time, and a key may hold all rows."""
+    return chunks.runs(log, [by], [order], failed)
 
 
 def trailing_run(log: DataFrame, by: str, order: str, failed: Column, ignored: Column) -> DataFrame:

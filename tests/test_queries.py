@@ -1,7 +1,7 @@
 import pytest
 from compare import duck, spark_rows
 
-from pagemill.plans import log_queries, page_queries, registry, site_queries, state_queries, url_queries  # noqa: F401
+from pagemill.plans import log_queries, page_queries, registry, scale_queries, site_queries, state_queries, url_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
