@@ -25,7 +25,9 @@ def chunked(rows: DataFrame, by: list[str], place: Column, least: int = LEAST) -
     n_chunks = max(2, min(CHUNKS, tasks * 2))
     rows = rows.withColumn("_place", place.cast("double"))
     counts = rows.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]).agg(F.count("*").alias("_n"), F.percentile_approx("_place", [i / n_chunks for i in range(1, n_chunks)], 10_000).alias("_cuts"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
+    total = rows.count()
+    if total <= least:
+        return rows.withColumn("_chunk", F.lit(0).alias("_chunk", metadata={"one": True})).drop("_place")
     large = counts.where(F.col("_n") > max(least, SHARE * total // tasks if tasks > SHARE else least))
     same = F.lit(True)
     for i, c in enumerate(by):
@@ -48,10 +50,12 @@ def _beside(rows: DataFrame, by: list[str], table: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, by: list[str], order: list, name: str = "n", place: Column | None = None, least: int = LEAST) -> DataFrame:
     """``rows`` with ``name``: their number from 1 inside their key, along the order."""
     cut = chunked(rows, by, _place(order, place), least)
+    inside = F.row_number().over(Window.partitionBy(*by, "_chunk").orderBy(*order)).cast("long")
+    if cut.schema["_chunk"].metadata.get("one"):
+        return cut.withColumn(name, inside).drop("_chunk")
     sizes = cut.groupBy(*by, "_chunk").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("_before > 0").drop("_size")
-    inside = F.row_number().over(Window.partitionBy(*by, "_chunk").orderBy(*order))
-    return _beside(cut.withColumn(name, inside.cast("long")), by, before).withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before", "_chunk")
+    return _beside(cut.withColumn(name, inside), by, before).withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before", "_chunk")
 
 
 def first(rows: DataFrame, by: list[str], order: list, most: int, place: Column | None = None, least: int = LEAST) -> DataFrame:

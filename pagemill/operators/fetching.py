@@ -37,3 +37,14 @@ def outcomes(log: DataFrame, key: str = "url", order: str = "seq", most: int = 3
 def again(outcome: DataFrame) -> DataFrame:
     """The keys to be fetched again in the next round."""
     return outcome.where("outcome = 'pending'")
+
+
+def due(log: DataFrame, most: int = 3, backoff: float = 30.0, key: str = "url") -> DataFrame:
+    """(key, attempt, not_before): what must be fetched again, and when at the earliest.
+
+    ``log``: key, attempt, status, error, started (seconds). A key's last attempt decides; one that may
+    be repeated is due ``backoff`` seconds after it began, twice as long after each further one.
+    """
+    last = log.groupBy(key).agg(F.max_by(F.struct("attempt", "status", "error", "started"), "attempt").alias("l"))
+    again_ = (F.col("l.attempt") < most) & (F.coalesce(F.col("l.status"), F.lit(0)) != 200) & (retryable(F.col("l.status"), F.col("l.error")) | F.col("l.status").eqNullSafe(F.lit(429)))
+    return last.where(again_).select(key, (F.col("l.attempt") + 1).alias("attempt"), (F.col("l.started") + backoff * F.pow(F.lit(2.0), F.col("l.attempt") - 1)).alias("not_before"))

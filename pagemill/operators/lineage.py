@@ -1,16 +1,14 @@
-"""Cutting the lineage of a frame by a checkpoint in the folder that all executors share."""
+"""Cutting the lineage of a frame by a table in the folder that all executors share."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from pagemill.sources.places import shared
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder and read back.
 
-    The folder is ``spark.checkpoint.dir``; only where the session names none (tests, one machine) a local one is set.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint()
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written below the session's checkpoint folder and read back: computed once, and safe from lost executors."""
+    path = shared(df.sparkSession, "cut")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
+from pagemill.operators import chunks
 from pagemill.operators.lineage import cut
 
 
@@ -82,3 +83,44 @@ def crawl(seeds: DataFrame, pages: DataFrame, most: int = 4, per_page: int | Non
             break
         reached = reached.unionByName(frontier)
     return reached
+
+
+def budgeted(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, budget: int, most: int = 4, per_page: int | None = None, per_site: int | None = None, queue: int | None = None) -> DataFrame:
+    """(node, site, level, number): the first ``budget`` nodes that a breadth-first crawl takes, numbered in its order.
+
+    ``seeds``: node, seq (long). ``edges``: src, pos (long, the place of the link on its page), dst.
+    ``nodes``: node, site; links to others lead nowhere. Of a level's nodes those of the parent with
+    the smallest number come first, of one parent those of the smallest place. ``per_page`` takes the
+    first links of a page, ``per_site`` the first nodes of a site, ``queue`` the first nodes of a level
+    after the limit by site. Numbers come from histograms of the order and sums over their parts
+    (``chunks.numbered``): no level is sorted in one task, and exactly ``budget`` nodes are taken
+    where there are as many. Only counts come to the driver.
+    """
+    one = ["_all"]
+    if per_page is not None:
+        edges = cut(chunks.first(edges, ["src"], ["pos"], per_page))
+    reached, total = None, 0
+    found = seeds.groupBy("node").agg(F.min(F.struct(F.col("seq").alias("parent"), F.lit(0).cast("long").alias("pos"))).alias("at"))
+    for level in range(most + 1):
+        if reached is not None:
+            frontier = reached.where(F.col("level") == level - 1).select("node", F.col("number").alias("parent"))
+            out = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node"), F.struct("parent", "pos").alias("at"))
+            found = out.groupBy("node").agg(F.min("at").alias("at")).join(reached.select("node"), "node", "left_anti")
+        rows = found.join(nodes.select("node", "site").distinct(), "node").select("node", "site", "at.parent", "at.pos", F.lit(0).alias("_all"))
+        rows = cut(rows)
+        # Never falls along (parent, pos), and splits even the links of one page.
+        place = F.col("parent").cast("double") + F.greatest("pos", F.lit(0)) / (F.greatest("pos", F.lit(0)) + (1 << 20))
+        if per_site is not None:
+            rows = chunks.numbered(rows, ["site"], ["parent", "pos"], "_of_site", place)
+            if reached is not None:
+                had = reached.groupBy(F.col("site").alias("_site")).agg(F.count("*").alias("_had"))
+                rows = rows.join(had, F.col("site").eqNullSafe(F.col("_site")), "left").withColumn("_of_site", F.col("_of_site") + F.coalesce("_had", F.lit(0)))
+            rows = rows.where(F.col("_of_site") <= per_site)
+        most_now = budget - total if queue is None else min(queue, budget - total)
+        rows = chunks.numbered(rows, one, ["parent", "pos"], "number", place).where(F.col("number") <= most_now)
+        rows = cut(rows.select("node", "site", F.lit(level).alias("level"), (F.col("number") + total).alias("number")))
+        n = rows.count()
+        reached, total = rows if reached is None else reached.unionByName(rows), total + n
+        if n == 0 or total >= budget:
+            break
+    return reached

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import categories, dedup, evaluate
+from pagemill.operators import categories, dedup, evaluate, links
 from pagemill.plans.registry import register
-from pagemill.sources.readers import table
+from pagemill.sources import fetch_queue
+from pagemill.sources.places import shared
+from pagemill.sources.readers import pages, table
 
 
 @register(
@@ -20,11 +22,11 @@ def failure_runs_one_key(spark, sf_dir):
     return evaluate.failure_runs(log, "key", "event_id", F.col("event_type") == "error").select("event_id", "run")
 
 
-@register("file_names_one_path", "SELECT l_orderkey, l_linenumber, 'lines/' || l_returnflag || CASE WHEN nth > 0 THEN '_' || nth ELSE '' END || '.html' AS file_path FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1 AS nth FROM lineitem)")
+@register("file_names_one_path", "SELECT o_orderkey, 'orders/' || o_orderstatus || CASE WHEN nth > 0 THEN '_' || nth ELSE '' END || '.html' AS file_path FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS nth FROM orders)")
 def file_names_one_path(spark, sf_dir):
-    """All lines of a flag share one path."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    return categories.file_paths(rows, F.lit("lines"), F.col("l_returnflag"), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "file_path")
+    """All orders of a status share one path."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return categories.file_paths(rows, F.lit("orders"), F.col("o_orderstatus"), ["o_orderkey"]).select("o_orderkey", "file_path")
 
 
 @register("image_count_one_hash", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS seen, row_number() OVER (PARTITION BY event_type ORDER BY event_id) >= 5 AS repeated FROM events")
@@ -32,3 +34,61 @@ def image_count_one_hash(spark, sf_dir):
     """A few pictures, each on a large part of all pages."""
     rows = table(spark, sf_dir, "events").select("event_id", F.md5("event_type").alias("md5"))
     return dedup.running_image_count(rows, ["event_id"]).select("event_id", "seen", "repeated")
+
+
+def _crawl_sql(budget: int, most: int, per_page: int, per_site: int, seeds: str) -> str:
+    """The crawl level by level, a common table expression each."""
+    parts = [
+        "e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, min(a.l_orderkey) * 1048576 + b.l_partkey AS pos FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY 1, 2)",
+        f"f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY pos) AS nth FROM e) WHERE nth <= {per_page})",
+    ]
+    for k in range(most + 1):
+        found = f"SELECT p_partkey AS node, min((p_partkey, 0)) AS o FROM part WHERE {seeds} GROUP BY 1" if k == 0 else f"SELECT dst AS node, min((number, pos)) AS o FROM f JOIN r{k - 1} ON src = node AND level = {k - 1} WHERE dst NOT IN (SELECT node FROM r{k - 1}) GROUP BY 1"
+        had = "0" if k == 0 else f"(SELECT count(*) FROM r{k - 1} h WHERE h.site = p_brand)"
+        before = "0" if k == 0 else f"(SELECT count(*) FROM r{k - 1})"
+        old = "" if k == 0 else f"SELECT * FROM r{k - 1} UNION ALL "
+        parts.append(f"c{k} AS ({found}), s{k} AS (SELECT node, p_brand AS site, o, row_number() OVER (PARTITION BY p_brand ORDER BY o) + {had} AS of_site FROM c{k} JOIN part ON p_partkey = node)")
+        parts.append(f"r{k} AS ({old}SELECT node, site, {k} AS level, number FROM (SELECT *, row_number() OVER (ORDER BY o) + {before} AS number FROM s{k} WHERE of_site <= {per_site}) WHERE number <= {budget})")
+    return f"WITH {', '.join(parts)} SELECT node, site, level::INTEGER AS level, number::BIGINT AS number FROM r{most}"
+
+
+@register("budgeted_crawl", _crawl_sql(600, 4, 6, 30, "p_partkey <= 20"))
+def budgeted_crawl(spark, sf_dir):
+    """Parts lead to the parts of the orders that have them, those of the first order first; a brand is a site."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("src"))
+    pairs = lines.join(lines.withColumnRenamed("src", "dst"), "l_orderkey").where("src <> dst")
+    edges = pairs.groupBy("src", "dst").agg((F.min("l_orderkey") * 1048576 + F.col("dst")).alias("pos"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("site"))
+    return links.budgeted(part.where("node <= 20").select("node", F.col("node").alias("seq")), edges, part, 600, 4, 6, 30)
+
+
+def _urls(spark, sf_dir):
+    return pages(spark, sf_dir).groupBy("url").agg(F.min("page_id").alias("pos"))
+
+
+_HOST = "lower(regexp_extract(url, '^(?:[^:/?#]+:)?(?://([^/?#]*))?', 1))"
+
+
+@register(
+    "fetch_schedule",
+    f"""WITH u AS (SELECT url, min(page_id) AS pos FROM pages WHERE url IS NOT NULL GROUP BY url), n AS (SELECT url, {_HOST} AS host, row_number() OVER (PARTITION BY {_HOST} ORDER BY pos, url) AS n FROM u)
+    SELECT url, host, 1 AS attempt, n, (n - 1) * 2.5::DOUBLE AS at, floor((n - 1) * 2.5 / 10)::BIGINT AS round FROM n""",
+)
+def fetch_schedule(spark, sf_dir):
+    return fetch_queue.plan(_urls(spark, sf_dir), interval=2.5, round_seconds=10.0).drop("lane")
+
+
+@register(
+    "fetch_by_host",
+    """WITH u AS (SELECT DISTINCT url, length(url) % 5 AS k FROM pages WHERE url IS NOT NULL)
+    SELECT url, unnest(range(1, CASE k WHEN 0 THEN 4 ELSE 2 END))::INTEGER AS attempt, CASE k WHEN 0 THEN 503 WHEN 1 THEN 404 ELSE 200 END AS status, CASE WHEN k > 1 THEN length(url) + 7 END::INTEGER AS size FROM u""",
+)
+def fetch_by_host(spark, sf_dir):
+    """All attempts at the pages' URLs by a server that is overloaded for some and lacks others."""
+
+    def fetch(url):
+        k = len(url) % 5
+        return (None, 503) if k == 0 else (None, 404) if k == 1 else (f"<p>{url}</p>", 200)
+
+    log = fetch_queue.fetch_all(spark, _urls(spark, sf_dir), fetch, shared(spark, "fetch"), interval=0.001, round_seconds=30.0, lanes=16, backoff=0.05)
+    return log.select("url", "attempt", "status", F.char_length("html").alias("size"))

@@ -8,6 +8,7 @@ from pagemill.functions import rules
 from pagemill.functions import values as V
 from pagemill.operators import cache, dedup, evaluate, links
 from pagemill.plans.registry import register
+from pagemill.sources.places import shared
 from pagemill.sources.readers import table
 from pagemill.streaming import state
 
@@ -176,17 +177,10 @@ def _stream(spark, sf_dir):
     return spark.readStream.schema(state.EVENT).option("pathGlobFilter", "events*.parquet").parquet(f"{sf_dir}/events*.parquet")
 
 
-def _scratch(spark, name):
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{root.rstrip('/')}/pagemill-stream-{name}-{uuid.uuid4().hex}"
-
-
 @register("stream_dedup", "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def stream_dedup(spark, sf_dir):
     rows = state.distinct_keys(_stream(spark, sf_dir).select("user_id", "event_type", "ts"), ["user_id", "event_type"], delay="3650 days")
-    return state.drain(rows, _scratch(spark, "dedup")).groupBy("event_type").agg(F.count("*").alias("users"))
+    return state.drain(rows, shared(spark, "dedup")).groupBy("event_type").agg(F.count("*").alias("users"))
 
 
 @register(
@@ -195,10 +189,10 @@ def stream_dedup(spark, sf_dir):
     count_if(event_type = 'error' AND (ok IS NULL OR (epoch_us(ts), event_id) > ok)) >= 3 AS exhausted FROM events e JOIN m USING (user_id) GROUP BY e.user_id""",
 )
 def stream_retry_state(spark, sf_dir):
-    return state.drain(state.retry_state(_stream(spark, sf_dir)), _scratch(spark, "retry"), "update", ["user_id"])
+    return state.drain(state.retry_state(_stream(spark, sf_dir)), shared(spark, "retry"), "update", ["user_id"])
 
 
 @register("stream_window_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_window_counts(spark, sf_dir):
-    out = state.drain(state.counts(_stream(spark, sf_dir)), _scratch(spark, "windows"), "update", ["window_start", "event_type"])
+    out = state.drain(state.counts(_stream(spark, sf_dir)), shared(spark, "windows"), "update", ["window_start", "event_type"])
     return out.withColumn("total", F.round("total", 4))
