@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from pagemill.operators import categories, dedup, evaluate, links
 from pagemill.plans.registry import register
-from pagemill.sources import fetch_queue
+from pagemill.sources import fetch_queue, file_sink, readers
 from pagemill.sources.places import shared
 from pagemill.sources.readers import pages, table
+from pagemill.streaming import keyed, state
 
 
 @register(
@@ -92,3 +93,50 @@ def fetch_by_host(spark, sf_dir):
 
     log = fetch_queue.fetch_all(spark, _urls(spark, sf_dir), fetch, shared(spark, "fetch"), interval=0.001, round_seconds=30.0, lanes=16, backoff=0.05)
     return log.select("url", "attempt", "status", F.char_length("html").alias("size"))
+
+
+@register("files_written_once", "SELECT page_id, octet_length(encode(html)) AS bytes, sha256(html) AS sha256, md5(html) AS md5_read FROM pages WHERE html <> ''")
+def files_written_once(spark, sf_dir):
+    """Every page as a file, the job run twice, the files read back."""
+    folder = shared(spark, "files")
+    rows = pages(spark, sf_dir).where("html <> ''").select(F.concat_ws("/", (F.col("page_id") % 10).cast("string"), F.concat(F.col("page_id").cast("string"), F.lit(".html"))).alias("file_path"), "html")
+    file_sink.write_files(rows, folder, "pages")
+    said = file_sink.write_files(rows, folder, "pages").select(F.regexp_extract("path", r"(\d+)\.html$", 1).cast("long").alias("page_id"), "bytes", "sha256")
+    read = readers.saved_pages(spark, folder).select(F.col("title").cast("long").alias("page_id"), F.md5("html").alias("md5_read"))
+    return said.join(read, "page_id")
+
+
+def _events(spark, sf_dir):
+    """The events table as a stream of one file."""
+    return spark.readStream.schema(state.EVENT).option("pathGlobFilter", "events*.parquet").parquet(f"{sf_dir}/events*.parquet")
+
+
+@register(
+    "stream_retry_due",
+    """WITH m AS (SELECT user_id, max(CASE WHEN event_type <> 'error' THEN (epoch_us(ts), event_id) END) AS ok FROM events GROUP BY user_id),
+    f AS (SELECT e.user_id, count(*) AS failures, max(ts) AS last FROM events e JOIN m USING (user_id) WHERE event_type = 'error' AND (ok IS NULL OR (epoch_us(ts), event_id) > ok) GROUP BY e.user_id),
+    d AS (SELECT user_id, failures, epoch_us(last) + 3600000000 * (1 << (failures - 1)) AS due FROM f WHERE failures < 3)
+    SELECT user_id, failures, due FROM d WHERE due <= (SELECT epoch_us(max(ts)) - 3600000000 FROM events)""",
+)
+def stream_retry_due(spark, sf_dir):
+    """Retries that are due an hour before the last event, an hour after a first and two after a second failure."""
+    told = keyed.retries(_events(spark, sf_dir), "user_id", "event_id", F.col("event_type") == "error", 3, 3600.0).where("kind = 'due'")
+    out = state.drain(told, shared(spark, "due"), "update")
+    return out.select(F.col("key").alias("user_id"), "failures", F.unix_micros("due").alias("due"))
+
+
+@register(
+    "stream_best_path",
+    """WITH e AS (SELECT user_id, ts, event_id, event_type AS parent, event_id % 97 = 0 AS done, list_transform(range(floor(value)::BIGINT % 4), lambda i: event_type || i) AS path FROM events),
+    t AS (SELECT user_id, min(ts) AS t FROM e WHERE done GROUP BY user_id),
+    l AS (SELECT user_id, parent, arg_max(path, (ts, event_id)) AS path FROM e LEFT JOIN t USING (user_id) WHERE NOT done AND (t IS NULL OR ts <= t) GROUP BY user_id, parent),
+    b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY len(path) DESC, path, parent) AS nth FROM l WHERE len(path) > 0)
+    SELECT user_id, array_to_string(path, '/') AS path, parent, t IS NOT NULL AS final FROM (SELECT * FROM b WHERE nth = 1) FULL JOIN t USING (user_id)""",
+)
+def stream_best_path(spark, sf_dir):
+    """What event types offer as paths of users, up to the first event whose number 97 divides."""
+    e = _events(spark, sf_dir)
+    path = F.when(F.floor("value") % 4 > 0, F.transform(F.sequence(F.lit(0), (F.floor("value") % 4 - 1).cast("int")), lambda i: F.concat("event_type", i.cast("string"))))
+    rows = e.select("user_id", "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("parent"), path.alias("path"), (F.col("event_id") % 97 == 0).alias("done"))
+    out = state.drain(keyed.paths(rows, "user_id"), shared(spark, "paths"), "update", ["key"])
+    return out.where("path is not null or final").select(F.col("key").alias("user_id"), F.array_join("path", "/").alias("path"), "parent", "final")

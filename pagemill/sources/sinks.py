@@ -1,4 +1,4 @@
-"""Sinks: two CSV layouts, HTML files, JDBC, and the batch writer that uses them.
+"""Sinks: two CSV layouts, HTML documents, partitioned text, JDBC. ``file_sink`` writes a file a row.
 
 Missing values are empty strings in CSV. Ids are derived from the row's URL, so a retried task
 writes the same row; nothing depends on the clock unless a time is passed.
@@ -57,33 +57,6 @@ def html_document(body: Column, title: Column) -> Column:
     return F.when(whole, body).otherwise(F.concat(F.lit('<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>'), title, F.lit("</title></head>\n<body>\n"), body, F.lit("\n</body></html>")))
 
 
-def write_files(rows: DataFrame, folder: str, path: str = "file_path", text: str = "html") -> DataFrame:
-    """Writes each row's text below ``folder``, which every executor must have mounted; (path, bytes) of what was written.
-
-    Files are written with the operating system's calls when the returned frame is run, and again if
-    it is run again: existing ones are overwritten, so the outcome is the same. On a file system that
-    is not mounted use ``write_partitioned``.
-    """
-    import os
-
-    def put(batches):
-        import pandas as pd
-
-        for b in batches:
-            size = []
-            for p, t in zip(b[path], b[text]):
-                full = os.path.join(folder, p)
-                os.makedirs(os.path.dirname(full), exist_ok=True)
-                data = (t or "").encode()
-                with open(full + ".part", "wb") as f:
-                    f.write(data)
-                os.replace(full + ".part", full)
-                size.append(len(data))
-            yield pd.DataFrame({"path": b[path], "bytes": size})
-
-    return rows.select(path, text).mapInPandas(put, "path string, bytes long")
-
-
 def write_partitioned(rows: DataFrame, folder: str, levels: list[str]) -> None:
     """Rows as text files partitioned by levels, on any file system Spark writes to."""
     rows.select("html", *levels).write.mode("append").partitionBy(*levels).text(folder, lineSep="\0")

@@ -6,12 +6,13 @@ watermarks: keys older than the delay are forgotten.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.streaming import keyed
+
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -32,33 +33,20 @@ def counts(rows: DataFrame, window: str = "1 hour", delay: str = "1 hour") -> Da
     return rows.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
-def retry_state(rows: DataFrame, most: int = 3) -> DataFrame:
+def retry_state(rows: DataFrame, most: int = 3, backoff: float = 60.0, delay: str = "1 hour") -> DataFrame:
     """(user_id, failures, exhausted) after each batch: failures counted per key, a success clears them.
 
-    On batch frames the same fold runs over all rows of a key in order of time.
+    On batch frames it is two aggregates; a stream keeps keyed state (``keyed.retries``).
     """
-
-    def count(start: int, rows: pd.DataFrame) -> int:
-        ok = rows["event_type"].ne("error").to_numpy()
-        after = len(ok) - 1 - ok[::-1].argmax() if ok.any() else -1
-        return (0 if ok.any() else start) + int((~ok[after + 1 :]).sum())
-
-    schema = "user_id long, failures long, exhausted boolean"
-    if not rows.isStreaming:
-
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            n = count(0, pdf.sort_values(["ts", "event_id"]))
-            return pd.DataFrame({"user_id": pdf["user_id"].iloc[:1], "failures": [n], "exhausted": [n >= most]})
-
-        return rows.select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandas(whole, schema)
-
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        n = count(n, pd.concat(list(frames)).sort_values(["ts", "event_id"]))
-        state.update((n,))
-        yield pd.DataFrame({"user_id": [key[0]], "failures": [n], "exhausted": [n >= most]})
-
-    return rows.select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandasWithState(step, schema, "failures long", "update", "NoTimeout")
+    failed = F.col("event_type") == "error"
+    if rows.isStreaming:
+        told = keyed.retries(rows, "user_id", "event_id", failed, most, backoff, delay=delay).where("kind = 'counted'")
+        return told.select(F.col("key").alias("user_id"), "failures", "exhausted")
+    at = F.struct("ts", "event_id")
+    last = rows.groupBy(F.col("user_id").alias("_user")).agg(F.max(F.when(~failed, at)).alias("_ok"))
+    after = failed & (F.col("_ok").isNull() | (at > F.col("_ok")))
+    got = rows.join(last, F.col("user_id").eqNullSafe(F.col("_user"))).groupBy("user_id").agg(F.count_if(after).alias("failures"))
+    return got.withColumn("exhausted", F.col("failures") >= most)
 
 
 def drain(stream: DataFrame, checkpoint: str, mode: str = "append", key: list[str] | None = None, progress: Callable[[int, dict], None] | None = None, stop: Callable[[], bool] | None = None) -> DataFrame:

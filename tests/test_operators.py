@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from pagemill.operators import cache, categories, dedup, evaluate, links
-from pagemill.sources import readers, sinks
+from pagemill.sources import file_sink, readers, sinks
 from pagemill.streaming import state
 
 
@@ -68,7 +68,7 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "g.json").write_text('{"test_cases": [{"id": "1", "url": "u", "expected_data": {"title": "t", "min_images": 2}}]}')
     assert readers.golden(spark, str(tmp_path / "g.json")).first()["expected_images"] == 2
     rows = spark.createDataFrame([("a/b.html", 'x "q"\nz', "t"), ("c.html", "y", None)], "file_path string, html string, title string")
-    assert sinks.write_files(rows, str(tmp_path / "out")).count() == 2
+    assert file_sink.write_files(rows, str(tmp_path / "out"), "job").count() == 2
     back = {r["title"]: (r["nav_path"], r["html"]) for r in readers.saved_pages(spark, str(tmp_path / "out")).collect()}
     assert back["b"] == (["a"], 'x "q"\nz') and back["c"][0] == []
     sinks.write_csv(rows, str(tmp_path / "csv"))
