@@ -38,7 +38,7 @@ def chunked(rows: DataFrame, by: list[str], place: Column, least: int = LEAST) -
     return joined.withColumn("_chunk", F.when(F.col("_cuts").isNull() | F.col("_place").isNull(), 0).otherwise(below)).drop("_place", "_cuts", *[f"_k{i}" for i in range(len(by))])
 
 
-def _beside(rows: DataFrame, by: list[str], table: DataFrame) -> DataFrame:
+def beside(rows: DataFrame, by: list[str], table: DataFrame) -> DataFrame:
     """``rows`` with the columns of a small table with a row a (key, chunk)."""
     same = F.col("_chunk") == F.col("_c")
     for i, c in enumerate(by):
@@ -55,7 +55,7 @@ def numbered(rows: DataFrame, by: list[str], order: list, name: str = "n", place
         return cut.withColumn(name, inside).drop("_chunk")
     sizes = cut.groupBy(*by, "_chunk").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("_before > 0").drop("_size")
-    return _beside(cut.withColumn(name, inside), by, before).withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before", "_chunk")
+    return beside(cut.withColumn(name, inside), by, before).withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before", "_chunk")
 
 
 def first(rows: DataFrame, by: list[str], order: list, most: int, place: Column | None = None, least: int = LEAST) -> DataFrame:
@@ -86,7 +86,7 @@ def runs(rows: DataFrame, by: list[str], order: list, failed: Column, name: str
     tails = ends.withColumn("_total", F.sum(F.when(F.col("_whole"), F.col("_size")).otherwise(0)).over(Window.partitionBy(*by).orderBy("_chunk")))
     broken = tails.withColumn("_at", F.max(F.when(~F.col("_whole"), F.struct("_chunk", "_tail", "_total"))).over(before)).withColumn("_all", F.lag("_total", 1, 0).over(Window.partitionBy(*by).orderBy("_chunk")))
     carried = broken.withColumn("_carry", F.coalesce(F.col("_at._tail"), F.lit(0)) + F.col("_all") - F.coalesce(F.col("_at._total"), F.lit(0))).where("_carry > 0").select(*by, "_chunk", "_carry")
-    out = _beside(inside, by, carried)
+    out = beside(inside, by, carried)
     return out.withColumn(name, F.col(name) + F.when(F.col("_broken"), 0).otherwise(F.coalesce("_carry", F.lit(0)))).drop("_failed", "_so_far", "_broken", "_carry", "_chunk")
 
 

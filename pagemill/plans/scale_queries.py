@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import categories, dedup, evaluate, links
+from pagemill.functions import tables, urls
+from pagemill.operators import cache, categories, dedup, dictionary, evaluate, intervals, links, store
+from pagemill.plans.page_queries import _LINKS
 from pagemill.plans.registry import register
-from pagemill.sources import fetch_queue, file_sink, readers
+from pagemill.plans.state_queries import _FOLD, _writes
+from pagemill.sources import fetch_queue, file_sink, readers, sitemaps
 from pagemill.sources.places import shared
 from pagemill.sources.readers import pages, table
 from pagemill.streaming import keyed, state
@@ -115,14 +118,14 @@ def _events(spark, sf_dir):
     "stream_retry_due",
     """WITH m AS (SELECT user_id, max(CASE WHEN event_type <> 'error' THEN (epoch_us(ts), event_id) END) AS ok FROM events GROUP BY user_id),
     f AS (SELECT e.user_id, count(*) AS failures, max(ts) AS last FROM events e JOIN m USING (user_id) WHERE event_type = 'error' AND (ok IS NULL OR (epoch_us(ts), event_id) > ok) GROUP BY e.user_id),
-    d AS (SELECT user_id, failures, epoch_us(last) + 3600000000 * (1 << (failures - 1)) AS due FROM f WHERE failures < 3)
-    SELECT user_id, failures, due FROM d WHERE due <= (SELECT epoch_us(max(ts)) - 3600000000 FROM events)""",
+    d AS (SELECT user_id, failures, last + INTERVAL 1 HOUR * (1 << (failures - 1)) AS due FROM f WHERE failures < 3)
+    SELECT user_id, failures, due FROM d WHERE due <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
 )
 def stream_retry_due(spark, sf_dir):
     """Retries that are due an hour before the last event, an hour after a first and two after a second failure."""
     told = keyed.retries(_events(spark, sf_dir), "user_id", "event_id", F.col("event_type") == "error", 3, 3600.0).where("kind = 'due'")
     out = state.drain(told, shared(spark, "due"), "update")
-    return out.select(F.col("key").alias("user_id"), "failures", F.unix_micros("due").alias("due"))
+    return out.select(F.col("key").alias("user_id"), "failures", F.col("due").cast("timestamp_ntz").alias("due"))
 
 
 @register(
@@ -140,3 +143,85 @@ def stream_best_path(spark, sf_dir):
     rows = e.select("user_id", "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("parent"), path.alias("path"), (F.col("event_id") % 97 == 0).alias("done"))
     out = state.drain(keyed.paths(rows, "user_id"), shared(spark, "paths"), "update", ["key"])
     return out.where("path is not null or final").select(F.col("key").alias("user_id"), F.array_join("path", "/").alias("path"), "parent", "final")
+
+
+def _steps(spark, sf_dir):
+    """The cache after a base load and three merges of later writes, each into the buckets that it touches."""
+    writes = _writes(spark, sf_dir)
+    stored = writes.drop("seq").schema
+    kept = store.KeyedTable(spark, shared(spark, "cache"), stored, "url", cache.fold, 32)
+    most = writes.agg(F.max("seq")).first()[0]
+    said = [kept.merge(writes.where(F.col("seq") < most // 2))]
+    for i in range(3):
+        low, high = most // 2 + i * (most // 6), most // 2 + (i + 1) * (most // 6) if i < 2 else most + 1
+        said.append(kept.merge(writes.where(F.col("seq").between(low, high - 1))))
+    return kept, said
+
+
+@register("cache_incremental_merge", f"WITH {_FOLD} SELECT * FROM c")
+def cache_incremental_merge(spark, sf_dir):
+    return _steps(spark, sf_dir)[0].read()
+
+
+_SPANS = "SELECT event_id, event_type, epoch_us(ts) AS t, epoch_us(ts) + floor(value * 60000000)::BIGINT AS u FROM events"
+
+
+@register("interval_containment", f"WITH i AS ({_SPANS}) SELECT event_id, coalesce(max(u) OVER (PARTITION BY event_type ORDER BY t, u DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= u, false) AS contained FROM i")
+def interval_containment(spark, sf_dir):
+    """Events as stretches of as many minutes as their value; a few kinds have all rows."""
+    t = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', cast(ts AS timestamp_ntz))")
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", t.alias("t"), (t + F.floor(F.col("value") * 60_000_000)).alias("u"))
+    return intervals.swept(rows, ["event_type"], "t", "u", ["event_id"]).select("event_id", "contained")
+
+
+_WORDS = "SELECT w AS pattern, min(item_id) AS ord FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) > 3 GROUP BY w"
+
+
+@register("dictionary_first_match", f"WITH p AS ({_WORDS}), m AS (SELECT doc_id, min({{'o': ord, 'p': pattern}}) AS b FROM documents JOIN p ON contains(text, pattern) GROUP BY doc_id) SELECT doc_id, b.p AS match FROM documents LEFT JOIN m USING (doc_id)")
+def dictionary_first_match(spark, sf_dir):
+    """The first of all words of the benchmark that stands anywhere in a document."""
+    words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.explode(F.split("text", " ")).alias("pattern")).where(F.char_length("pattern") > 3)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dictionary.first_match(rows, F.col("text"), words, "pattern", "ord").select("doc_id", "match")
+
+
+_SITES = f"SELECT url, page_id, {_HOST} AS host FROM pages WHERE url IS NOT NULL AND page_id = (SELECT min(p.page_id) FROM pages p WHERE p.url = pages.url)"
+
+
+@register(
+    "sitemap_index",
+    f"""WITH s AS ({_SITES}), h AS (SELECT host, min(page_id) AS first FROM s GROUP BY host),
+    r AS (SELECT 'sitemap://index' AS sitemap, 0 AS level, row_number() OVER (ORDER BY host) - 1 AS pos, CASE WHEN first % 5 = 0 THEN 'missing' ELSE 'sitemap' END AS kind, 'sitemap://' || host AS url, NULL AS lastmod FROM h
+    UNION ALL SELECT 'sitemap://' || host, 1, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1, 'page', url, CASE WHEN first % 2 = 0 THEN '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') END FROM s JOIN h USING (host) WHERE first % 5 <> 0)
+    SELECT sitemap, level::INTEGER AS level, pos::INTEGER AS pos, kind, url, lastmod FROM r""",
+)
+def sitemap_index(spark, sf_dir):
+    """An index of a sitemap a host: half are XML in gzip, half lines of text, some are missing."""
+    p = _urls(spark, sf_dir).where("url is not null").select("url", F.col("pos").alias("page_id"), F.lower(urls.authority(F.col("url"))).alias("host"))
+    day = F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")
+    entry = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc><lastmod>2024-01-"), day, F.lit("</lastmod></url>"))
+    hosts = p.groupBy("host").agg(F.min("page_id").alias("first"), F.array_sort(F.collect_list(F.struct("page_id", entry.alias("entry"), "url"))).alias("all"))
+    xml = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join("all.entry", ""), F.lit("</urlset>"))
+    files = hosts.where("first % 5 <> 0").select(F.concat(F.lit("sitemap://"), "host").alias("url"), F.when(F.col("first") % 2 == 0, xml).otherwise(F.array_join("all.url", "\n")).cast("binary").alias("content"))
+
+    def packed(batches):
+        import gzip
+
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([gzip.compress(d) if d.startswith(b"<") else d for d in b.column(1).to_pylist()], pa.binary())], ["url", "content"])
+
+    listed = hosts.groupBy().agg(F.array_sort(F.collect_list("host")).alias("hosts")).select(
+        F.lit("sitemap://index").alias("url"),
+        F.concat(F.lit("<sm:sitemapindex xmlns:sm='http://www.sitemaps.org/schemas/sitemap/0.9'>"), F.array_join(F.transform("hosts", lambda h: F.concat(F.lit("<sm:sitemap><sm:loc> sitemap://"), h, F.lit(" </sm:loc></sm:sitemap>"))), ""), F.lit("</sm:sitemapindex>")).cast("binary").alias("content"),
+    )
+    roots = spark.range(1).select(F.lit("sitemap://index").alias("url"))
+    return sitemaps.expanded(files.mapInArrow(packed, "url string, content binary").unionByName(listed), roots).drop("priority")
+
+
+@register("links_by_sql", f"{_LINKS} SELECT page_id, pos, link, text FROM l")
+def links_by_sql(spark, sf_dir):
+    """Pages to links by one statement over table functions."""
+    tables.register(spark)
+    return spark.sql("SELECT p.page_id, l.pos, l.url AS link, l.text FROM parquet.`{}` p, LATERAL page_links(p.html, p.url) l".format(f"{sf_dir}/pages.parquet"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-RETRY = "key long, kind string, failures long, exhausted boolean, due timestamp"
+RETRY = "key long, kind string, failures long, exhausted boolean, due long"
 PATH = "key long, path array<string>, parent string, final boolean"
 
 
@@ -32,10 +32,6 @@ def in_rocksdb(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _micros(column: pd.Series) -> np.ndarray:
-    return column.to_numpy("datetime64[us]").astype(np.int64)
-
-
 class _Retries(StatefulProcessor):
     def __init__(self, most: int, backoff: float):
         self.most, self.backoff = most, int(backoff * 1e6)
@@ -45,7 +41,7 @@ class _Retries(StatefulProcessor):
         self.state = handle.getValueState("retries", "ok long, ok_id long, settled long, last long, at array<long>, ids array<long>")
 
     def _row(self, key, kind, n, due=None):
-        return pd.DataFrame({"key": [key[0]], "kind": [kind], "failures": [n], "exhausted": [n >= self.most], "due": [pd.Timestamp(due, unit="us") if due is not None else pd.NaT]})
+        return pd.DataFrame({"key": [key[0]], "kind": [kind], "failures": [n], "exhausted": [n >= self.most], "due": pd.array([due], "Int64")})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         ok, settled, last, at, ids = (-1 << 63, -1 << 63), 0, 0, np.empty(0, np.int64), np.empty(0, np.int64)
@@ -58,7 +54,7 @@ class _Retries(StatefulProcessor):
                 yield self._row(key, "due", n, last + self.backoff * (1 << (n - 1)))
             self.handle.deleteTimer(t)
         for frame in rows:
-            when, number, failed = _micros(frame["ts"]), frame["seq"].to_numpy(np.int64), frame["failed"].to_numpy(bool)
+            when, number, failed = frame["at"].to_numpy(np.int64), frame["seq"].to_numpy(np.int64), frame["failed"].to_numpy(bool)
             if (~failed).any():
                 w, s = when[~failed], number[~failed]
                 top = int(np.lexsort((s, w))[-1])
@@ -92,14 +88,15 @@ class _Retries(StatefulProcessor):
 
 
 def retries(rows: DataFrame, key: str, seq: str, failed, most: int = 3, backoff: float = 60.0, time: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """``RETRY``: after each batch a ``counted`` row a key it touched, with the failures since the last success; a ``due`` row once the watermark passes a retry's time.
+    """``RETRY``, ``due`` as a time: after each batch a ``counted`` row a key it touched, with the failures since the last success; a ``due`` row once the watermark passes a retry's time.
 
     A retry after failure n is due ``backoff`` * 2^(n - 1) seconds after that failure, as long as n is below
     ``most``. ``key`` and ``seq`` (which breaks ties of time) are longs.
     """
     in_rocksdb(rows.sparkSession)
-    slim = rows.withWatermark(time, delay).select(F.col(key).cast("long").alias("key"), F.col(time).alias("ts"), F.col(seq).cast("long").alias("seq"), F.coalesce(failed, F.lit(False)).alias("failed"))
-    return slim.groupBy("key").transformWithStateInPandas(_Retries(most, backoff), RETRY, "update", "eventtime")
+    slim = rows.withWatermark(time, delay).select(F.col(key).cast("long").alias("key"), F.col(time).alias("ts"), F.unix_micros(time).alias("at"), F.col(seq).cast("long").alias("seq"), F.coalesce(failed, F.lit(False)).alias("failed"))
+    told = slim.groupBy("key").transformWithStateInPandas(_Retries(most, backoff), RETRY, "update", "eventtime")
+    return told.withColumn("due", F.timestamp_micros("due"))
 
 
 class _Paths(StatefulProcessor):
@@ -114,7 +111,7 @@ class _Paths(StatefulProcessor):
         for frame in rows:
             if closed:
                 continue
-            for at, seq, who, said, ends in zip(_micros(frame["ts"]).tolist(), frame["seq"].tolist(), frame["parent"], frame["path"], frame["done"]):
+            for at, seq, who, said, ends in zip(frame["at"].tolist(), frame["seq"].tolist(), frame["parent"], frame["path"], frame["done"]):
                 if ends:
                     done = at if done is None else min(done, at)
                 else:
@@ -168,5 +165,5 @@ def paths(rows: DataFrame, key: str, time: str = "ts", delay: str = "1 hour") ->
     is past a page's end its offers are deleted and further rows of it are ignored.
     """
     in_rocksdb(rows.sparkSession)
-    slim = rows.withWatermark(time, delay).select(F.col(key).cast("long").alias("key"), F.col(time).alias("ts"), F.col("seq").cast("long").alias("seq"), F.coalesce("parent", F.lit("")).alias("parent"), "path", F.coalesce("done", F.lit(False)).alias("done"))
+    slim = rows.withWatermark(time, delay).select(F.col(key).cast("long").alias("key"), F.col(time).alias("ts"), F.unix_micros(time).alias("at"), F.col("seq").cast("long").alias("seq"), F.coalesce("parent", F.lit("")).alias("parent"), "path", F.coalesce("done", F.lit(False)).alias("done"))
     return slim.groupBy("key").transformWithStateInPandas(_Paths(), PATH, "update", "eventtime")
