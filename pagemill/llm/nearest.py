@@ -269,6 +269,16 @@ def plan(rows: DataFrame, dim: int, total: int, k: int, sample: int, part: int,
     return Tree(top, below, width), got["id"].to_numpy().astype(np.int64), x
 
 
+def _first(i: np.ndarray, j: np.ndarray, q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of queries and candidates the ``k`` of each query with the largest exact score, of ties those with the smallest ids."""
+    score = dot(q[i], c[j]) if len(set(i.tolist())) != 1 else dot(q[i[:1]], c[j])
+    order = np.lexsort((ids[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(i) != 0])) if len(i) else np.empty(0, np.int64)
+    nth = np.arange(len(i)) - np.repeat(begins, np.diff(np.concatenate([begins, [len(i)]])))
+    return i[nth < k], j[nth < k], score[nth < k]
+
+
 def _search(rows: DataFrame, is_query: Column, k: int, dim: int, total: int, sample: int, part: int) -> DataFrame:
     """``search`` among vectors of one length."""
     import pandas as pd
@@ -321,8 +331,14 @@ def _search(rows: DataFrame, is_query: Column, k: int, dim: int, total: int, sam
         slack = 1e-9 * (1 + np.abs(q).sum(1) * np.abs(c).max())
         if len(ids) > k:
             floor = np.maximum(floor, -np.partition(-near, k - 1, 1)[:, k - 1])
-        i, j = np.nonzero((near >= (floor - slack)[:, None]) & (near > -np.inf))
-        return pd.DataFrame({"query_id": qids[i], "vec_id": ids[j], "score": dot(q[i], c[j])})
+        hit = (near >= (floor - slack)[:, None]) & (near > -np.inf)
+        crowded = hit.sum(1) > 4 * k
+        out = [_first(*np.nonzero(hit & ~crowded[:, None]), q, c, ids, k)]
+        for row in np.flatnonzero(crowded):  # very many ties: one query at a time bounds memory
+            j = np.flatnonzero(hit[row])
+            out.append(_first(np.full(len(j), row), j, q, c, ids, k))
+        i, j, score = map(np.concatenate, zip(*out))
+        return pd.DataFrame({"query_id": qids[i], "vec_id": ids[j], "score": score})
 
     key = ["part", "block", "qgroup"]
     found = cand.groupBy(*key).cogroup(asks.groupBy(*key)).applyInPandas(reranked, "query_id long, vec_id long, score double")

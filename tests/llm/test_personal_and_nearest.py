@@ -189,3 +189,27 @@ def test_disclosing_terms_equal_brute_force(spark):
     got = {r["doc_id"]: [(t["start"], t["end"]) for t in r["terms"]] for r in personal.find(df, [F.col("doc_id")]).collect()}
     want = disclosed_brute(rows)
     assert got == want and sum(map(len, want.values())) > 30
+
+
+def test_many_ties_give_k_a_query_and_block(spark):
+    """4000 equal vectors and some others: ties go to the smallest ids, and no block puts out more than k for a query."""
+    v = [1.0, 2.0, -1.0]
+    rows = [(i, v if i % 5 else [float(i % 7), 0.5, 0.25]) for i in range(5000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.search(df, F.col("id") % 500 == 1).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    same = [i for i in range(5000) if i % 5]
+    assert sorted(by) == list(range(1, 5000, 500))
+    for q, found in by.items():
+        want = [i for i in same if i != q][:20]
+        assert [f[1] for f in sorted(found)] == want and {f[2] for f in found} == {6.0}
+    rng = np.random.default_rng(2)
+    c, q = np.concatenate([np.ones((400, 2)), rng.normal(size=(200, 2))]), rng.normal(size=(3, 2))
+    ids = rng.permutation(600)
+    i, j = (a.ravel() for a in np.indices((3, 600)))
+    gi, gj, gs = nearest._first(i, j, q, c, ids, 5)
+    for row in range(3):
+        want = sorted((-float(s), int(n)) for s, n in zip(nearest.dot(q[row], c), ids))[:5]
+        assert [(-float(s), int(ids[n])) for n, s in zip(gj[gi == row], gs[gi == row])] == want
