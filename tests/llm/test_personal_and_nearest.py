@@ -194,7 +194,7 @@ def test_disclosing_terms_equal_brute_force(spark):
 def test_many_ties_give_k_a_query_and_block(spark):
     """4000 equal vectors and some others: ties go to the smallest ids, and no block puts out more than k for a query."""
     v = [1.0, 2.0, -1.0]
-    rows = [(i, v if i % 5 else [float(i % 7), 0.5, 0.25]) for i in range(5000)]
+    rows = [(i, v if i % 5 else [0.5 * (i % 7), 0.5, 0.25]) for i in range(5000)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = nearest.search(df, F.col("id") % 500 == 1).collect()
     by = {}
