@@ -6,12 +6,13 @@ type up to ``LARGEST``; small square icons and pictures that many pages repeat a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import rules
 from pagemill.functions import values as V
 from pagemill.functions.urls import any_of
+from pagemill.operators import chunks
 
 LARGEST, SMALL, REPEATS = 2_097_152, 30_000, 5
 
@@ -28,13 +29,13 @@ def usable(blobs: DataFrame) -> DataFrame:
 def references(parsed: DataFrame, blobs: DataFrame) -> DataFrame:
     """(page_id, pos, url, embed): the images of pages; the same bytes from the fifth time on are decoration.
 
-    Counting is per content hash in order of page and place; a hash that very many pages share is
-    one sort in one task, of (hash, page, place) alone. Images without bytes are dealt out by page.
+    Counting is per content hash in order of page and place, in chunks where very many pages share
+    one. Images without bytes are dealt out by page.
     """
     each = parsed.select("page_id", F.posexplode("images").alias("pos", "i")).select("page_id", "pos", F.col("i.url").alias("url"), F.col("i.alt").alias("alt"))
     hashed = each.join(blobs.select("url", F.md5("content").alias("md5")).dropDuplicates(["url"]), "url", "left")
-    by = Window.partitionBy("md5", F.when(F.col("md5").isNull(), F.col("page_id"))).orderBy("page_id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fresh = F.col("md5").isNull() | (F.count("*").over(by) < REPEATS)
+    hashed = chunks.numbered(hashed.withColumn("_page", F.when(F.col("md5").isNull(), F.col("page_id"))), ["md5", "_page"], ["page_id", "pos"], "_seen")
+    fresh = F.col("md5").isNull() | (F.col("_seen") < REPEATS)
     return hashed.withColumn("embed", fresh & rules.embeds(F.col("url"), F.col("alt"))).select("page_id", "pos", "url", "embed")
 
 

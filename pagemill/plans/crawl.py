@@ -64,8 +64,9 @@ def site(pages: DataFrame, seeds: DataFrame | None = None, most: int = 4, extrac
     plain = F.regexp_replace(rules.without_tags(F.col("structured")), r"\s+", "")
     early = F.coalesce(F.col("early"), F.when(F.col("is_list") & (F.col("level") >= 4), "skipped"), F.when((F.char_length(plain) < 80) | ((F.col("heading").rlike(QR_PAGE) | plain.rlike(QR_PAGE)) & (F.char_length(plain) < 200)), "skipped"))
     rows = rows.withColumn("early", early).withColumn("content_hash", F.when(F.col("early").isNull(), rules.page_hash(F.col("structured"), F.col("heading"))))
-    first = rows.where("early is null").groupBy("content_hash").agg(F.min_by("key", F.struct("level", "key")).alias("first_key"))
-    rows = rows.join(first, "content_hash", "left")
+    first = rows.where("early is null").groupBy(F.col("content_hash").alias("_hash")).agg(F.min_by("key", F.struct("level", "key")).alias("first_key"))
+    # Skipped pages have no hash; they are dealt out by their keys, which equal no hash.
+    rows = rows.join(first, F.coalesce("content_hash", F.concat(F.lit("-"), "key")) == F.col("_hash"), "left").drop("_hash")
     status = F.coalesce("early", F.when(F.col("key") != F.col("first_key"), "duplicate"), F.lit("saved"))
     rows = rows.withColumn("status", status).withColumn("nav_levels", categories.nav_levels(F.col("path"), F.lit("其他页面"), F.col("url"), F.col("heading")))
     rows = rows.withColumn("publish_time", rules.publish_time(F.col("publish_text"))).withColumn("n_images", F.size("images"))
