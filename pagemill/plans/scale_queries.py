@@ -15,6 +15,11 @@ from pagemill.sources.readers import pages, table
 from pagemill.streaming import keyed, state
 
 
+def _local_micros(column: str):
+    """A time's microseconds as its clock shows them, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', cast({column} AS timestamp_ntz))")
+
+
 @register(
     "failure_runs_one_key",
     """WITH g AS (SELECT *, sum((event_type <> 'error')::INT) OVER (ORDER BY event_id) AS island FROM events)
@@ -119,13 +124,13 @@ def _events(spark, sf_dir):
     """WITH m AS (SELECT user_id, max(CASE WHEN event_type <> 'error' THEN (epoch_us(ts), event_id) END) AS ok FROM events GROUP BY user_id),
     f AS (SELECT e.user_id, count(*) AS failures, max(ts) AS last FROM events e JOIN m USING (user_id) WHERE event_type = 'error' AND (ok IS NULL OR (epoch_us(ts), event_id) > ok) GROUP BY e.user_id),
     d AS (SELECT user_id, failures, last + INTERVAL 1 HOUR * (1 << (failures - 1)) AS due FROM f WHERE failures < 3)
-    SELECT user_id, failures, due FROM d WHERE due <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+    SELECT user_id, failures, epoch_us(due) AS due FROM d WHERE due <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
 )
 def stream_retry_due(spark, sf_dir):
     """Retries that are due an hour before the last event, an hour after a first and two after a second failure."""
     told = keyed.retries(_events(spark, sf_dir), "user_id", "event_id", F.col("event_type") == "error", 3, 3600.0).where("kind = 'due'")
     out = state.drain(told, shared(spark, "due"), "update")
-    return out.select(F.col("key").alias("user_id"), "failures", F.col("due").cast("timestamp_ntz").alias("due"))
+    return out.select(F.col("key").alias("user_id"), "failures", _local_micros("due").alias("due"))
 
 
 @register(
@@ -169,7 +174,7 @@ _SPANS = "SELECT event_id, event_type, epoch_us(ts) AS t, epoch_us(ts) + floor(v
 @register("interval_containment", f"WITH i AS ({_SPANS}) SELECT event_id, coalesce(max(u) OVER (PARTITION BY event_type ORDER BY t, u DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= u, false) AS contained FROM i")
 def interval_containment(spark, sf_dir):
     """Events as stretches of as many minutes as their value; a few kinds have all rows."""
-    t = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', cast(ts AS timestamp_ntz))")
+    t = _local_micros("ts")
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", t.alias("t"), (t + F.floor(F.col("value") * 60_000_000)).alias("u"))
     return intervals.swept(rows, ["event_type"], "t", "u", ["event_id"]).select("event_id", "contained")
 
