@@ -90,3 +90,13 @@ def test_main_content_by_measures():
     pictures = parse("<body>" + "<div class=g>" + "<img src=a>" * 2 + "</div>" * 1 + "<p>t</p>" * 30 + "</body>")
     assert content.by_score(pictures) is not None
     assert content.by_score(parse("<body><p>only</p></body>")).tag == "body"
+
+
+def test_references_without_a_semicolon():
+    page = '<title>a &amp; b&amp</title><a href="/x?a=1&amp;b=2&copy=3">&notin; &notit; &#65; &#65 ﷐</a><script>if (a &amp b) {}</script><!-- &amp -->'
+    assert parse(page).text() == "a & b& ∉ ¬it; A A ﷐"
+    root = parse(page, ended=True)
+    assert root.text() == "a & b&amp ∉ &notit; A &#65 ﷐"
+    assert root.first("a").get("href") == "/x?a=1&b=2&copy=3"
+    assert root.first("script").children == ["if (a &amp b) {}"] and root.first("#comment").children == [" &amp "]
+    assert parse(None, ended=True).text() == ""
