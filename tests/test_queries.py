@@ -16,7 +16,7 @@ def test_query_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name", ["page_titles"])
+@pytest.mark.parametrize("name", ["page_titles", "visible_text", "list_page_rules"])
 def test_references_that_are_cut_off_stay_as_in_sql(spark, tmp_path, name):
     page = lambda title: f"<html><head><title>{title}</title></head><body><h1>{title}</h1><p>a &lt; b &copy 2024 &middot; c&amp;lt;</p></body></html>"
     rows = [(1, "http://h/1", page("Cut&amp;&amp")), (2, "http://h/2", page("&quot;Q&quot; &am")), (3, "http://h/3", page("x & y &quot"))]
