@@ -12,7 +12,7 @@ def captured(monkeypatch, df, method):
     return got
 
 
-@pytest.mark.parametrize("names", [["text", "links", "structured", "images"], ["heading", "clean", "publish_text"]])
+@pytest.mark.parametrize("names", [["clean"], ["text", "links", "structured", "images"], ["heading", "clean", "publish_text"]])
 def test_parsed_pages_leave_in_small_parts(spark, monkeypatch, names):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     each = captured(monkeypatch, df, "mapInArrow")
