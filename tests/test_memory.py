@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import pages
+from pagemill.operators import images
 
 
 def captured(monkeypatch, df, method):
@@ -22,3 +23,19 @@ def test_parsed_pages_leave_in_small_parts(spark, monkeypatch, names):
     parts = list(each[0](taken.append(1) or b for b in [batch, batch.slice(0, 3), batch.slice(0, 0)]))
     assert max(p.num_rows for p in parts) <= pages.TOGETHER
     assert [i for p in parts for i in p.column("page_id").to_pylist()] == [*range(1000), 0, 1, 2]
+
+
+def test_pages_with_images_leave_in_small_parts(spark, monkeypatch):
+    df = spark.createDataFrame([], "page_id long, url string, html string")
+    each = captured(monkeypatch, df, "mapInArrow")
+    blobs = spark.createDataFrame([], "url string, content binary, content_type string, status int")
+    images.embedded(df, spark.createDataFrame([], "page_id long, images array<struct<url: string, alt: string>>"), blobs)
+    given = [None, [{"url": "http://h/a.png", "data_uri": "data:x"}, {"url": "http://h/b.png", "data_uri": None}]]
+    html = [None, "<p><img src='a.png'><figure><img src='b.png'></figure></p>"]
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(1000)), "url": ["http://h/"] * 1000, "html": html * 500, "given": given * 500})
+    parts = list(each[0](iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) <= pages.TOGETHER
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [r["page_id"] for r in rows] == list(range(1000))
+    assert rows[998] == {"page_id": 998, "html": "", "ok": 0, "failed": 0}
+    assert rows[999] == {"page_id": 999, "html": '<p><img src="data:x"></p>', "ok": 1, "failed": 1}
