@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,11 +87,12 @@ def crawl(seeds: DataFrame, pages: DataFrame, most: int = 4, per_page: int | Non
     return reached
 
 
-def budgeted(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, budget: int, most: int = 4, per_page: int | None = None, per_site: int | None = None, queue: int | None = None) -> DataFrame:
+def budgeted(seeds: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], nodes: DataFrame, budget: int, most: int = 4, per_page: int | None = None, per_site: int | None = None, queue: int | None = None) -> DataFrame:
     """(node, site, level, number): the first ``budget`` nodes that a breadth-first crawl takes, numbered in its order.
 
     ``seeds``: node, seq (long). ``edges``: src, pos (long, the place of the link on its page), dst.
-    ``nodes``: node, site; links to others lead nowhere. Of a level's nodes those of the parent with
+    ``edges`` may also be a function that gives them for a frame of nodes, so that none are made but those of
+    the nodes reached. ``nodes``: node, site; links to others lead nowhere. Of a level's nodes those of the parent with
     the smallest number come first, of one parent those of the smallest place. ``per_page`` takes the
     first links of a page, ``per_site`` the first nodes of a site, ``queue`` the first nodes of a level
     after the limit by site. Numbers come from histograms of the order and sums over their parts
@@ -97,16 +100,19 @@ def budgeted(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, budget: int,
     where there are as many. Only counts come to the driver.
     """
     one = ["_all"]
-    if per_page is not None:
-        edges = cut(chunks.first(edges, ["src"], ["pos"], per_page))
+    leads = edges if callable(edges) else lambda frontier: edges.join(frontier, edges["src"] == frontier["node"], "left_semi")
     reached, total = None, 0
     found = seeds.groupBy("node").agg(F.min(F.struct(F.col("seq").alias("parent"), F.lit(0).cast("long").alias("pos"))).alias("at"))
     for level in range(most + 1):
         if reached is not None:
             frontier = reached.where(F.col("level") == level - 1).select("node", F.col("number").alias("parent"))
-            out = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node"), F.struct("parent", "pos").alias("at"))
-            found = out.groupBy("node").agg(F.min("at").alias("at")).join(reached.select("node"), "node", "left_anti")
-        rows = found.join(nodes.select("node", "site").distinct(), "node").select("node", "site", "at.parent", "at.pos", F.lit(0).alias("_all"))
+            # The limit by page is the source's own, so it comes after the choice of sources.
+            out = leads(frontier.select("node"))
+            if per_page is not None:
+                out = chunks.first(cut(out), ["src"], ["pos"], per_page)
+            out = out.join(frontier, out["src"] == frontier["node"]).select(F.col("dst").alias("node"), F.struct("parent", "pos").alias("at"))
+            found = cut(out.groupBy("node").agg(F.min("at").alias("at")).join(reached.select("node"), "node", "left_anti"))
+        rows = nodes.select("node", "site").join(found, "node").distinct().select("node", "site", "at.parent", "at.pos", F.lit(0).alias("_all"))
         rows = cut(rows)
         # Never falls along (parent, pos), and splits even the links of one page.
         place = F.col("parent").cast("double") + F.greatest("pos", F.lit(0)) / (F.greatest("pos", F.lit(0)) + (1 << 20))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import tables, urls
 from pagemill.operators import cache, categories, dedup, dictionary, evaluate, intervals, links, store
+from pagemill.operators.lineage import cut
 from pagemill.plans.page_queries import _LINKS
 from pagemill.plans.registry import register
 from pagemill.plans.state_queries import _FOLD, _writes
@@ -65,8 +66,13 @@ def _crawl_sql(budget: int, most: int, per_page: int, per_site: int, seeds: str)
 def budgeted_crawl(spark, sf_dir):
     """Parts lead to the parts of the orders that have them, those of the first order first; a brand is a site."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("src"))
-    pairs = lines.join(lines.withColumnRenamed("src", "dst"), "l_orderkey").where("src <> dst")
-    edges = pairs.groupBy("src", "dst").agg((F.min("l_orderkey") * 1048576 + F.col("dst")).alias("pos"))
+
+    def edges(nodes):
+        # The reached parts' own lines as a table of known size: where it is small, all lines meet it without a shuffle.
+        own = cut(lines.join(nodes, lines["src"] == nodes["node"], "left_semi"))
+        pairs = lines.withColumnRenamed("src", "dst").join(own, "l_orderkey").where("src <> dst")
+        return pairs.groupBy("src", "dst").agg((F.min("l_orderkey") * 1048576 + F.col("dst")).alias("pos"))
+
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("site"))
     return links.budgeted(part.where("node <= 20").select("node", F.col("node").alias("seq")), edges, part, 600, 4, 6, 30)
 

@@ -126,3 +126,21 @@ def test_budgeted_crawl_takes_exactly_the_first_pages(spark, limits):
     got = links.budgeted(spark.createDataFrame([(3, 0), (0, 1), (5, 2)], "node long, seq long"), spark.createDataFrame(edges, "src long, pos long, dst long"), spark.createDataFrame(nodes, "node long, site string"), 90, **limits)
     assert [(r["node"], r["site"], r["level"]) for r in got.orderBy("number").collect()] == reached
     assert [r["number"] for r in got.orderBy("number").collect()] == list(range(1, len(reached) + 1))
+
+
+def test_budgeted_crawl_makes_edges_of_reached_nodes_only(spark):
+    rows = [(s, p, (7 * s + p) % 60) for s in range(60) for p in range(4)]
+    edges = spark.createDataFrame(rows, "src long, pos long, dst long")
+    nodes = spark.createDataFrame([(i, f"s{i % 3}") for i in range(60)], "node long, site string")
+    seeds = spark.createDataFrame([(1, 0), (2, 1)], "node long, seq long")
+    asked = []
+
+    def leads(some):
+        asked.append({r["node"] for r in some.collect()})
+        return edges.join(some, edges["src"] == some["node"], "left_semi")
+
+    want = sorted(map(tuple, links.budgeted(seeds, edges, nodes, 15, 3, 2).collect()))
+    got = sorted(map(tuple, links.budgeted(seeds, leads, nodes, 15, 3, 2).collect()))
+    assert got == want and len(got) == 15
+    levels = [{r[0] for r in got if r[2] == level} for level in range(4)]
+    assert asked == levels[: len(asked)]
