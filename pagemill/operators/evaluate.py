@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from pagemill.functions import matching
 from pagemill.operators import chunks
 
 
@@ -50,9 +51,7 @@ def retries(log: DataFrame, key: str, failed: Column, most: int = 3) -> DataFram
 @pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The matching-blocks ratio of two texts in lower case; 1 if both are empty."""
-    from difflib import SequenceMatcher
-
-    return pd.Series([1.0 if not x and not y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a.fillna("").str.lower(), b.fillna("").str.lower())])
+    return pd.Series([matching.ratio(x, y) for x, y in zip(a.fillna("").str.lower(), b.fillna("").str.lower())], dtype="float64")
 
 
 def golden(cases: DataFrame, least: float = 0.6) -> DataFrame:
