@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import pages
 from pagemill.operators import images
+from pagemill.plans import crawl, site_queries
 
 
 def captured(monkeypatch, df, method):
@@ -39,3 +40,16 @@ def test_pages_with_images_leave_in_small_parts(spark, monkeypatch):
     assert [r["page_id"] for r in rows] == list(range(1000))
     assert rows[998] == {"page_id": 998, "html": "", "ok": 0, "failed": 0}
     assert rows[999] == {"page_id": 999, "html": '<p><img src="data:x"></p>', "ok": 1, "failed": 1}
+
+
+def test_a_site_is_parsed_in_small_parts(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(crawl, "parse_pages", lambda *given: parsed.append(given) or pages.parse_pages(*given))
+    parsed, rows = [], [(i, f"http://h/{i}", f"<p>Page {i}</p>" * 20) for i in range(200)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    assert site_queries.site_outcome(spark, str(tmp_path)).count() == 1 and len(parsed) == 1
+    given = parsed[0]
+    each = captured(monkeypatch, given[0], "mapInArrow")
+    pages.parse_pages(*given)
+    batch = pa.RecordBatch.from_pydict({"key": ["k"] * 200, "url": ["u"] * 200, "page_id": list(range(200)), "early": pa.array([None] * 200, pa.string()), "__url": ["http://h/"] * 200, "__html": ["<p>x</p>"] * 200})
+    parts = list(each[0](iter([batch])))
+    assert max(p.num_rows for p in parts) <= 64 and [i for p in parts for i in p.column("page_id").to_pylist()] == list(range(200))
