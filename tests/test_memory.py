@@ -26,6 +26,18 @@ def test_parsed_pages_leave_in_small_parts(spark, monkeypatch, names):
     assert [i for p in parts for i in p.column("page_id").to_pylist()] == [*range(1000), 0, 1, 2]
 
 
+@pytest.mark.parametrize("names", [["clean"], ["heading", "text", "clean"], ["links", "text", "structured", "images", "paging"]])
+def test_long_pages_leave_in_parts_of_few_bytes(spark, monkeypatch, names):
+    df = spark.createDataFrame([], "page_id long, url string, html string")
+    each = captured(monkeypatch, df, "mapInArrow")
+    pages.parse_pages(df, [F.col("page_id")], names, F.col("url"), F.col("html"))
+    html = ["<p>short</p>", f"<p>{'long ' * 60_000}</p>", None, f"<p>{'one ' * 600_000}</p>"] * 4
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(16)), "__url": ["http://h/"] * 16, "__html": html})
+    parts = list(each[0](iter([batch])))
+    assert [i for p in parts for i in p.column("page_id").to_pylist()] == list(range(16))
+    assert all(sum(len(html[i] or "") for i in p.column("page_id").to_pylist()) <= 1 << 20 for p in parts if p.num_rows > 1)
+
+
 def test_pages_with_images_leave_in_small_parts(spark, monkeypatch):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     each = captured(monkeypatch, df, "mapInArrow")
