@@ -65,3 +65,15 @@ def test_a_site_is_parsed_in_small_parts(spark, monkeypatch, tmp_path):
     batch = pa.RecordBatch.from_pydict({"key": ["k"] * 200, "url": ["u"] * 200, "page_id": list(range(200)), "early": pa.array([None] * 200, pa.string()), "__url": ["http://h/"] * 200, "__html": ["<p>x</p>"] * 200})
     parts = list(each[0](iter([batch])))
     assert max(p.num_rows for p in parts) <= 64 and [i for p in parts for i in p.column("page_id").to_pylist()] == list(range(200))
+
+
+def test_what_is_held_does_not_grow_with_the_batches(spark, monkeypatch):
+    df = spark.createDataFrame([], "page_id long, url string, html string")
+    each = captured(monkeypatch, df, "mapInArrow")
+    pages.parse_pages(df, [F.col("page_id")], ["clean"], F.col("url"), F.col("html"))
+    row = ["<p>" + "word " * 1000 + "</p>"]
+    batches = (pa.RecordBatch.from_pydict({"page_id": list(range(200)), "__url": ["http://h/"] * 200, "__html": row * 200}) for _ in range(12))
+    before, held = pa.total_allocated_bytes(), []
+    for part in each[0](batches):
+        held.append(pa.total_allocated_bytes() - before)
+    assert len(held) == 12 * 4 and max(held[8:]) < 6 << 20  # a batch has a good 1 MB, all have 12 MB
